@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module that defines it.
 QUERIES = {
+    "op1_language_id": "language",
+    "op4_quality": "quality",
     "op5_simhash_near_dedup": "simhash",
+    "op7_token_counts": "tokens",
+    "op9_toxicity": "toxicity",
 }
 
 
