@@ -48,7 +48,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([block.column("y"), pa.array([own[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["y", "x"])
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 5) -> tuple[np.ndarray, float]:
     """Weights (zero but for few) and the intercept, from rows of distinct feature ids and labels, in the given order."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     b, bn = 0.0, 0.0
