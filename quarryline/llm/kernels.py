@@ -108,10 +108,19 @@ def spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case of the letters of ASCII and Latin-1 (two bytes in UTF-8, the second 0x80 to 0x9E but for the multiplication sign)."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.empty(0, np.int64)
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[second] += 32
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = LETTER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words, their starts and ends, and the number of words of each document."""
+    """Hashes of the case-folded words, their starts and ends, and the number of words of each document."""
     starts, ends, counts = spans(table[data], offsets)
-    return slice_hash(prefix_hash(LOWER[data]), starts, ends), starts, ends, counts
+    return slice_hash(prefix_hash(fold(data)), starts, ends), starts, ends, counts
 
 
 def runs(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

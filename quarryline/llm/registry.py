@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module that defines it.
 QUERIES = {
     "op1_language_id": "language",
+    "op3_decontamination": "decontaminate",
     "op4_quality": "quality",
     "op5_simhash_near_dedup": "simhash",
     "op7_token_counts": "tokens",
+    "op8_packing": "packing",
     "op9_toxicity": "toxicity",
+    "op10_warc": "warc",
 }
 
 

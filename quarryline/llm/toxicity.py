@@ -29,7 +29,7 @@ STEMS = (4, 5)
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a block (repeats included) and the document of each."""
     h, starts, ends, counts = K.words(data, offsets)
-    prefix, own = K.prefix_hash(K.LOWER[data]), np.repeat(np.arange(len(counts)), counts)
+    prefix, own = K.prefix_hash(K.fold(data)), np.repeat(np.arange(len(counts)), counts)
     stems = [K.slice_hash(prefix, starts, np.minimum(starts + n, ends)) + np.uint64(n) for n in STEMS]
     ids, docs = [K.mix(x) >> np.uint64(64 - BITS) for x in stems], [own] * len(STEMS)
     for n, gaps in enumerate(PATTERNS):
