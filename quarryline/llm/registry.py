@@ -13,6 +13,7 @@ QUERIES = {
     "op3_decontamination": "decontaminate",
     "op4_quality": "quality",
     "op5_simhash_near_dedup": "simhash",
+    "op6_suffix_array_dedup": "suffixes",
     "op7_token_counts": "tokens",
     "op8_packing": "packing",
     "op9_toxicity": "toxicity",
