@@ -129,13 +129,14 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", where:
     return fit_rows([t for _, t in rows], [a for a, _ in rows], landmarks) if rows else None
 
 
-def _predict_batches(model):
+def _predict_batches(model, keep: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for block, _, _ in K.blocks(batches, "t", 1 << 19, 256):
             texts = block.column("t").to_pylist()
             names, scores = m.predict(texts) if m else ([UND] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in block.schema.names if c != "t"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(c for c in block.schema.names if c != "t"), "lang_pred", "score"])
+            own = [c for c in block.schema.names if c != "t" or keep]
+            yield pa.RecordBatch.from_arrays([*map(block.column, own), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
 
     return run
 
@@ -151,6 +152,15 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     return rows.mapInArrow(_predict_batches(shared), f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is known (not ``und``) with a score of ``least`` or more."""
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text_col).alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = rows.mapInArrow(_predict_batches(shared, True), f"row {dict(rows.dtypes)['row']}, t string, lang_pred string, score double")
+    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*(F.col("t").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     """Query: learn from rows with crc32(doc_id) mod 4 <> 2, predict all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

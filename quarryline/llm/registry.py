@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module that defines it.
 QUERIES = {
     "op1_language_id": "language",
+    "op2_imatch_fingerprints": "imatch",
     "op3_decontamination": "decontaminate",
     "op4_quality": "quality",
     "op5_simhash_near_dedup": "simhash",

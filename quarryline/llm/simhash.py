@@ -77,7 +77,7 @@ def _fingerprint_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
             fp = fingerprints(data, offsets, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column("i"), pa.array(fp)], ["i", "fp"])
+            yield pa.RecordBatch.from_arrays([block.column("i"), block.column("x"), pa.array(fp)], ["i", "x", "fp"])
 
     return run
 
@@ -144,12 +144,13 @@ def _link_batches(most: int):
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(i, fp) of every row; null and empty texts have fingerprint 0."""
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(_fingerprint_batches(width), "i long, fp long")
+    """(i, x, fp) of every row: id, hash of the text, fingerprint; null and empty texts have fingerprint 0."""
+    t = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t")).mapInArrow(_fingerprint_batches(width), "i long, x long, fp long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fingerprint as signed long, component_id), one row per input row.
+    """(doc_id, x, fingerprint as signed long, component_id), one row per input row; x is the hash of its text.
 
     ``width``: words of a shingle (fewer words: the whole sequence); ``max_bits``: differing bits at
     which two fingerprints link, at most 4 (beyond it the guaranteed count of shared bytes is less
@@ -167,7 +168,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = postings.repartition("k").sortWithinPartitions("k").mapInArrow(_link_batches(max_bits), "a long, b long")
     comp = components(links)
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, fps["fp"] == named["f"]).select(F.col("i").alias("doc_id"), F.col("fp").alias("fingerprint"), "component_id")
+    return fps.join(named, fps["fp"] == named["f"]).select(F.col("i").alias("doc_id"), "x", F.col("fp").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` with one of each component left: the one with the smallest id (of repeated rows with that id and text, one). Rows without id stay only where all of their component have none."""
+    found = stored(near_duplicates(docs, id_col, text_col, width, max_bits), "simhash-components")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gi"), F.col("x").alias("gx")).distinct()
+    key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
+    left = docs.join(gone, key[0].eqNullSafe(F.col("gi")) & (key[1] == F.col("gx")), "left_anti")
+    again = stored(found.groupBy(F.col("doc_id").alias("gi"), F.col("x").alias("gx")).count().where("count > 1").drop("count"), "simhash-repeats")
+    if again.isEmpty():
+        return left
+    same = key[0].eqNullSafe(F.col("gi")) & (key[1] == F.col("gx"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -287,16 +287,17 @@ def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             at.append([{"a": a, "b": b} for a, b in own])
             digest.append(hashlib.sha256(raw).hexdigest())
             kept.append(raw.decode("utf-8", "ignore"))
-        long = pa.int64()
+        long, own_columns = pa.int64(), [c for c in block.schema.names if c not in ("t", "ranges")]
         yield pa.RecordBatch.from_arrays(
-            [block.column("i"), block.column("x"), pa.array(np.diff(offsets)), pa.array(removed, long), pa.array(spans, long), pa.array(digest), pa.array(at, pa.list_(pa.struct([("a", long), ("b", long)]))), pa.array(kept)],
-            ["i", "x", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
+            [*map(block.column, own_columns), pa.array(np.diff(offsets)), pa.array(removed, long), pa.array(spans, long), pa.array(digest), pa.array(at, pa.list_(pa.struct([("a", long), ("b", long)]))), pa.array(kept)],
+            [*own_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
         )
 
 
 def _sides(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t"))
+    others = F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c != text_col))
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t"), others.alias("row"))
 
 
 def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20_000) -> DataFrame:
@@ -345,12 +346,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     rows = _sides(docs, id_col, text_col)
-    ranges = repeated_ranges(rows, length, most_fragments)
+    return _removed(rows.drop("row"), length, most_fragments).withColumnRenamed("i", "doc_id")
+
+
+def _removed(rows: DataFrame, length: int, most_fragments: int) -> DataFrame:
+    ranges = repeated_ranges(rows.select("i", "x", "t"), length, most_fragments)
     own = ranges.groupBy(F.col("i").alias("ri"), F.col("x").alias("rx")).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    joined = rows.join(own, rows["i"].eqNullSafe(own["ri"]) & (rows["x"] == own["rx"]), "left").select("i", "x", "t", "ranges")
+    joined = rows.join(own, rows["i"].eqNullSafe(own["ri"]) & (rows["x"] == own["rx"]), "left").drop("ri", "rx")
     pairs = "array<struct<a:long,b:long>>"
-    out = joined.mapInArrow(_remove_batches, f"i long, x long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {pairs}, kept string")
-    return out.withColumnRenamed("i", "doc_id")
+    carried = ", ".join(f"{c} {t}" for c, t in joined.dtypes if c not in ("t", "ranges"))
+    return joined.mapInArrow(_remove_batches, f"{carried}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {pairs}, kept string")
+
+
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_fragments: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns as they are but for the text, which is what :func:`remove_repeats` keeps."""
+    out = _removed(_sides(docs, id_col, text_col), length, most_fragments)
+    return out.select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
