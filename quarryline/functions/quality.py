@@ -62,7 +62,7 @@ def report_style(description: Column) -> Column:
     """The report's classifier, from sentences, structure lines, tags and the share of stopwords."""
     t = F.trim(F.coalesce(description, F.lit("")))
     toks = T.tokens(t)
-    lines = F.filter(F.transform(F.split(t, r"\R"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
     sentences = F.size(F.filter(F.split(t, "[.!?]+"), lambda s: F.size(T.tokens(s)) >= 4))
     structure = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(#|[-*]|\d+\.)"))) + F.regexp_count(F.lower(t), F.lit(r"\b[a-z_]+:[a-z0-9_./-]+\b"))
     marks = T.count_of(t, "##") + T.count_of(t, "###") + T.count_of(t, "---") + T.count_of(t, "`")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from . import vocabulary as V
 
@@ -91,13 +92,13 @@ def token_variants(token: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(token, cut(F.length(suffix)), english)))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; ASCII texts pass through."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """HTML character references resolved, then composed by compatibility."""
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", html.unescape(t)))
@@ -190,7 +191,7 @@ def summary_fragment(text: Column) -> Column:
 
 def strip_list(values: Column) -> Column:
     """Trimmed, blanks dropped."""
-    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def content_terms(text: Column) -> Column:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, FloatType
 
 from .lexical import top_k
 
@@ -121,7 +122,7 @@ def fuse(variant_hits: DataFrame, aspect_hits: DataFrame, aspects: DataFrame) ->
 def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]]):
     """M1: a text -> vector function from a loader that runs once a worker process; vectors come out at unit length."""
 
-    @pandas_udf("array<float>")
+    @pandas_udf(ArrayType(FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import quality as Q
 from ..functions import text as T
-from ..functions import vocabulary as V
 
 TEXT_FIELDS = ("description", "text", "raw_description", "body")
 MIN_CHARS = 20
@@ -33,7 +32,7 @@ def pick_text(df: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> Column:
 def pick_ref(df: DataFrame, source: Column) -> Column:
     """source_id, ref, id, name, else source:title."""
     title = some(field(df, "title"))
-    return F.coalesce(*(some(field(df, f)) for f in ("source_id", "ref", "id", "name")), F.concat_ws(":", source, title) if title is not None else title)
+    return F.coalesce(*(some(field(df, f)) for f in ("source_id", "ref", "id", "name")), F.concat(source, F.lit(":"), title))
 
 
 def pick_url(df: DataFrame, source: Column, ref: Column, bases: dict[str, str]) -> Column:
@@ -197,7 +196,7 @@ def validate_references(refs: DataFrame, known: DataFrame, column: str, fail: bo
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows of each value; arrays count each element."""
     c = F.explode(column) if dict(df.dtypes)[column].startswith("array") else F.col(column)
-    return df.select(c.cast("string").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    return df.select(c.alias("value")).select(F.col("value").cast("string").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
 def defaults(df: DataFrame, values: dict[str, str]) -> DataFrame:
@@ -223,6 +222,3 @@ def indexed(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     keep = [F.coalesce(F.col(c), F.lit("") if kinds[c] == "string" else F.array().cast(kinds[c])).alias(c) if kinds[c] == "string" or kinds[c].startswith("array") else F.col(c) for c in DOCUMENT if c in kinds]
     return df.where(F.length(F.trim(F.coalesce("semantic_text", "text", F.lit("")))) > 0).select(*keep)
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "Window", "F", "V")]

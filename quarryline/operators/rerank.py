@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions import vocabulary as V
@@ -133,7 +134,7 @@ def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int, b
 def scorer_udf(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16):
     """A (query, text) -> raw score function from a loader that runs once a worker process. A loader or model that fails gives nulls, and is not tried again in that process."""
 
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         try:
             model = load()

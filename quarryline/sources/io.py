@@ -41,7 +41,7 @@ def unwrap(raw: Column, kind: str = LISTING) -> Column:
     """Struct from an object, an object inside ``info``, or either as JSON inside a JSON string; null otherwise."""
     inner = F.coalesce(F.when(F.trim(raw).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")), raw)
     plain = F.from_json(inner, kind)
-    wrapped = F.from_json(inner, f"info struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in kind.split(', '))}>" if False else f"info struct<{_fields(kind)}>")["info"]
+    wrapped = F.from_json(inner, f"info struct<{_fields(kind)}>")["info"]
     return F.coalesce(wrapped, F.when(F.get_json_object(inner, "$.info").isNull(), plain))
 
 
