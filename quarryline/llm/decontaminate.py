@@ -176,7 +176,7 @@ def _align_batches(shared, n: int, threshold: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, threshold: float = 0.5, share: float = 1e-4, stretch: int = 4, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, threshold: float = 0.4, share: float = 1e-4, stretch: int = 4, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, score, end_word): one row for each document and item that aligns.
 
     ``score``: best local alignment of whole texts (match 1, mismatch and gap -0.5) over the item's
