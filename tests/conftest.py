@@ -17,5 +17,6 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "3g")
         .getOrCreate()
     )
+    s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
