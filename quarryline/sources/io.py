@@ -27,8 +27,8 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str | None =
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The lines that a permissive scan drops."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where(F.col("_corrupt_record").isNotNull()).select(F.col("_corrupt_record").alias("line"))
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    return spark.read.text(path).where(F.trim("value") != "").where(parsed["_corrupt_record"].isNotNull()).select(F.col("value").alias("line"))
 
 
 def json_document(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
