@@ -42,12 +42,14 @@ _LIGATURES = [(c, unicodedata.normalize("NFKD", c)) for c in "ﬀﬁﬂﬃﬄﬅ
 
 def ascii_fold(text: Column) -> Column:
     """Trim, Turkish letters to ASCII, lower case, marks dropped; null is empty. Letters beyond the decompositions of one letter and the Latin ligatures stay and count as separators later."""
-    low = F.lower(F.translate(F.trim(F.coalesce(text, F.lit(""))), V.TURKISH_FROM, V.TURKISH_TO))
+    base = F.trim(F.coalesce(text, F.lit("")))
+    low = F.lower(F.translate(base, V.TURKISH_FROM, V.TURKISH_TO))
     wide = low
     for a, b in _LIGATURES:
         wide = F.replace(wide, F.lit(a), F.lit("".join(x for x in b if not unicodedata.combining(x))))
     low = F.when(low.rlike("[" + "".join(a for a, _ in _LIGATURES) + "]"), wide).otherwise(low)
-    return F.translate(low, *_fold_table())
+    # Most texts are ASCII, which has as many bytes as characters: nothing to look up there.
+    return F.when(F.octet_length(base) == F.length(base), F.lower(base)).otherwise(F.translate(low, *_fold_table()))
 
 
 def normalize(text: Column) -> Column:

@@ -52,9 +52,19 @@ def lengths(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return docs.where(size > 0).agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
 
 
+def _exploded(docs: DataFrame, id_col: str, tokens: Column, size: Column | None = None) -> DataFrame:
+    """doc_id, dl, token. The length is a column before the explosion: after it, every row would drag its document's whole array along.
+
+    The outer form gives documents without tokens a null token. From the inner form Spark infers a filter on the
+    array and pushes it to the scan, where all texts would be taken apart once more.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.size(tokens) if size is None else size).cast("long").alias("dl"), tokens.alias("_t"))
+    return rows.select("doc_id", "dl", F.explode_outer("_t").alias("token"))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens") -> Index:
     """A1-A3, R2 from a table with an array of tokens; term frequencies are summed map-side before the shuffle."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.size(tokens).cast("long").alias("dl"), F.explode(tokens).alias("token"))
+    rows = _exploded(docs, id_col, F.col(tokens)).where(F.col("token").isNotNull())
     postings = rows.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf")).select("token", "doc_id", "tf", "dl")
     stats = lengths(docs, tokens)
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
@@ -75,16 +85,21 @@ def top_k(rows: DataFrame, k: int, by: str = "query_id", score: str = "score", t
 def search(queries: DataFrame, docs: DataFrame, k: int = 5, tokens: str = "tokens", id_col: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, score, rank) for weighted query tokens (query_id, token, qf).
 
-    Documents are scanned once; tokens that no query has are dropped before any shuffle. Scores are
+    Documents are scanned once: each gives its matching tokens and a blank one that stands for itself, so
+    that the number of documents and their mean length come from the same shuffled rows. (The sums
+    below name every column on purpose: equal plans let Spark reuse that exchange.) Scores are
     rounded to six places before ranking, so that the order does not hang on addition order.
     """
     vocabulary = queries.select("token").distinct()
     small = vocabulary.count() <= BROADCAST_TOKENS
     hint = F.broadcast if small else (lambda d: d)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.size(tokens).cast("long").alias("dl"), F.explode(tokens).alias("token"))
-    matched = rows.join(hint(vocabulary), "token", "left_semi").groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = matched.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = queries.join(df, "token").crossJoin(F.broadcast(lengths(docs, tokens)))
+    blank = docs.sparkSession.range(1).select(F.lit("").alias("token"))
+    rows = _exploded(docs, id_col, F.concat(F.array(F.lit("")), F.col(tokens)), F.size(tokens))
+    matched = rows.join(hint(vocabulary.unionAll(blank)), "token", "left_semi").groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    is_doc = (F.col("token") == "") & (F.col("dl") > 0)
+    stats = matched.agg(F.sum(F.when(is_doc, F.col("tf"))).alias("n"), F.avg(F.when(is_doc & (F.col("tf") > 0), F.col("dl"))).alias("avgdl"))
+    df = matched.groupBy("token").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("dl") >= 0), 1)).alias("df"))
+    weighted = queries.withColumn("token", F.expr("nullif(token, '')")).join(df, "token").crossJoin(F.broadcast(stats))
     hits = matched.join(hint(weighted), "token")
     points = F.round(F.sum(score_columns(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("qf"), F.col("n"), F.col("df"))), 6)
     return top_k(hits.groupBy("query_id", "doc_id").agg(points.alias("score")), k)
@@ -116,7 +131,7 @@ def weighted_query_tokens(plans: DataFrame) -> DataFrame:
 
 def document_frequencies(docs: DataFrame, token_set: str = "token_set") -> tuple[DataFrame, DataFrame]:
     """Df over the distinct tokens of all fields, and the number of all documents (empty ones too)."""
-    df = docs.select(F.explode(token_set).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode_outer(token_set).alias("token")).where(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("df"))
     return df, docs.agg(F.count("*").alias("total"))
 
 

@@ -101,13 +101,15 @@ def clean_listing(rows: DataFrame, entities: bool = True) -> DataFrame:
         "_keys": T.join_keywords(F.col("keywords"), entities),
     })
     rows = rows.withColumn("_d", T.description(F.col("_sub"), F.col("_text"), F.col("_keys")))
-    rows = rows.withColumns({"description": F.col("_d.text"), "cleaning_notes": F.col("_d.notes")}).where(F.col("description") != "")
-    rows = rows.withColumn("text", F.concat(F.col("title"), F.lit(". "), F.col("description"))).where(F.length("text") >= MIN_CHARS)
+    rows = rows.select(*(c for c in rows.columns if c not in ("description", "_d", "text")), F.col("_d.text").alias("description"), F.col("_d.notes").alias("cleaning_notes"))
+    # The filters look at cleaned texts. Pushed down they would clean every text twice; a filter on a row number stays where it is.
+    rows = rows.withColumns({"text": F.concat(F.col("title"), F.lit(". "), F.col("description")), "_row": F.monotonically_increasing_id()})
+    rows = rows.where((F.col("_row") >= 0) & (F.col("description") != "") & (F.length("text") >= MIN_CHARS)).drop("_row")
     return rows.withColumns({
         "quality_flags": Q.listing_flags(F.col("description"), F.col("cleaning_notes")),
         "description_len_chars": F.length("description").cast("long"),
         "description_len_words": T.word_count(F.col("description")),
-    }).drop("_sub", "_text", "_keys", "_d")
+    }).drop("_sub", "_text", "_keys")
 
 
 def clean_cards(rows: DataFrame, text: str = "raw_description", unicode: bool = True) -> DataFrame:
