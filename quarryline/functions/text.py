@@ -232,3 +232,21 @@ def phrase_hits(text: Column, clues: Column, clean) -> Column:
 def keep_words(text: Column) -> Column:
     """Lower case without marks, everything but word characters a space (underscores stay)."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_fold_table()), r"(?U)[^\w\s]+", " "), r"(?U)\s+", " "))
+
+
+def web_terms(text: Column) -> Column:
+    """The web page's count of content terms: runs of three letters and digits and more, Turkish ones too, without folding."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9a-zA-ZçğıöşüÇĞİÖŞÜ]{3,}"), F.lit(0))
+    return F.size(F.array_distinct(F.filter(F.transform(found, lambda t: F.lower(t)), lambda t: ~t.isin(V.WEB_STOPWORDS)))).cast("long")
+
+
+def web_language(query: Column) -> Column:
+    """The web page's language of a query: a Turkish letter or marker word."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    marked = F.arrays_overlap(words(F.translate(low, ",.", "  ")), strings(V.WEB_TURKISH_MARKERS))
+    return F.when(low.rlike(f"[{V.WEB_TURKISH_LETTERS}]") | marked, F.lit("tr")).otherwise(F.lit("en"))
+
+
+def utc_now() -> Column:
+    """The query's time as ISO 8601 in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -151,6 +151,37 @@ class Engine:
         rows = [self.search(queries, m, k, source, profile).select(F.lit(m).alias("method"), "query_id", "doc_id", "rank", "score") for m in METHODS]
         return evaluate.union_all(rows)
 
+    def evaluate(self, judgments: DataFrame, k: int = 5, methods: tuple[str, ...] = METHODS, profile: str = profiles.DEFAULT) -> DataFrame:
+        """Metrics of every judged query and method. ``judgments``: query_id, query, doc_id, one row a relevant document.
+
+        Results are taken to the depth of the largest set of relevant documents. All queries of a method
+        run as one batch; latency_ms is the batch's time a query, with the tables warm (E13).
+        """
+        import time
+
+        queries = judgments.select("query_id", "query").distinct().persist()
+        n, deepest = queries.count(), judgments.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+        parts = []
+        for m in methods:
+            began = time.perf_counter()
+            r = self.search(queries, m, max(k, deepest), profile=profile).select(F.lit(m).alias("method"), F.lit(profile).alias("profile"), "query_id", "doc_id", "rank").persist()
+            r.count()
+            parts.append((r, 1000 * (time.perf_counter() - began) / max(n, 1)))
+        out = evaluate.metrics(evaluate.union_all([r for r, _ in parts]), judgments.select("query_id", "doc_id"), k, ("profile", "method", "query_id"))
+        took = F.create_map(*(F.lit(x) for m, (_, ms) in zip(methods, parts) for x in (m, round(ms, 3))))
+        return out.withColumn("latency_ms", took[F.col("method")])
+
+    def probe(self, probes: DataFrame, k: int = 3, methods: tuple[str, ...] = METHODS, profile: str = profiles.DEFAULT) -> DataFrame:
+        """Probes (probe_id, query, expected) under every method: combo, probe_id, rank, label (title and reference), weak_match; for :func:`evaluate.probes`."""
+        queries = probes.select(F.col("probe_id").alias("query_id"), "query")
+        names = self.docs.select("doc_id", F.concat_ws(" ", "title", "ref").alias("label"))
+        rows = []
+        for m in methods:
+            r = self.search(queries, m, k, profile=profile)
+            weak = F.col("weak_match") if "weak_match" in r.columns else F.lit(False)
+            rows.append(r.join(names, "doc_id").select(F.concat(F.lit(f"{profile}/"), F.lit(m)).alias("combo"), F.col("query_id").alias("probe_id"), "rank", "label", weak.alias("weak_match")))
+        return evaluate.union_all(rows)
+
     def results(self, ranked: DataFrame) -> DataFrame:
         """Ranked rows with their documents' columns."""
         return ranked.join(self.docs.select("doc_id", records.rank_key(F.col("ref"), F.col("source"), F.col("title")).alias("key"), "ref", "title", "source", "description", "keywords"), "doc_id")

@@ -248,7 +248,16 @@ def fold_text(spark, sf):
 
 FOLD = rf"SELECT doc_id, md5({fold('text')}) AS folded_md5, md5(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))) AS kept_md5 FROM documents"
 
+def web_terms(spark, sf):
+    d = frames.spread(frames.table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", T.web_terms(F.col("text")).alias("terms"), T.web_language(F.substring("text", 1, 40)).alias("language"))
+
+
+WEB_TERMS = rf"""SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9a-zA-ZçğıöşüÇĞİÖŞÜ]{{3,}}'), lambda t: lower(t)), lambda t: NOT list_contains({lit(V.WEB_STOPWORDS)}, t)))) AS terms,
+CASE WHEN regexp_matches(lower(substr(text, 1, 40)), '[{V.WEB_TURKISH_LETTERS}]') OR list_has_any(regexp_extract_all(translate(lower(substr(text, 1, 40)), ',.', '  '), '\S+'), {lit(V.WEB_TURKISH_MARKERS)}) THEN 'tr' ELSE 'en' END AS language FROM documents"""
+
 QUERIES = {
+    "x22_q1b_web_terms": (web_terms, WEB_TERMS),
     "x1_x5_fold_text": (fold_text, FOLD),
     "x2_x3_tokenize": (tokenize, TOKENIZE),
     "x4_token_variants": (variants, VARIANTS),
