@@ -46,7 +46,8 @@ def membership(term: Column) -> Column:
 def lexicon(rows: DataFrame, low: float, high: float) -> DataFrame:
     """(term, member) for all terms in at least ``low`` and at most ``high`` of the documents (at least 2 documents; ``high`` counts from 20 documents on), and the mark 0, which every document has."""
     n = rows.count()
-    df = rows.select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # The outer form: from the inner one Spark infers a filter on the array and takes every text apart twice.
+    df = rows.select(F.explode_outer(terms(F.col("t"))).alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(20, high * n)) & (F.col("term") != 0))
     mark = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"), F.lit(0).cast("long").alias("member"))
     return stored(band.select("term", membership(F.col("term")).alias("member")).unionAll(mark), "lexicon")
