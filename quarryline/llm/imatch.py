@@ -58,10 +58,27 @@ def of_kind(list_: Column, kind: int) -> Column:
     return F.sort_array(F.filter(list_, lambda x: (x["term"].bitwiseAND(F.lit(3)) == kind) & (x["member"] > 0)))
 
 
+def _groups() -> list[tuple[int, list[int]]]:
+    """Sub-lexicons of one density: the mask of their bits, and the bits."""
+    out, k = [], 1
+    for n, _ in DENSITIES:
+        bits = list(range(k, k + n))
+        out.append((sum(1 << b for b in bits), bits))
+        k += n
+    return out
+
+
+def by_density(own: str) -> list[Column]:
+    """The terms that are in any sub-lexicon of each density, as columns: few for the sparse ones, which are the most."""
+    within = lambda mask: F.filter(own, lambda x: x["member"].bitwiseAND(F.lit(mask)) != 0)
+    return [within(mask).alias(f"{own}{g}") for g, (mask, _) in enumerate(_groups())]
+
+
 def hashes(own: str, rest: Column) -> Column:
-    """The hashes of a column of sorted terms, one for each sub-lexicon. ``rest`` stands in for the first where no term is in the band."""
-    of = lambda k: F.xxhash64(F.transform(F.filter(own, lambda x: x["member"].bitwiseAND(F.lit(1 << k)) != 0), lambda x: F.shiftrightunsigned(x["term"], 2)))
-    return F.array(F.when(F.size(own) == 0, rest).otherwise(of(0)), *map(of, range(1, HASHES)))
+    """The hashes of a column of sorted terms and its :func:`by_density`, one for each sub-lexicon. ``rest`` stands in for the first where no term is in the band."""
+    plain = lambda c: F.xxhash64(F.transform(c, lambda x: F.shiftrightunsigned(x["term"], 2)))
+    of = lambda c, k: plain(F.filter(c, lambda x: x["member"].bitwiseAND(F.lit(1 << k)) != 0))
+    return F.array(F.when(F.size(own) == 0, rest).otherwise(plain(own)), *(of(f"{own}{g}", k) for g, (_, bits) in enumerate(_groups()) for k in bits))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -136,6 +153,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = each.join(table, F.shiftleft(F.shiftrightunsigned(F.col("term"), 2), 2) == F.col("word"))
     lists = found.groupBy("b", "s", "h", "r").agg(F.first("about").alias("about"), F.collect_list(F.struct("term", "member")).alias("list"))
     lists = lists.select("b", "r", "about.*", of_kind(F.col("list"), OWN).alias("ta"), of_kind(F.col("list"), EDITED).alias("te"), of_kind(F.col("list"), NEXT).alias("tx"))
+    lists = lists.select("*", *by_density("ta"), *by_density("te"), *by_density("tx"))
     told = lists.select("b", "r", "i", "n", "sha", hashes("ta", F.col("ra")).alias("own"), hashes("te", F.col("re")).alias("edited"), F.when(F.col("last"), hashes("tx", F.col("rx"))).alias("head"))
     told = told.withColumn("next", F.coalesce("head", F.lead("own").over(Window.partitionBy("b").orderBy("r"))))
     return told.select(
