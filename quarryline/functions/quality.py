@@ -59,7 +59,7 @@ def style(description: Column, keywords: Column, n_words: Column, bullets_too: b
 
 
 def report_style(description: Column) -> Column:
-    """The report's classifier, from sentences, structure lines, tags and the share of stopwords."""
+    """The report's classifier, from sentences, structure lines, tags and the share of stopwords."""
     t = F.trim(F.coalesce(description, F.lit("")))
     toks = T.tokens(t)
     lines = F.filter(F.transform(F.split(t, r"\R"), lambda x: F.trim(x)), lambda x: x != "")

@@ -181,7 +181,7 @@ def description(subtitle: Column, text: Column, keywords: Column) -> Column:
 
 
 def truncate_words(text: Column, n: int) -> Column:
-    """The first n words, single spaces."""
+    """The first n words, single spaces."""
     return F.array_join(F.slice(words(text), 1, n), " ")
 
 
@@ -219,7 +219,7 @@ def split_pipe(text: Column) -> Column:
 
 
 def overlap(query: Column, doc: Column) -> Column:
-    """Share of the distinct query values that the document has; 0 without query values."""
+    """Share of the distinct query values that the document has; 0 without query values."""
     q = F.array_distinct(query)
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, doc)) / F.size(q)).otherwise(F.lit(0.0))
 

@@ -12,7 +12,7 @@ EPSILON = 1e-12
 
 
 def metrics(results: DataFrame, judgments: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """One row for each system and query of ``judgments`` (query_id, doc_id).
+    """One row for each system and query of ``judgments`` (query_id, doc_id).
 
     ``results``: by + (doc_id, rank), to a depth of max(k, relevant documents): mrr, first rank and
     r-precision look past k. Queries without results get zeros; those without judgments no row. One
@@ -98,17 +98,29 @@ def pairwise(rows: DataFrame, system: str, metrics_: list[str] = METRICS) -> Dat
     return out.crossJoin(F.broadcast(rows.agg(F.count_distinct("query_id").alias("queries"))))
 
 
-def nearest_rank(df: DataFrame, column: str, ratios: list[float]) -> DataFrame:
+def _bucket(value: Column, cuts: list) -> Column:
+    """How many of the ascending cuts are at most ``value``, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    table, steps = F.array(*map(F.lit, cuts)), F.array(*(F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= value, at + s).otherwise(at))
+
+
+def nearest_rank(df: DataFrame, column: str, ratios: list[float], buckets: int = 1000) -> DataFrame:
     """One row with the element at round((n - 1) * ratio), half to even, of the sorted column for each ratio.
 
-    Values are counted first; positions are found on the running sums of the counts, so the
-    one-task window sees distinct values only.
+    Exact at any size: values are counted, dealt to buckets by approximate quantiles, and running sums are
+    taken inside each bucket on top of the sums of those before, so no task sorts the whole column.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.sum("c").over(Window.partitionBy())
-    placed = counts.select("v", upto.alias("upto"), n.alias("n"))
-    return placed.agg(*(F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * r), F.col("v"))).alias(f"q{round(r * 100)}") for r in ratios))
+    cuts = sorted(set(counts.agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0] or []))
+    placed = counts.withColumn("b", _bucket(F.col("v"), cuts))
+    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # over the sums of the buckets
+    sums = placed.groupBy(F.col("b").alias("k")).agg(F.sum("c").alias("s"))
+    sums = sums.select("k", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("shift"), F.sum("s").over(Window.partitionBy()).alias("n"))
+    upto = F.sum("c").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.withColumn("upto", upto).join(F.broadcast(sums), F.col("b") == F.col("k"))
+    return placed.agg(*(F.min(F.when(F.col("shift") + F.col("upto") > F.bround((F.col("n") - 1) * r), F.col("v"))).alias(f"q{round(r * 100)}") for r in ratios))
 
 
 def distribution(df: DataFrame, features: list[str]) -> DataFrame:
@@ -154,6 +166,21 @@ def best_by(rows: DataFrame, group: list[str], system: str, metric: str) -> Data
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def row_for(summary: DataFrame, **keys: str) -> DataFrame:
+    """The first row of a summary with these values (profile, method, ...), in the order of its columns; empty where there is none."""
+    for k, v in keys.items():
+        summary = summary.where(F.col(k) == v)
+    return summary.orderBy(*summary.columns).limit(1)
+
+
+def overview(judgments: DataFrame, fields: list[str]) -> DataFrame:
+    """Distinct queries for every value of each field of a judgment table: field, value, queries. A query counts with the value of its first row."""
+    w = Window.partitionBy("query_id").orderBy("doc_id")
+    first = judgments.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    long = first.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("x.*")
+    return long.where("value is not null and trim(value) <> ''").groupBy("field", "value").agg(F.count("*").alias("queries"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """U1, U3, K3's header: all rows, columns in first-seen order, missing ones null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -83,7 +83,7 @@ def top_k(rows: DataFrame, k: int, by: str = "query_id", score: str = "score", t
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 5, tokens: str = "tokens", id_col: str = "doc_id") -> DataFrame:
-    """(query_id, doc_id, score, rank) for weighted query tokens (query_id, token, qf).
+    """(query_id, doc_id, score, rank) for weighted query tokens (query_id, token, qf).
 
     Documents are scanned once: each gives its matching tokens and a blank one that stands for itself, so
     that the number of documents and their mean length come from the same shuffled rows. (The sums
@@ -106,7 +106,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, tokens: str = "token
 
 
 def search_index(queries: DataFrame, index: Index, k: int = 5) -> DataFrame:
-    """R3 over a stored index: only the postings of the queries' tokens are read on."""
+    """R3, J3, A4 over a stored index: only the postings of the queries' tokens are read on."""
     few = queries.join(index.frequencies.drop("idf"), "token")
     hits = index.postings.join(F.broadcast(few) if queries.count() <= BROADCAST_TOKENS else few, "token").crossJoin(F.broadcast(index.stats))
     points = F.round(F.sum(score_columns(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("qf"), F.col("n"), F.col("df"))), 6)

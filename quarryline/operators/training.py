@@ -118,6 +118,28 @@ def positives(analyzed: DataFrame, k: int = POSITIVES) -> DataFrame:
     return rows.withColumn("_m", F.row_number().over(again)).where(c("_m") <= k).drop("_n", "_m")
 
 
+def matching_text(*parts: Column) -> Column:
+    """Several fields as one text, cleaned for clue matching."""
+    return T.keep_words(F.concat_ws(" ", *parts))
+
+
+def training_text(*parts: Column, most: int = 1600) -> Column:
+    """The first field that is not blank, cut."""
+    return F.substring(F.coalesce(*(F.when(F.trim(p) != "", F.trim(p)) for p in parts), F.lit("")), 1, most)
+
+
+def corpus(docs: DataFrame) -> DataFrame:
+    """What training keeps of a document: ids, title, source, labels, text."""
+    keep = [c for c in ("doc_id", "ref", "title", "source", "inferred_domains", "inferred_use_cases", "inferred_modalities") if c in docs.columns]
+    text = [F.col(c) for c in ("semantic_text", "text", "description", "semantic_summary", "title") if c in docs.columns]
+    return docs.select(*keep, training_text(*text).alias("text"))
+
+
+def english(judgments: DataFrame) -> DataFrame:
+    """judgments in English."""
+    return judgments.where(F.lower(F.trim("language")) == "en")
+
+
 def rank_score(rank: Column, depth: int = DEPTH) -> Column:
     """1 at the first rank, falling in a line."""
     return F.when(rank <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (rank - 1) / depth))

@@ -152,7 +152,22 @@ def retriever_dev(spark, sf):
 DEV = f"""WITH {NEAREST}, {ranked(11, 'n')}, y AS (SELECT r.query_id, o.label, max((e.label = o.label)::INT) AS hit, coalesce(1 / min(CASE WHEN e.label = o.label THEN rank END)::DOUBLE, 0) AS rr FROM r JOIN embeddings e ON e.vec_id = doc_id JOIN embeddings o ON o.vec_id = query_id WHERE doc_id <> query_id GROUP BY ALL)
 SELECT label, count(*) AS queries, round(avg(hit), 6) AS hit_rate, round(avg(rr), 6) AS mrr FROM y GROUP BY GROUPING SETS ((), (label))"""
 
+def overview(spark, sf):
+    j = frames.judgments(spark, sf).join(frames.table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return evaluate.overview(j, ["lang", "source"])
+
+
+OVERVIEW = f"""WITH {JUDGED}, f AS (SELECT query_id, lang, source, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS n FROM j JOIN documents USING (doc_id))
+SELECT 'lang' AS field, lang AS value, count(*) AS queries FROM f WHERE n = 1 GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM f WHERE n = 1 GROUP BY source"""
+
+
+def row_for(spark, sf):
+    return evaluate.row_for(summary(spark, sf), method="bm25")
+
+
 QUERIES = {
+    "c3_a16_a18_overview": (overview, OVERVIEW),
+    "j19_row_lookup": (row_for, f"SELECT * FROM ({SUMMARY}) WHERE method = 'bm25'"),
     "e1_e9_w2_metrics": (metrics, METRICS),
     "a9_summary": (summary, SUMMARY),
     "a10_summary_by_field": (by_field, BY_FIELD),

@@ -127,7 +127,16 @@ def examples(spark, sf):
 
 EXAMPLES = f"SELECT query_id, positive_id, negative_id, md5(a.text) AS positive_md5, md5(b.text) AS negative_md5 FROM ({TRIPLETS}) t JOIN documents a ON a.doc_id = positive_id JOIN documents b ON b.doc_id = negative_id WHERE split = 'train'"
 
+def training_corpus(spark, sf):
+    d = frames.corpus(spark, sf).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("description")))
+    return training.corpus(d.drop("description")).select("doc_id", "title", "source", F.md5("text").alias("text_md5"))
+
+
+_TITLE = r"array_to_string((regexp_extract_all(text, '\S+'))[1:6], ' ')"
+CORPUS_SQL = f"SELECT doc_id, {_TITLE} AS title, source, md5(substr(CASE WHEN doc_id % 3 = 0 THEN {_TITLE} ELSE trim(text) END, 1, 1600)) AS text_md5 FROM documents"
+
 QUERIES = {
+    "p11_x17_t8_training_corpus": (training_corpus, CORPUS_SQL),
     "g1_hash_split": (splits, SPLITS),
     "g6_j8_pairs": (pairs, PAIRS),
     "g2_j6_candidate_pool": (pool, POOL),

@@ -68,6 +68,16 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_json_document(df: DataFrame, path: str) -> None:
+    """K5: a small table as one JSON file (one object a line, one file)."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of constants."""
+    return spark.createDataFrame(rows, schema)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """A header, arrays joined by bars, nulls empty; with ``columns`` these in this order."""
     df = df.select(*columns) if columns else df
