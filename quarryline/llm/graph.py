@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import drop, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -33,5 +33,6 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(now) == mark or not now[0]:
             break
         mark = tuple(now)
-        edges = stored(_star(_star(edges, True), False), "links")
+        before, edges = edges, stored(_star(_star(edges, True), False), "links")
+        drop(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

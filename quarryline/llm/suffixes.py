@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import stored
+from .scratch import drop, stored
 
 GRAM = 32
 #: Bits of the packed minimum that hold a position; a longer document is taken in overlapping parts.
@@ -305,6 +305,7 @@ def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20
     index = stored(rows.where(F.octet_length("t") >= length).mapInArrow(_index_batches(length), "i long, x long, h long, c long, n int, a int, starts array<long>"), "fragments")
     anchor = index.groupBy("h").agg(F.sum(F.size("starts")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 1").select(F.col("h").alias("g"), (F.col("lo") != F.col("hi")).alias("several"))
     found = stored(index.join(anchor, index["h"] == anchor["g"]).drop("g"), "repeated-anchors")
+    drop(index)
     # One row a distinct fragment, with one of its places and how many it has.
     each = found.groupBy("h", "c", "several").agg(F.sum(F.size("starts")).alias("m"), F.min(F.struct("i", "x", F.element_at("starts", 1).alias("s"), "n", "a")).alias("p"))
     each = stored(each.select("h", "c", "several", "m", "p.*"), "distinct-fragments")
@@ -313,25 +314,29 @@ def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20
     pieces = one.mapInArrow(_fetch_batches(length), _PIECES)
     sizes = each.where("several").groupBy(F.col("h").alias("g")).agg(F.count("*").alias("z"))
     hot = stored(sizes.where(F.col("z") > most_fragments).select("g"), "hot-anchors")
-    parts, ranges = [], each.where("m > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
+    kept, parts, ranges = [hot], [], each.where("m > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
     # Cores grow until a piece is a single window, which its key alone tells.
     for step in (50, 8, 1):
         if hot.isEmpty():
             parts.append(pieces)
             break
         pieces = stored(pieces, "pieces")
+        kept.append(pieces)
         parts.append(pieces.join(hot, pieces["k"] == hot["g"], "left_anti"))
         cut = stored(pieces.join(hot, pieces["k"] == hot["g"], "left_semi").mapInArrow(_cut_batches(length, step), _PIECES), "pieces")
+        kept.append(cut)
         keys = cut.groupBy(F.col("k").alias("g")).agg(F.count("*").alias("z")).where("z > 1")
         if step > 1:
             pieces = cut.join(keys, cut["k"] == keys["g"], "left_semi")
             hot = stored(keys.where(F.col("z") > most_fragments).select("g"), "hot-anchors")
+            kept.append(hot)
         else:
             once = F.array(F.struct(F.col("o").alias("a"), (F.col("o") + 1).cast("int").alias("b")))
             ranges = ranges.unionAll(cut.where("m = 1").join(keys, cut["k"] == keys["g"], "left_semi").select("h", "c", once.alias("ranges")))
     for part in parts:
         ranges = ranges.unionAll(part.repartition("k").sortWithinPartitions("k").mapInArrow(_transform_batches(length), f"h long, c long, ranges {_PAIRS}"))
     ranges = stored(ranges.select(F.col("h").alias("rh"), F.col("c").alias("rc"), "ranges"), "ranges")
+    drop(each, *kept)
     hit = found.join(ranges, (found["h"] == ranges["rh"]) & (found["c"] == ranges["rc"])).select("i", "x", F.explode("starts").alias("s"), "ranges")
     hit = hit.select("i", "x", "s", F.explode("ranges").alias("r"))
     return hit.select("i", "x", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b") - 1 + length).alias("b"))
