@@ -89,7 +89,8 @@ class Engine:
         return at
 
     def plan(self, queries: DataFrame) -> DataFrame:
-        return planner.plan(queries, self.rules)
+        """Q9, kept: pass it to several searches of the same queries."""
+        return planner.plan(queries, self.rules).persist()
 
     def bm25(self, plans: DataFrame, k: int) -> DataFrame:
         return lexical.search_index(lexical.weighted_query_tokens(plans), self.index, k)
@@ -137,9 +138,9 @@ class Engine:
         features = rerank.query_features(plans, planner.anchors(plans, self.frequencies, self.total))
         return rerank.rerank(ranked, self.features, features, k, base, quality)
 
-    def search(self, queries: DataFrame, method: str, k: int = 5, source: str = "all", profile: str = profiles.DEFAULT, options: Options = Options()) -> DataFrame:
-        """Results of one method for (query_id, query). With a source, the whole corpus is ranked first and filtered after, as normalised scores depend on all candidates."""
-        plans = self.plan(queries).persist()
+    def search(self, queries: DataFrame, method: str, k: int = 5, source: str = "all", profile: str = profiles.DEFAULT, options: Options = Options(), plans: DataFrame | None = None) -> DataFrame:
+        """Results of one method for (query_id, query), or for their ``plans`` where those are there already. With a source, the whole corpus is ranked first and filtered after, as normalised scores depend on all candidates."""
+        plans = self.plan(queries) if plans is None else plans
         depth = k if source == "all" else self.known.count()
         ranked = self.bm25(plans, depth) if method == "bm25" else self.semantic(plans, depth, profile, options) if method == "semantic" else self.hybrid(plans, depth, profile, options)
         if "rerank_score" in ranked.columns:
@@ -148,7 +149,8 @@ class Engine:
 
     def compare(self, queries: DataFrame, k: int = 5, source: str = "all", profile: str = profiles.DEFAULT) -> DataFrame:
         """All three methods side by side: method, query_id, doc_id, rank, score."""
-        rows = [self.search(queries, m, k, source, profile).select(F.lit(m).alias("method"), "query_id", "doc_id", "rank", "score") for m in METHODS]
+        plans = self.plan(queries)
+        rows = [self.search(queries, m, k, source, profile, plans=plans).select(F.lit(m).alias("method"), "query_id", "doc_id", "rank", "score") for m in METHODS]
         return evaluate.union_all(rows)
 
     def evaluate(self, judgments: DataFrame, k: int = 5, methods: tuple[str, ...] = METHODS, profile: str = profiles.DEFAULT) -> DataFrame:
@@ -161,10 +163,10 @@ class Engine:
 
         queries = judgments.select("query_id", "query").distinct().persist()
         n, deepest = queries.count(), judgments.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-        parts = []
+        parts, plans = [], self.plan(queries)
         for m in methods:
             began = time.perf_counter()
-            r = self.search(queries, m, max(k, deepest), profile=profile).select(F.lit(m).alias("method"), F.lit(profile).alias("profile"), "query_id", "doc_id", "rank").persist()
+            r = self.search(queries, m, max(k, deepest), profile=profile, plans=plans).select(F.lit(m).alias("method"), F.lit(profile).alias("profile"), "query_id", "doc_id", "rank").persist()
             r.count()
             parts.append((r, 1000 * (time.perf_counter() - began) / max(n, 1)))
         out = evaluate.metrics(evaluate.union_all([r for r, _ in parts]), judgments.select("query_id", "doc_id"), k, ("profile", "method", "query_id"))
@@ -175,9 +177,9 @@ class Engine:
         """Probes (probe_id, query, expected) under every method: combo, probe_id, rank, label (title and reference), weak_match; for :func:`evaluate.probes`."""
         queries = probes.select(F.col("probe_id").alias("query_id"), "query")
         names = self.docs.select("doc_id", F.concat_ws(" ", "title", "ref").alias("label"))
-        rows = []
+        rows, plans = [], self.plan(queries)
         for m in methods:
-            r = self.search(queries, m, k, profile=profile)
+            r = self.search(queries, m, k, profile=profile, plans=plans)
             weak = F.col("weak_match") if "weak_match" in r.columns else F.lit(False)
             rows.append(r.join(names, "doc_id").select(F.concat(F.lit(f"{profile}/"), F.lit(m)).alias("combo"), F.col("query_id").alias("probe_id"), "rank", "label", weak.alias("weak_match")))
         return evaluate.union_all(rows)
