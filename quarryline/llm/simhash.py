@@ -8,6 +8,11 @@ tallied, pairs under four are dropped, the rest are verified by the differing bi
 
 Only a spanning forest of the links of each posting list is emitted, never all pairs: a group of n
 near copies costs n - 1 rows a list. Equal fingerprints are one node from the start.
+
+Four bits are an estimated cosine of 0.98. Fingerprints of texts that share 0.8 of their shingles differ
+in about ten bits, often in sixteen, and sixteen of 64 bits leave no byte that must be shared. So
+:func:`representatives`, which is about similarity, has an index of its own: postings by the smallest
+shingle hashes of a text, candidates by sketches, and every link verified on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -39,13 +44,12 @@ def position_triples() -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(8), 3) if kept(t)]
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of a block's documents: bit i is set if it is in over half of the hashes of the ``width``-word shingles."""
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``width``-word shingles of a block's documents, in order, and how many each document has."""
     is_word = K.SPACE[data]
     starts, ends, counts = K.spans(is_word, offsets)
-    out = np.zeros(len(counts), np.uint64)
     if not len(starts):
-        return out
+        return np.empty(0, np.uint64), np.zeros(len(counts), np.int64)
     keep = is_word.copy()
     gap = ends[ends < len(data)]
     keep[gap] = True  # one separator after each word; a word that follows at once belongs to the next document
@@ -58,7 +62,15 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarra
     base = np.cumsum(counts) - counts
     first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + base[doc]
     last = first + short[doc] - 1
-    h = K.xxh64(buffer, starts[first], ends[last] - starts[first])
+    return K.xxh64(buffer, starts[first], ends[last] - starts[first]), n
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of a block's documents: bit i is set if it is in over half of the hashes of the ``width``-word shingles."""
+    h, n = shingles(data, offsets, width)
+    out = np.zeros(len(n), np.uint64)
+    if not len(h):
+        return out
     # Eight one-byte counters in a word: sums of at most 255 hashes do not overflow them.
     own = np.flatnonzero(n)
     begin = (np.cumsum(n) - n)[own]
@@ -103,26 +115,27 @@ def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _link_batches(most: int):
-    def lists(batches):
-        """Whole posting lists: rows come sorted by key, a list may span batches."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            k = np.asarray(batch.column("k"))
-            if k[0] == k[-1] and (len(held) == 1 or np.asarray(held[0].column("k"))[-1] == k[0]):
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks()
-            at = int(np.searchsorted(np.asarray(whole.column("k")), k[-1]))
-            yield whole.slice(0, at)
-            held = whole.slice(at).to_batches()
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks()
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole posting lists: rows come sorted by key, a list may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        k = np.asarray(batch.column("k"))
+        if k[0] == k[-1] and (len(held) == 1 or np.asarray(held[0].column("k"))[-1] == k[0]):
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        at = int(np.searchsorted(np.asarray(whole.column("k")), k[-1]))
+        yield whole.slice(0, at)
+        held = whole.slice(at).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
+
+def _link_batches(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in lists(batches):
+        for t in _lists(batches):
             k, fp, rep = (np.asarray(t.column(c)) for c in ("k", "fp", "rep"))
             fp = fp.view(np.uint64)
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -171,16 +184,188 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, fps["fp"] == named["f"]).select(F.col("i").alias("doc_id"), "x", F.col("fp").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` with one of each component left: the one with the smallest id (of repeated rows with that id and text, one). Rows without id stay only where all of their component have none."""
-    found = stored(near_duplicates(docs, id_col, text_col, width, max_bits), "simhash-components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gi"), F.col("x").alias("gx")).distinct()
+#: Smallest shingle hashes of a text: so many are postings, so many a sketch. A pair of similarity 0.8 shares no posting with probability 0.2**12 = 4e-9 (never, if one has under 55 shingles), and its sketches look under half alike with 2e-8.
+POSTINGS, SKETCH = 12, 64
+_NONE = np.uint64(2**64 - 1)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document, ascending, and how many each has."""
+    h, n = shingles(data, offsets, width)
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order], kind="stable")]
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.bincount(doc[new], minlength=len(n))
+
+
+def _list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _sketch_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in K.blocks(batches, "t"):
+            h, n = shingle_sets(data, offsets, width)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(h), dtype=np.uint64)])
+            last = np.cumsum(n)
+            name = K.mix(sums[last] - sums[last - n] + n.astype(np.uint64))
+            low = np.arange(len(h)) - np.repeat(last - n, n) < SKETCH
+            yield pa.RecordBatch.from_arrays([block.column("i"), block.column("x"), pa.array(name.view(np.int64)), pa.array(n), _list_array(h[low], np.minimum(n, SKETCH))], ["i", "x", "g", "n", "s"])
+
+    return run
+
+
+def _set_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in K.blocks(batches, "t"):
+            yield pa.RecordBatch.from_arrays([block.column("g"), _list_array(*shingle_sets(data, offsets, width))], ["g", "s"])
+
+    return run
+
+
+class Sketches:
+    """Sketches of some texts in one matrix, and which pairs of them can be alike.
+
+    Sets of at most SKETCH hashes are whole in their sketches: two such texts are judged exactly. For
+    others the seen part of the union is a sample, and pairs count within 5.6 standard deviations
+    (at most 0.3) of the similarity; the more of the union is seen, the less.
+    """
+
+    def __init__(self, column: pa.Array, n: np.ndarray, similarity: float):
+        ends = np.asarray(column.offsets)
+        size = np.diff(ends)
+        values = np.asarray(column.values).view(np.uint64)[ends[0] : ends[-1]]
+        self.rows, self.n, self.least = np.full((len(n), SKETCH), _NONE), n, similarity
+        self.rows[np.repeat(np.arange(len(n)), size), np.arange(len(values)) - np.repeat(ends[:-1] - ends[0], size)] = values
+        self.reach = np.where(n > SKETCH, self.rows[:, -1], _NONE)  # up to there a sketch has all hashes
+
+    def alike(self, a: np.ndarray, b: np.ndarray, at_once: int = 16384) -> np.ndarray:
+        """Pairs whose sizes allow the similarity and whose sketches do not rule it out."""
+        out = np.minimum(self.n[a], self.n[b]) >= self.least * np.maximum(self.n[a], self.n[b]) - 1e-9
+        left = np.flatnonzero(out)
+        for at in range(0, len(left), at_once):
+            pairs = left[at : at + at_once]
+            x, y = a[pairs], b[pairs]
+            both = np.sort(np.concatenate([self.rows[x], self.rows[y]], axis=1), axis=1)
+            shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)).sum(axis=1)
+            seen = ((both <= np.minimum(self.reach[x], self.reach[y])[:, None]) & (both != _NONE)).sum(axis=1)
+            union = seen - shared
+            whole = (self.n[x] <= SKETCH) & (self.n[y] <= SKETCH)
+            unseen = np.maximum(0, 1 - union * (1 + self.least) / (self.n[x] + self.n[y]))  # of the largest union that reaches the similarity
+            slack = np.where(whole, 0, np.minimum(0.3, 5.6 * np.sqrt(self.least * (1 - self.least) * unseen / union)))
+            out[pairs] = shared >= (self.least - slack) * union - 1e-9
+        return out
+
+    def least_shared(self, a: np.ndarray, b: np.ndarray, at_once: int = 16384) -> np.ndarray:
+        """The smallest hash that both texts of a pair have."""
+        out = np.empty(len(a), np.uint64)
+        for at in range(0, len(a), at_once):
+            both = np.sort(np.concatenate([self.rows[a[at : at + at_once]], self.rows[b[at : at + at_once]]], axis=1), axis=1)
+            out[at : at + at_once] = both[np.arange(len(both)), (both[:, 1:] == both[:, :-1]).argmax(axis=1)]
+        return out
+
+    def forest(self, first: int, size: int) -> list[tuple[int, int]]:
+        """Spanning links of the rows from ``first``."""
+        out, rest = [], np.arange(first, first + size)
+        while len(rest) > 1:
+            front, rest = [rest[0]], rest[1:]
+            while front and len(rest):
+                x = front.pop()
+                near = self.alike(np.full(len(rest), x), rest)
+                found = rest[near]
+                out += [(x, y) for y in found]
+                front += found.tolist()
+                rest = rest[~near]
+        return out
+
+
+def _candidate_batches(similarity: float, every: bool):
+    """(a, b, k) of the posting lists: a spanning forest, or with ``every`` all pairs that are in different components ``c`` so far, each from the first list the two share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _lists(batches):
+            t = t.combine_chunks()
+            k, g, n, c = (np.asarray(t.column(x)) for x in ("k", "g", "n", "c"))
+            s = t.column("s").combine_chunks()
+            sketches = Sketches(s.chunk(0) if isinstance(s, pa.ChunkedArray) else s, n, similarity)
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(cut, len(k)))
+            two = cut[size == 2] if not every else cut[:0]
+            two = two[sketches.alike(two, two + 1)]
+            links = [np.stack([two, two + 1], axis=1)]
+            for i, m in zip(cut, size):
+                if every:
+                    for x in range(i, i + m - 1):
+                        rest = np.arange(x + 1, i + m)
+                        rest = rest[c[rest] != c[x]]
+                        rest = rest[sketches.alike(np.full(len(rest), x), rest)]
+                        rest = rest[sketches.least_shared(np.full(len(rest), x), rest) == k[x : x + 1].view(np.uint64)]
+                        links.append(np.stack([np.full(len(rest), x), rest], axis=1))
+                elif m > 2:
+                    links.append(np.array(sketches.forest(i, m), np.int64).reshape(-1, 2))
+            a, b = np.concatenate(links).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[a], g[b])), pa.array(np.maximum(g[a], g[b])), pa.array(k[a])], ["a", "b", "k"])
+
+    return run
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(i, x, component), one row for each distinct shingle set: the first row that has it (smallest id, null last) and its component.
+
+    Two texts link if their sets of ``width``-word shingles (fewer words: the whole sequence; case and
+    white space do not count) have a Jaccard similarity of ``similarity`` or more. Lists whose
+    candidates are all verified need no second look, as a spanning forest of the candidates has been
+    verified; in the others every pair that is still in two components is verified.
+    """
+    if not 0.8 <= similarity <= 1:
+        raise ValueError("similarity must be from 0.8 to 1")
+    t = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t"))
+    sketched = rows.mapInArrow(_sketch_batches(width), "i long, x long, g long, n long, s array<long>")
+    nodes = stored(sketched.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "x")).alias("p"), F.first("n").alias("n"), F.first("s").alias("s")), "shingle-sets")
+    postings = nodes.select("g", F.explode(F.slice("s", 1, POSTINGS)).alias("k"))
+    shared = postings.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("z")).where("z > 1")
+    lists = stored(postings.join(shared, postings["k"] == shared["key"], "left_semi").withColumnRenamed("g", "node"), "shingle-lists")
+    lists = stored(lists.join(nodes, lists["node"] == nodes["g"]).select("k", "g", "n", "s"), "shingle-lists")
+
+    def verified(members: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+        found = stored(members.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_candidate_batches(similarity, every), "a long, b long, k long"), "candidates")
+        pairs = found.select("a", "b").distinct()
+        ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+        texts = nodes.join(ends, nodes["g"] == ends["node"], "left_semi").select("g", F.col("p.i").alias("pi"), F.col("p.x").alias("px"))
+        texts = rows.join(texts, rows["i"].eqNullSafe(texts["pi"]) & (rows["x"] == texts["px"])).select("g", "t")
+        sets = stored(texts.mapInArrow(_set_batches(width), "g long, s array<long>").dropDuplicates(["g"]), "candidate-sets")
+        pairs = pairs.join(sets.select(F.col("g").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("g").alias("b"), F.col("s").alias("sb")), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        union = F.size("sa") + F.size("sb") - both
+        judged = stored(pairs.select("a", "b", (both >= F.lit(similarity) * union - 1e-9).alias("ok")), "verified")
+        return judged, found
+
+    judged, found = verified(lists.withColumn("c", F.col("g")), False)
+    links, failed = judged.where("ok").select("a", "b"), judged.where("not ok").select("a", "b")
+    comp = components(links)
+    if not failed.isEmpty():
+        open_lists = found.join(failed, ["a", "b"], "left_semi").select(F.col("k").alias("key")).distinct()
+        members = lists.join(open_lists, lists["k"] == open_lists["key"], "left_semi")
+        members = members.join(comp, members["g"] == comp["node"], "left").select("k", "g", "n", "s", F.coalesce("component", "g").alias("c"))
+        links = links.union(verified(members, True)[0].where("ok").select("a", "b"))
+        comp = components(links)
+    return nodes.join(comp, nodes["g"] == comp["node"], "left").select("p.i", "p.x", F.coalesce("component", "g").alias("component"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one of each component of :func:`similar` left: the one with the smallest id (of repeated rows with that id and text, one). Rows without id stay only where all of their component have none."""
+    first = F.min(F.struct(F.col("i").isNull().alias("last"), "i", "x")).alias("p")
+    kept = stored(similar(docs, id_col, text_col, width, similarity).groupBy("component").agg(first).select(F.col("p.i").alias("gi"), F.col("p.x").alias("gx")), "representatives")
     key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
-    left = docs.join(gone, key[0].eqNullSafe(F.col("gi")) & (key[1] == F.col("gx")), "left_anti")
-    again = stored(found.groupBy(F.col("doc_id").alias("gi"), F.col("x").alias("gx")).count().where("count > 1").drop("count"), "simhash-repeats")
+    same = key[0].eqNullSafe(F.col("gi")) & (key[1] == F.col("gx"))
+    left = docs.join(kept, same, "left_semi")
+    again = stored(left.groupBy(key[0].alias("gi"), key[1].alias("gx")).count().where("count > 1").drop("count"), "simhash-repeats")
     if again.isEmpty():
         return left
-    same = key[0].eqNullSafe(F.col("gi")) & (key[1] == F.col("gx"))
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 

@@ -88,3 +88,37 @@ def test_representatives(spark):
     assert got == sorted([(1, t), (2, "other text here"), (9, "")], key=str)
     assert simhash.representatives(docs).columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def brute_kept(texts):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    return sorted(set(brute_components(pairs, range(len(sets))).values())), len([1 for i, j in pairs if sets[i] != sets[j]])
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_representatives_reach_similarity(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(3, 400)))
+        texts += [base, *(edited(rng, base, rng.randrange(1, 2 + len(base.split()) // 25)) for _ in range(4))]
+    # One dense group around the limit, and texts that share a long head but not enough.
+    base = " ".join(f"g{rng.randrange(5000)}" for _ in range(200))
+    texts += [edited(rng, base, rng.randrange(1, 8)) for _ in range(60)]
+    texts += [" ".join([f"h{i}" for i in range(150)] + [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 60))]) for _ in range(60)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, pairs = brute_kept(texts)
+    assert pairs > 300
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == want
