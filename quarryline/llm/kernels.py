@@ -53,8 +53,8 @@ def slice_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column (null: empty) and the documents' offsets in them."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """All bytes of a string or binary column (null: empty) and the documents' offsets in them."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)

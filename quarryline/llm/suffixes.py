@@ -21,6 +21,9 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
 An anchor with more than ``most_fragments`` distinct fragments is dealt out anew: its fragments are cut
 into pieces whose windows all cover a core, keyed by the core's bytes; step by step the core
 grows to the whole window, whose key alone then tells repeats. No step drops or caps anything.
+
+Passages can be told by words instead: with four bytes of hash for each word, a passage of n words is
+a window of 4 n bytes, whatever the length of its words.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ GRAM = 32
 _POS_BITS = 24
 _PART = (1 << _POS_BITS) - (1 << 16)
 U = np.uint64
+#: Bytes of hash for a word.
+_CODE = 4
 
 
 def anchors(data: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
@@ -273,6 +278,9 @@ def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for d, ranges in enumerate(block.column("ranges").to_pylist()):
             text = data[offsets[d] : offsets[d + 1]]
             if ranges:
+                if any(r["w"] for r in ranges):
+                    start, end, _ = K.spans(K.SPACE[text], np.array([0, len(text)]))
+                    ranges = [{"a": start[r["a"]], "b": end[r["b"] - 1]} if r["w"] else r for r in ranges]
                 edge = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edge, [r["a"] for r in ranges], 1)
                 np.add.at(edge, [r["b"] for r in ranges], -1)
@@ -294,6 +302,30 @@ def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+def _code_batches(words: int):
+    """Texts of at least ``words`` white-space separated words as the hashes of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in K.blocks(batches, "t"):
+            starts, ends, counts = K.spans(K.SPACE[data], offsets)
+            code = K.slice_hash(K.prefix_hash(data), starts, ends).astype("<u4").tobytes()
+            last = np.cumsum(counts) * _CODE
+            keep = np.flatnonzero(counts >= words)
+            texts = pa.array([code[last[d] - counts[d] * _CODE : last[d]] for d in keep], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(keep)) for c in ("i", "x")), texts], ["i", "x", "t"])
+
+    return run
+
+
+def repeated_words(rows: DataFrame, words: int, most_fragments: int = 20_000) -> DataFrame:
+    """(i, x, a, b): ranges of words to remove from the documents (i, x, t), such that each string of ``words`` words in them starts anywhere else too. White space between words does not count."""
+    length = words * _CODE
+    found = repeated_ranges(rows.mapInArrow(_code_batches(words), "i long, x long, t binary"), length, most_fragments)
+    # Windows that start at a word; those between are halves of words.
+    first, last = F.ceil(F.col("a") / _CODE), F.floor((F.col("b") - length) / _CODE)
+    return found.select("i", "x", first.alias("a"), (last + words).alias("b")).where(F.col("b") - F.col("a") >= words)
+
+
 def _sides(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = F.coalesce(F.col(text_col), F.lit(""))
     others = F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c != text_col))
@@ -354,18 +386,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _removed(rows.drop("row"), length, most_fragments).withColumnRenamed("i", "doc_id")
 
 
-def _removed(rows: DataFrame, length: int, most_fragments: int) -> DataFrame:
-    ranges = repeated_ranges(rows.select("i", "x", "t"), length, most_fragments)
-    own = ranges.groupBy(F.col("i").alias("ri"), F.col("x").alias("rx")).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+def _removed(rows: DataFrame, length: int, most_fragments: int, words: int | None = None) -> DataFrame:
+    ranges = repeated_ranges(rows.select("i", "x", "t"), length, most_fragments).withColumn("w", F.lit(False))
+    if words:
+        ranges = ranges.unionByName(repeated_words(rows.select("i", "x", "t"), words, most_fragments).withColumn("w", F.lit(True)))
+    own = ranges.groupBy(F.col("i").alias("ri"), F.col("x").alias("rx")).agg(F.collect_set(F.struct("a", "b", "w")).alias("ranges"))
     joined = rows.join(own, rows["i"].eqNullSafe(own["ri"]) & (rows["x"] == own["rx"]), "left").drop("ri", "rx")
     pairs = "array<struct<a:long,b:long>>"
     carried = ", ".join(f"{c} {t}" for c, t in joined.dtypes if c not in ("t", "ranges"))
     return joined.mapInArrow(_remove_batches, f"{carried}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {pairs}, kept string")
 
 
-def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_fragments: int = 20_000) -> DataFrame:
-    """The rows of ``docs``, all columns as they are but for the text, which is what :func:`remove_repeats` keeps."""
-    out = _removed(_sides(docs, id_col, text_col), length, most_fragments)
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_fragments: int = 20_000, words: int | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are but for the text, which is what :func:`remove_repeats` keeps; with ``words`` (16 at least), repeated strings of so many words go too, however few bytes they have."""
+    if words and words * _CODE < 2 * GRAM:
+        raise ValueError(f"words must be {2 * GRAM // _CODE} at least")
+    out = _removed(_sides(docs, id_col, text_col), length, most_fragments, words)
     return out.select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quarryline.llm.suffixes import remove_repeats
+from quarryline.llm.suffixes import kept_texts, remove_repeats
 
 
 def brute(texts, length):
@@ -62,3 +62,46 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in remove_repeats(docs).collect())
     assert got == [(0, 501, 500), (1, 500, 500), (1, 500, 500), (2, 5, 0)]
     assert remove_repeats(docs.limit(0)).collect() == []
+
+
+def brute_words(texts, n):
+    split = [(t or "").split() for t in texts]
+    seen = {}
+    for d, w in enumerate(split):
+        for p in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[p : p + n]), []).append((d, p))
+    gone = [set() for _ in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for d, p in places:
+                gone[d].update(range(p, p + n))
+    return [[x for i, x in enumerate(w) if i not in g] for w, g in zip(split, gone)]
+
+
+@pytest.mark.parametrize("most", [1, 20_000])
+def test_passages_by_words(spark, most):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 5)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    texts = [None, "", "a " * 60, "b c " * 25]
+    for n in (49, 50, 51, 52, 60, 62):
+        passage = some(n)
+        texts += [f"{some(20)} {passage} {some(9)}", f"{some(3)}\n{passage.replace(' ', chr(10), 3)} {some(30)}"]
+    # Two passages of 30 words that recur apart are none of 60.
+    a, b = some(30), some(30)
+    texts += [f"{some(5)} {a} {b} {some(5)}", f"{some(8)} {a} {some(5)}", f"{some(9)} {b} {some(7)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in kept_texts(docs, words=51, most_fragments=most).collect()}
+    assert [got[i].split() for i in range(len(texts))] == brute_words(texts, 51)
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"{rng.randrange(10**5):x}" for _ in range(n))
+    passage, heads = some(51), [some(30), some(40)]
+    assert len(passage) < 400
+    docs = spark.createDataFrame([(i, f"{h} {passage}") for i, h in enumerate(heads)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["suffix_array_dedup"]
+    assert {r["doc_id"]: r["text"].strip() for r in stage(spark, docs, "").collect()} == dict(enumerate(heads))
