@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .scratch import stored
+from .tokens import token_counts
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
@@ -56,6 +57,13 @@ def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_word_batches, f"doc_id {dict(rows.dtypes)['i']}, n long")
 
 
+def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n) of every row: tokens of the whole text with the 50k byte-level vocabulary, 0 for null."""
+    import public_tokenizers
+
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), id_col, text_col).select("doc_id", F.col("n_tokens").alias("n"))
+
+
 def pack(lengths: DataFrame, max_length: int = 2048, buckets: int = 16, budget: int = 32768, shard_rows: int = 200_000) -> DataFrame:
     """(doc_id, piece, start, length, bucket, padded_length, batch, slot) for (doc_id, n).
 
@@ -88,6 +96,6 @@ def pack(lengths: DataFrame, max_length: int = 2048, buckets: int = 16, budget:
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    """Query: all documents, lengths in words."""
+    """Query: all documents, lengths in tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(stored(word_lengths(docs), "packing-lengths"))
+    return pack(stored(token_lengths(docs), "packing-lengths"))

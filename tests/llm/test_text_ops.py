@@ -100,6 +100,28 @@ def test_word_lengths(spark):
     assert sorted((r["doc_id"], r["n"]) for r in packing.word_lengths(docs).collect()) == [(1, 0), (2, 0), (3, 1), (3, 3)]
 
 
+def test_packing_cuts_by_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [None, "", "a few plain words", "é" * 50_000, "".join(chr(0x4E00 + i * 7 % 2000) for i in range(9000)), "word " * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(model.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
+    assert want[3] > 2048 and want[4] > 2048
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (packing.op8_packing(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path))):
+        rows = got.collect()
+        assert {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in want} == want
+        assert max(r["length"] for r in rows) <= 2048
+        batches = {}
+        for r in rows:
+            batches[r["bucket"], r["batch"]] = batches.get((r["bucket"], r["batch"]), 0) + r["padded_length"]
+        assert max(batches.values()) <= 32768
+
+
 # --- WARC -----------------------------------------------------------------------------------------
 
 
