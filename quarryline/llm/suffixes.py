@@ -11,9 +11,9 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
    documents. The transform of the collection is built column by column from the right: each
    round inserts one symbol of each document before the suffix inserted in the round before. As
    suffixes that start in different columns cannot be equal windows, columns act as distinct
-   symbols: a round's insertions fall in one segment of the transform, it reads the segment before
-   (order, common prefixes) and writes its own symbols in sorted order, in sequence, to a file that
-   is only appended to. Common prefixes follow by range minima of the last segment's. A window is
+   symbols: a round's insertions fall in one segment of the transform, and all it needs is the
+   segment before (order, common prefixes). A collection is bounded, so one segment is held in
+   memory and no file is kept. Common prefixes follow by range minima of the last segment's. A window is
    repeated if the suffix that starts it shares ``length`` symbols with a neighbour, or if its
    fragment occurs more than once.
 3. Ranges go back to the occurrences of their fragments and are merged for each document.
@@ -28,7 +28,6 @@ a window of 4 n bytes, whatever the length of its words.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,13 +111,12 @@ def _index_batches(length: int):
 class Segments:
     """The transform of a collection of anchored fragments, one column a round.
 
-    ``symbols`` is fragments x columns, 256 where a fragment has no byte. Each round's sorted
-    symbols are appended to a file that spills to disk beyond 8 MB and goes with the task.
+    ``symbols`` is fragments x columns, 256 where a fragment has no byte. Only the last segment is
+    held, in memory.
     """
 
     def __init__(self, symbols: np.ndarray):
         self.symbols = symbols
-        self.file = tempfile.SpooledTemporaryFile(8 << 20)
         self.order = np.arange(len(symbols))
         self.common = np.zeros(len(symbols), np.int64)  # of each suffix and the one before it in order
 
@@ -133,7 +131,6 @@ class Segments:
         if len(at):
             common[at] = 1 + range_minima(self.common, by[at - 1] + 1, by[at] + 1)
         self.order, self.common = self.order[by], common
-        self.file.write(ordered.astype("<u2").tobytes())
 
 
 def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

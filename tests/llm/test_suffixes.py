@@ -105,3 +105,19 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     docs = spark.createDataFrame([(i, f"{h} {passage}") for i, h in enumerate(heads)], "doc_id long, text string")
     stage = dict(corpus_pipeline.STAGES)["suffix_array_dedup"]
     assert {r["doc_id"]: r["text"].strip() for r in stage(spark, docs, "").collect()} == dict(enumerate(heads))
+
+
+def test_transform_keeps_no_file(monkeypatch):
+    import tempfile
+
+    import numpy as np
+
+    from quarryline.llm.suffixes import repeated_windows
+
+    def none(*args, **kwargs):
+        raise AssertionError("a file was opened")
+
+    monkeypatch.setattr(tempfile, "SpooledTemporaryFile", none)
+    t = bytes(range(74))
+    found = repeated_windows([t, t[:70], t[::-1]], np.array([10, 10, 10]), 64)
+    assert found.sum(axis=1).tolist() == [7, 7, 0]
