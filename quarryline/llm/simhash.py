@@ -18,11 +18,12 @@ shingle hashes of a text, candidates by sketches, and every link verified on who
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -31,6 +32,8 @@ from .scratch import stored
 
 #: Eight positions in three groups; a triple is kept if it lies in one group, or has two in a group and one in the next.
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+#: A posting list of more fingerprints is dealt out anew by one more shared position.
+LONG_LIST = 4096
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -44,6 +47,29 @@ def position_triples() -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(8), 3) if kept(t)]
 
 
+def _mask(positions: tuple[int, ...], width: int = 8) -> int:
+    """The bits of some positions of ``width`` bits, as a signed long."""
+    m = sum(((1 << width) - 1) << (width * p) for p in positions)
+    return m - 2**64 if m >= 2**63 else m
+
+
+def first_masks(max_bits: int) -> list[int]:
+    """Byte positions to key by, such that fingerprints within ``max_bits`` bits agree at all positions of one mask at least."""
+    if max_bits <= 4:  # four bytes agree at least
+        return [_mask(t) for t in position_triples()]
+    return [_mask(t) for t in combinations(range(8), 8 - max_bits)]
+
+
+def longer_masks(mask: int, max_bits: int) -> list[int]:
+    """The mask with one more position. As long as fewer bytes are in it than must agree, the next is any other byte; then any other half byte: of the 2 * ``max_bits`` left as many as ``max_bits`` agree at least, so the last of them leaves 4 * ``max_bits`` bits at most."""
+    m = mask % 2**64
+    whole = [p for p in range(8) if m >> 8 * p & 255 == 255]
+    if len(whole) < 8 - max_bits:
+        return [mask | _mask((p,)) for p in range(8) if p not in whole]
+    halves = [p for p in range(16) if m >> 4 * p & 15 == 0]
+    return [mask | _mask((p,), 4) for p in halves] if len(halves) > max_bits else []
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``width``-word shingles of a block's documents, in order, and how many each document has."""
     is_word = K.SPACE[data]
@@ -136,8 +162,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _link_batches(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _lists(batches):
-            k, fp, rep = (np.asarray(t.column(c)) for c in ("k", "fp", "rep"))
-            fp = fp.view(np.uint64)
+            k, nodes = (np.asarray(t.column(c)) for c in ("k", "fp"))
+            fp = nodes.view(np.uint64)
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(cut, len(k)))
             a, b = [], []
@@ -151,7 +177,7 @@ def _link_batches(most: int):
                 a.append(x + i)
                 b.append(y + i)
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
     return run
 
@@ -162,25 +188,59 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t")).mapInArrow(_fingerprint_batches(width), "i long, x long, fp long")
 
 
+def _postings(members: DataFrame, masks: Column) -> DataFrame:
+    """(fp, mask, k) for (fp, ...): one row a mask, keyed by the bits it covers."""
+    out = members.select("fp", F.explode(masks).alias("mask"))
+    return out.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 4, long_list: int = LONG_LIST) -> DataFrame:
+    """(a, b): spanning links among the distinct fingerprints (fp) that differ in at most ``max_bits`` bits.
+
+    Lists of more than ``long_list`` are dealt out again by one more shared position, until the
+    fingerprints of a list differ in so few bits that there cannot be many (2**16 at four bits).
+    """
+    spark = fps.sparkSession
+    # The dictionary of masks is small and fixed: which come after which.
+    level, links = first_masks(max_bits), []
+    postings = _postings(fps, F.array(*map(F.lit, level)))
+    while True:
+        after = {m: longer_masks(m, max_bits) for m in level}
+        if any(after.values()):
+            postings = stored(postings, "simhash-postings")
+            sizes = postings.groupBy("k").agg(F.count("*").alias("z")).where("z > 1")
+            long = stored(sizes.where(F.col("z") > long_list).select(F.col("k").alias("key")), "simhash-long")
+            split = not long.isEmpty()
+        else:
+            split = False
+        short = postings.join(long, postings["k"] == long["key"], "left_anti") if split else postings
+        links.append(short.repartition("k").sortWithinPartitions("k").mapInArrow(_link_batches(max_bits), "a long, b long"))
+        if not split:
+            return reduce(DataFrame.unionAll, links)
+        following = spark.createDataFrame([(m, n) for m, ns in after.items() for n in ns], "of long, next long")
+        cut = postings.join(long, postings["k"] == long["key"], "left_semi").join(F.broadcast(following), F.col("mask") == F.col("of"))
+        postings = cut.select("fp", F.col("next").alias("mask")).distinct().select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
+        level = sorted({n for ns in after.values() for n in ns})
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 4) -> DataFrame:
     """(doc_id, x, fingerprint as signed long, component_id), one row per input row; x is the hash of its text.
 
     ``width``: words of a shingle (fewer words: the whole sequence); ``max_bits``: differing bits at
-    which two fingerprints link, at most 4 (beyond it the guaranteed count of shared bytes is less
-    than the index needs; 4 of 64 bits is an estimated cosine similarity of 0.98). Null and empty
-    texts: fingerprint 0, linked like any other. Repeated rows and ids stay; a null id never is a
-    component's name unless all its rows have null ids. Other columns are ignored.
+    which two fingerprints link, from 0 to 7 (beyond it no byte must be shared; 4 of 64 bits is an
+    estimated cosine similarity of 0.98). Null and empty texts: fingerprint 0, linked like any other.
+    Repeated rows and ids stay; rows with null ids link like others, but a null id is a component's
+    name only where all its rows have null ids. Other columns are ignored; an empty table gives none.
     """
-    if not 0 <= max_bits <= 4:
-        raise ValueError("max_bits must be from 0 to 4")
+    if not 0 <= max_bits <= 7:
+        raise ValueError("max_bits must be from 0 to 7")
     fps = stored(fingerprint_table(docs, id_col, text_col, width), "simhash")
+    # A fingerprint is a node, whoever has it; its smallest id (null: none) counts once components are known.
     reps = stored(fps.groupBy("fp").agg(F.min("i").alias("rep")), "simhash-reps")
-    byte = lambda p: F.shiftrightunsigned(F.col("fp"), 8 * p).bitwiseAND(F.lit(255))
-    keys = [F.shiftleft(F.lit(n).cast("long"), 24) + F.shiftleft(byte(x), 16) + F.shiftleft(byte(y), 8) + byte(z) for n, (x, y, z) in enumerate(position_triples())]
-    postings = reps.where("rep is not null").select("fp", "rep", F.explode(F.array(*keys)).alias("k"))
-    links = postings.repartition("k").sortWithinPartitions("k").mapInArrow(_link_batches(max_bits), "a long, b long")
-    comp = components(links)
-    named = reps.join(comp, reps["rep"] == comp["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
+    comp = components(fingerprint_links(reps.select("fp"), max_bits))
+    of = stored(reps.join(comp, reps["fp"] == comp["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("c"), "rep"), "simhash-components")
+    names = of.groupBy(F.col("c").alias("n")).agg(F.min("rep").alias("component_id"))
+    named = of.join(names, of["c"] == names["n"]).select("f", "component_id")
     return fps.join(named, fps["fp"] == named["f"]).select(F.col("i").alias("doc_id"), "x", F.col("fp").alias("fingerprint"), "component_id")
 
 
