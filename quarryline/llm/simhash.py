@@ -12,7 +12,8 @@ near copies costs n - 1 rows a list. Equal fingerprints are one node from the st
 Four bits are an estimated cosine of 0.98. Fingerprints of texts that share 0.8 of their shingles differ
 in about ten bits, often in sixteen, and sixteen of 64 bits leave no byte that must be shared. So
 :func:`representatives`, which is about similarity, has an index of its own: postings by the smallest
-shingle hashes of a text, candidates by sketches, and every link verified on whole shingle sets.
+shingle hashes of a text that are not common, candidates by sketches, every link verified on whole
+shingle sets; see :func:`similar`.
 """
 
 from __future__ import annotations
@@ -246,6 +247,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Smallest shingle hashes of a text: so many are postings, so many a sketch. A pair of similarity 0.8 shares no posting with probability 0.2**12 = 4e-9 (never, if one has under 55 shingles), and its sketches look under half alike with 2e-8.
 POSTINGS, SKETCH = 12, 64
+#: A shingle in more sketches than this is common. A sketch with at most this share of others beyond what two alike texts may differ in is mostly common: a pair of similarity 0.8 has no other shingle of its sketches in common with probability 1e-7 at most.
+COMMON, MARGIN = 256, 0.32
+#: Texts, and shingles, of one side of a task that compares all with all.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 2_000_000
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -319,14 +324,6 @@ class Sketches:
             out[pairs] = shared >= (self.least - slack) * union - 1e-9
         return out
 
-    def least_shared(self, a: np.ndarray, b: np.ndarray, at_once: int = 16384) -> np.ndarray:
-        """The smallest hash that both texts of a pair have."""
-        out = np.empty(len(a), np.uint64)
-        for at in range(0, len(a), at_once):
-            both = np.sort(np.concatenate([self.rows[a[at : at + at_once]], self.rows[b[at : at + at_once]]], axis=1), axis=1)
-            out[at : at + at_once] = both[np.arange(len(both)), (both[:, 1:] == both[:, :-1]).argmax(axis=1)]
-        return out
-
     def forest(self, first: int, size: int) -> list[tuple[int, int]]:
         """Spanning links of the rows from ``first``."""
         out, rest = [], np.arange(first, first + size)
@@ -342,91 +339,193 @@ class Sketches:
         return out
 
 
-def _candidate_batches(similarity: float, every: bool):
-    """(a, b, k) of the posting lists: a spanning forest, or with ``every`` all pairs that are in different components ``c`` so far, each from the first list the two share."""
+def _candidate_batches(similarity: float):
+    """(a, b, k): a spanning forest of each posting list by sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _lists(batches):
             t = t.combine_chunks()
-            k, g, n, c = (np.asarray(t.column(x)) for x in ("k", "g", "n", "c"))
+            k, g, n = (np.asarray(t.column(x)) for x in ("k", "g", "n"))
             s = t.column("s").combine_chunks()
             sketches = Sketches(s.chunk(0) if isinstance(s, pa.ChunkedArray) else s, n, similarity)
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(cut, len(k)))
-            two = cut[size == 2] if not every else cut[:0]
+            two = cut[size == 2]
             two = two[sketches.alike(two, two + 1)]
             links = [np.stack([two, two + 1], axis=1)]
-            for i, m in zip(cut, size):
-                if every:
-                    for x in range(i, i + m - 1):
-                        rest = np.arange(x + 1, i + m)
-                        rest = rest[c[rest] != c[x]]
-                        rest = rest[sketches.alike(np.full(len(rest), x), rest)]
-                        rest = rest[sketches.least_shared(np.full(len(rest), x), rest) == k[x : x + 1].view(np.uint64)]
-                        links.append(np.stack([np.full(len(rest), x), rest], axis=1))
-                elif m > 2:
-                    links.append(np.array(sketches.forest(i, m), np.int64).reshape(-1, 2))
+            links += [np.array(sketches.forest(i, m), np.int64).reshape(-1, 2) for i, m in zip(cut[size > 2], size[size > 2])]
             a, b = np.concatenate(links).T
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[a], g[b])), pa.array(np.maximum(g[a], g[b])), pa.array(k[a])], ["a", "b", "k"])
 
     return run
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def exact_forest(values: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links of all pairs of a ``left`` and a ``right`` set of similarity or more. ``values``: the sets' distinct hashes, one set after the other.
+
+    Shared hashes are counted for all pairs at once: those of many sets as matrix products, the
+    others pair by pair.
+    """
+    m = len(counts)
+    codes, code, df = np.unique(values, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), counts)
+    shared = np.zeros((m, m), np.float32)
+    many = np.flatnonzero(df > 16)
+    place = np.full(len(codes), -1)
+    place[many] = np.arange(len(many))
+    for at in range(0, len(many), 1024):
+        width = min(1024, len(many) - at)
+        inside = (place[code] >= at) & (place[code] < at + width)
+        of = np.zeros((m, width), np.float32)
+        of[row[inside], place[code[inside]] - at] = 1
+        shared += of @ of.T
+    order = np.argsort(code, kind="stable")
+    first = np.cumsum(df) - df
+    for n in range(2, 17):
+        of = first[df == n]
+        if len(of):
+            rows = row[order[of[:, None] + np.arange(n)]]
+            for x, y in combinations(range(n), 2):
+                np.add.at(shared, (rows[:, x], rows[:, y]), 1)
+                np.add.at(shared, (rows[:, y], rows[:, x]), 1)
+    alike = shared >= similarity * (counts[:, None] + counts[None, :] - shared) - 1e-4
+    alike &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
+    out, waiting = [], np.ones(m, bool)
+    for root in range(m):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        front = [root]
+        while front:
+            x = front.pop()
+            found = np.flatnonzero(alike[x] & waiting)
+            waiting[found] = False
+            out += [(x, y) for y in found.tolist()]
+            front += found.tolist()
+    return out
+
+
+def _exact_batches(similarity: float):
+    """(a, b) of the groups (k, g, e, s): e is 0 for sets compared with all, 1 and 2 for sets compared with those of the other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _lists(batches):
+            t = t.combine_chunks()
+            k, g, e = (np.asarray(t.column(x)) for x in ("k", "g", "e"))
+            s = t.column("s").combine_chunks()
+            s = s.chunk(0) if isinstance(s, pa.ChunkedArray) else s
+            ends, values = np.asarray(s.offsets), np.asarray(s.values)
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])).tolist() + [len(k)]
+            a, b = [], []
+            for i, j in zip(cut[:-1], cut[1:]):
+                for x, y in exact_forest(values[ends[i] : ends[j]], np.diff(ends[i : j + 1]), e[i:j] != 2, e[i:j] != 1, similarity) if j - i > 1 else ():
+                    a.append(g[i + x])
+                    b.append(g[i + y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """(k, g, e) for members (c, g, n): each group c cut into blocks of a bounded size, and every pair of blocks a group k of its own."""
+    sizes = members.groupBy(F.col("c").alias("sc")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(sizes, members["c"] == sizes["sc"]).select("c", "g", "blocks", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int").alias("own"))
+    dealt = placed.select("c", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return dealt.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "g", side.alias("e"))
+
+
+def _sets_of(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(g, s): the whole shingle sets of the nodes (g, p)."""
+    texts = nodes.select("g", F.col("p.i").alias("pi"), F.col("p.x").alias("px"))
+    texts = rows.join(texts, rows["i"].eqNullSafe(texts["pi"]) & (rows["x"] == texts["px"])).select("g", "t")
+    return stored(texts.mapInArrow(_set_batches(width), "g long, s array<long>").dropDuplicates(["g"]), "shingle-sets")
+
+
+def _exact_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    of = sets.withColumnRenamed("g", "node")
+    return groups.join(of, groups["g"] == of["node"]).select("k", "g", "e", "s").repartition("k").sortWithinPartitions("k").mapInArrow(_exact_batches(similarity), "a long, b long")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = COMMON) -> DataFrame:
     """(i, x, component), one row for each distinct shingle set: the first row that has it (smallest id, null last) and its component.
 
     Two texts link if their sets of ``width``-word shingles (fewer words: the whole sequence; case and
-    white space do not count) have a Jaccard similarity of ``similarity`` or more. Lists whose
-    candidates are all verified need no second look, as a spanning forest of the candidates has been
-    verified; in the others every pair that is still in two components is verified.
+    white space do not count) have a Jaccard similarity of ``similarity`` or more.
+
+    1. Rare shingles: posting lists of the smallest hashes that few sketches (``common``) have; a
+       spanning forest of each list by sketches, its links verified on whole sets. Where one fails and
+       the list's texts are still in several components, all of the list are compared exactly.
+    2. Common shingles: texts made mostly of shingles that many have (copies of one passage, large
+       groups of near copies) need share no rare one. Those that are connected by common shingles are
+       compared exactly, in blocks, so that no task has more than a bounded part of a group.
+
+    No pairs are made but those of spanning forests.
     """
     if not 0.8 <= similarity <= 1:
         raise ValueError("similarity must be from 0.8 to 1")
     t = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t"))
     sketched = rows.mapInArrow(_sketch_batches(width), "i long, x long, g long, n long, s array<long>")
-    nodes = stored(sketched.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "x")).alias("p"), F.first("n").alias("n"), F.first("s").alias("s")), "shingle-sets")
-    postings = nodes.select("g", F.explode(F.slice("s", 1, POSTINGS)).alias("k"))
+    nodes = stored(sketched.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "x")).alias("p"), F.first("n").alias("n"), F.first("s").alias("s")), "shingle-nodes")
+    often = stored(nodes.select(F.explode("s").alias("key")).groupBy("key").agg(F.count("*").alias("z")).where(F.col("z") > common).select("key"), "shingle-common")
+    entries = nodes.select(F.col("g").alias("cg"), F.explode("s").alias("k"))
+    have = entries.join(often, entries["k"] == often["key"], "left_semi").groupBy("cg").agg(F.collect_set("k").alias("common"))  # SKETCH at most
+    told = nodes.join(have, nodes["g"] == have["cg"], "left")
+    rare = F.when(F.col("common").isNull(), F.slice("s", 1, POSTINGS)).otherwise(F.array_except("s", "common"))
+    few = F.when(F.col("n") <= SKETCH, (1 - similarity) * F.col("n") + 1e-9).otherwise((1 - similarity + MARGIN) * SKETCH)
+    told = stored(told.select("g", "n", "s", rare.alias("rare"), F.when(F.col("common").isNotNull() & (F.size("rare") <= few), F.array_intersect(F.slice("s", 1, POSTINGS), "common")).alias("keys")), "shingle-keys")
+
+    # 1. Rare shingles.
+    postings = told.select("g", F.explode("rare").alias("k"))
     shared = postings.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("z")).where("z > 1")
-    lists = stored(postings.join(shared, postings["k"] == shared["key"], "left_semi").withColumnRenamed("g", "node"), "shingle-lists")
+    lists = postings.join(shared, postings["k"] == shared["key"], "left_semi").withColumnRenamed("g", "node")
     lists = stored(lists.join(nodes, lists["node"] == nodes["g"]).select("k", "g", "n", "s"), "shingle-lists")
-
-    def verified(members: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
-        found = stored(members.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_candidate_batches(similarity, every), "a long, b long, k long"), "candidates")
-        pairs = found.select("a", "b").distinct()
-        ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-        texts = nodes.join(ends, nodes["g"] == ends["node"], "left_semi").select("g", F.col("p.i").alias("pi"), F.col("p.x").alias("px"))
-        texts = rows.join(texts, rows["i"].eqNullSafe(texts["pi"]) & (rows["x"] == texts["px"])).select("g", "t")
-        sets = stored(texts.mapInArrow(_set_batches(width), "g long, s array<long>").dropDuplicates(["g"]), "candidate-sets")
-        pairs = pairs.join(sets.select(F.col("g").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("g").alias("b"), F.col("s").alias("sb")), "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - both
-        judged = stored(pairs.select("a", "b", (both >= F.lit(similarity) * union - 1e-9).alias("ok")), "verified")
-        return judged, found
-
-    judged, found = verified(lists.withColumn("c", F.col("g")), False)
-    links, failed = judged.where("ok").select("a", "b"), judged.where("not ok").select("a", "b")
+    found = stored(lists.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_candidate_batches(similarity), "a long, b long, k long"), "candidates")
+    pairs = found.select("a", "b").distinct()
+
+    # 2. Common shingles: keys that a text has together are one group.
+    mostly = stored(told.where(F.size("keys") > 0).select("g", "n", "keys"), "shingle-mostly-common")
+    joint = components(mostly.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct())
+    grouped = mostly.join(joint, F.col("keys")[0] == joint["node"], "left").select(F.coalesce("component", F.col("keys")[0]).alias("c"), "g", "n")
+
+    ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).union(mostly.select(F.col("g").alias("node"))).distinct()
+    sets = _sets_of(rows, nodes.join(ends, nodes["g"] == ends["node"], "left_semi"), width)
+    judged = pairs.join(sets.select(F.col("g").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("g").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - both
+    judged = stored(judged.select("a", "b", (both >= F.lit(similarity) * union - 1e-9).alias("ok")), "verified")
+    links = judged.where("ok").select("a", "b").unionAll(stored(_exact_links(_in_blocks(grouped), sets, similarity), "common-links"))
     comp = components(links)
+
+    failed = judged.where("not ok").select("a", "b")
     if not failed.isEmpty():
-        open_lists = found.join(failed, ["a", "b"], "left_semi").select(F.col("k").alias("key")).distinct()
-        members = lists.join(open_lists, lists["k"] == open_lists["key"], "left_semi")
-        members = members.join(comp, members["g"] == comp["node"], "left").select("k", "g", "n", "s", F.coalesce("component", "g").alias("c"))
-        links = links.union(verified(members, True)[0].where("ok").select("a", "b"))
-        comp = components(links)
+        doubtful = found.join(failed, ["a", "b"], "left_semi").select(F.col("k").alias("key")).distinct()
+        members = lists.join(doubtful, lists["k"] == doubtful["key"], "left_semi").select("k", "g", "n")
+        members = stored(members.join(comp, members["g"] == comp["node"], "left").select(F.col("k").alias("c"), "g", "n", F.coalesce("component", "g").alias("now")), "doubtful-lists")
+        several = members.groupBy(F.col("c").alias("key")).agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo < hi")
+        members = stored(members.join(several, members["c"] == several["key"], "left_semi").select("c", "g", "n"), "doubtful-lists")
+        if not members.isEmpty():
+            own = members.select(F.col("g").alias("node")).distinct()
+            sets = _sets_of(rows, nodes.join(own, nodes["g"] == own["node"], "left_semi"), width)
+            links = links.unionAll(stored(_exact_links(_in_blocks(members), sets, similarity), "doubtful-links"))
+            comp = components(links)
     return nodes.join(comp, nodes["g"] == comp["node"], "left").select("p.i", "p.x", F.coalesce("component", "g").alias("component"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one of each component of :func:`similar` left: the one with the smallest id (of repeated rows with that id and text, one). Rows without id stay only where all of their component have none."""
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = COMMON) -> DataFrame:
+    """The rows of ``docs`` with one of each component of :func:`similar` left: the one with the smallest id (of repeated rows with that id and text, any one). Rows without id stay only where all of their component have none. Null texts are empty ones; an empty table stays empty; all columns stay as they are."""
     first = F.min(F.struct(F.col("i").isNull().alias("last"), "i", "x")).alias("p")
-    kept = stored(similar(docs, id_col, text_col, width, similarity).groupBy("component").agg(first).select(F.col("p.i").alias("gi"), F.col("p.x").alias("gx")), "representatives")
-    key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
-    same = key[0].eqNullSafe(F.col("gi")) & (key[1] == F.col("gx"))
-    left = docs.join(kept, same, "left_semi")
-    again = stored(left.groupBy(key[0].alias("gi"), key[1].alias("gx")).count().where("count > 1").drop("count"), "simhash-repeats")
+    kept = stored(similar(docs, id_col, text_col, width, similarity, common).groupBy("component").agg(first).select(F.col("p.i").alias("gi"), F.col("p.x").alias("gx")), "representatives")
+
+    def within(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows[id_col].cast("long").eqNullSafe(keys["gi"]) & (F.xxhash64(rows[text_col]) == keys["gx"]), how)
+
+    left = within(docs, kept, "left_semi")
+    again = stored(left.groupBy(F.col(id_col).cast("long").alias("gi"), F.xxhash64(F.col(text_col)).alias("gx")).agg(F.count("*").alias("z")).where("z > 1").select("gi", "gx"), "simhash-repeats")
     if again.isEmpty():
         return left
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return within(left, again, "left_anti").unionByName(within(left, again, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

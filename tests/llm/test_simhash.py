@@ -122,3 +122,49 @@ def test_representatives_reach_similarity(spark):
     want, pairs = brute_kept(texts)
     assert pairs > 300
     assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == want
+    # With few sketches a common shingle, the dense groups are compared exactly in blocks.
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs, common=20).collect()) == want
+
+
+def test_exact_forest_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(40), rng.randrange(28, 40))) for _ in range(150)] + [[999], [999, *range(5)]]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len({*sets[i]} & {*sets[j]}) >= 8 * len({*sets[i]} | {*sets[j]})]
+    want = brute_components(pairs, range(len(sets)))
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 40)
+    members = spark.createDataFrame([(7, i, len(s)) for i, s in enumerate(sets)], "c long, g long, n long")
+    table = spark.createDataFrame(list(enumerate(sets)), "g long, s array<long>")
+    groups = simhash._in_blocks(members)
+    assert groups.select("k").distinct().count() == 10  # four blocks
+    links = [(r["a"], r["b"]) for r in simhash._exact_links(groups, table, 0.8).collect()]
+    assert brute_components(links, range(len(sets))) == want and set(links) | {(b, a) for a, b in links} <= {*pairs, *((j, i) for i, j in pairs)}
+    values, counts = np.concatenate([np.array(s) for s in sets]), np.array([len(s) for s in sets])
+    all_ = np.ones(len(sets), bool)
+    assert len(simhash.exact_forest(values, counts, all_, all_, 0.8)) == len(sets) - len(set(want.values()))
+
+
+def test_long_lists_are_dealt_out_again(spark):
+    rng = random.Random(8)
+    fps = {0}
+    while len(fps) < 500:  # many with bytes in common, most of them not alike
+        fps.add(rng.choice([*fps][:50]) ^ sum(1 << b for b in rng.sample(range(40), rng.randrange(1, 9))))
+    fps = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
+    for most in (0, 4, 6):
+        pairs = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= most]
+        table = spark.createDataFrame([(f,) for f in fps], "fp long")
+        links = [(r["a"], r["b"]) for r in simhash.fingerprint_links(table, most, long_list=20).collect()]
+        assert brute_components(links, fps) == brute_components(pairs, fps)
+
+
+def test_null_ids_link_and_names_do_not_clash(spark):
+    t = " ".join(f"word{i}" for i in range(60))
+    near = t + " end"
+    fp = lambda x: brute_fingerprint(x, 5)
+    assert 0 < (fp(t) ^ fp(near)).bit_count() <= 7
+    docs = spark.createDataFrame([(1, t, "a", 5), (None, near, "b", 6), (None, "alone here", "c", 7)], "doc_id long, text string, gi string, gx int")
+    got = {r["fingerprint"] % 2**64: r["component_id"] for r in simhash.near_duplicates(docs, max_bits=7).collect()}
+    assert got == {fp(t): 1, fp(near): 1, fp("alone here"): None}
+    left = simhash.representatives(docs)
+    assert left.columns == docs.columns and sorted(r["gi"] for r in left.collect()) == ["a", "c"]
