@@ -7,20 +7,25 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
    form a fragment. Equal windows have equal anchors, at the same place in the window, so an anchor
    that occurs once in the corpus has no repeated window, and equal windows are equal column by
    column when their fragments are laid out with the anchors in one column.
-2. Collection transform. The distinct fragments of a repeated anchor are a collection of short
-   documents. The transform of the collection is built column by column from the right: each
-   round inserts one symbol of each document before the suffix inserted in the round before. As
+2. Collection transform. The distinct fragments of repeated anchors are a collection of short
+   documents. Its transform is built column by column from the right: each round inserts one symbol
+   of each document before the suffix inserted in the round before. A round reads the segment
+   before from a file, in sequence: the documents in the order of their suffixes, the symbols before
+   those (the transform) and the common prefixes of neighbours. It sorts by the symbols, which
+   gives the next order, takes common prefixes as range minima, and writes the next segment. As
    suffixes that start in different columns cannot be equal windows, columns act as distinct
-   symbols: a round's insertions fall in one segment of the transform, and all it needs is the
-   segment before (order, common prefixes). A collection is bounded, so one segment is held in
-   memory and no file is kept. Common prefixes follow by range minima of the last segment's. A window is
-   repeated if the suffix that starts it shares ``length`` symbols with a neighbour, or if its
-   fragment occurs more than once.
+   symbols: insertions fall in one segment, and the files of two rounds are all there is. They
+   lie in the shared folder; a collection is as many rows as ``COLLECTION``, so a round is one
+   sequential read and one write of a hundred kilobytes. A window is repeated if the suffix that
+   starts it shares ``length`` symbols with a neighbour, or if its fragment occurs more than once.
 3. Ranges go back to the occurrences of their fragments and are merged for each document.
 
 An anchor with more than ``most_fragments`` distinct fragments is dealt out anew: its fragments are cut
 into pieces whose windows all cover a core, keyed by the core's bytes; step by step the core
-grows to the whole window, whose key alone then tells repeats. No step drops or caps anything.
+grows to the whole window, and windows of equal bytes are repeats. No step drops or caps anything.
+
+Fragments are told by 128 bits of BLAKE2b over their bytes, windows by their bytes; the faster sums
+that deal them out decide nothing.
 
 Passages can be told by words instead: with four bytes of hash for each word, a passage of n words is
 a window of 4 n bytes, whatever the length of its words.
@@ -28,7 +33,9 @@ a window of 4 n bytes, whatever the length of its words.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import drop, stored
+from .scratch import drop, shared_dir, stored
 
 GRAM = 32
 #: Bits of the packed minimum that hold a position; a longer document is taken in overlapping parts.
@@ -45,6 +52,10 @@ _PART = (1 << _POS_BITS) - (1 << 16)
 U = np.uint64
 #: Bytes of hash for a word.
 _CODE = 4
+#: Rows of a collection whose transform is built at once.
+COLLECTION = 16_384
+#: An anchor with more than this share of all fragments is joined in as many parts as ``_SALTS``.
+_HOT_SHARE, _SALTS = 0.001, 16
 
 
 def anchors(data: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
@@ -62,10 +73,10 @@ def anchors(data: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Fragments of a block: document, first window, number of windows, anchor position, anchor hash, content hash."""
+    """Fragments of a block: document, first window, number of windows, anchor position, anchor hash, content digest (two columns)."""
     if len(data) < length:
         none = np.empty(0, np.int64)
-        return none, none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none, none.astype(U), np.empty((0, 2), np.int64)
     prefix = K.prefix_hash(data)
     a = anchors(data, prefix, length)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(a)]
@@ -75,7 +86,9 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     at = np.flatnonzero(whole & (new | ~np.concatenate([[False], whole[:-1]])))
     stop = np.flatnonzero(whole & np.concatenate([new[1:] | ~whole[1:], [True]]))
     n = stop - at + 1
-    return doc[at], at, n, a[at], K.slice_hash(prefix, a[at], a[at] + GRAM), K.slice_hash(prefix, at, at + n - 1 + length)
+    raw = memoryview(np.ascontiguousarray(data))
+    digest = b"".join([blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(at.tolist(), (at + n - 1 + length).tolist())])
+    return doc[at], at, n, a[at], K.slice_hash(prefix, a[at], a[at] + GRAM), np.frombuffer(digest, np.int64).reshape(-1, 2)
 
 
 def _parts(batches, length: int):
@@ -96,13 +109,13 @@ def _index_batches(length: int):
             if not len(doc):
                 continue
             # A fragment that recurs in its document is one row with all its places.
-            order = np.lexsort((at, c, h, doc))
+            order = np.lexsort((at, c[:, 1], c[:, 0], h, doc))
             d, h, c, n, anchor, start = doc[order], h[order], c[order], n[order], (anchor - at)[order], (at - offsets[doc] + shift)[order]
-            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1]).any(axis=1)]))
             starts = pa.ListArray.from_arrays(pa.array(np.append(cut, len(start)), pa.int32()), pa.array(start))
             yield pa.RecordBatch.from_arrays(
-                [*(block.column(k).take(pa.array(d[cut])) for k in ("i", "x")), pa.array(h[cut].view(np.int64)), pa.array(c[cut].view(np.int64)), pa.array(n[cut].astype(np.int32)), pa.array(anchor[cut].astype(np.int32)), starts],
-                ["i", "x", "h", "c", "n", "a", "starts"],
+                [*(block.column(k).take(pa.array(d[cut])) for k in ("i", "x")), pa.array(h[cut].view(np.int64)), pa.array(c[cut, 0]), pa.array(c[cut, 1]), pa.array(n[cut].astype(np.int32)), pa.array(anchor[cut].astype(np.int32)), starts],
+                ["i", "x", "h", "c", "d", "n", "a", "starts"],
             )
 
     return run
@@ -111,26 +124,51 @@ def _index_batches(length: int):
 class Segments:
     """The transform of a collection of anchored fragments, one column a round.
 
-    ``symbols`` is fragments x columns, 256 where a fragment has no byte. Only the last segment is
-    held, in memory.
+    ``symbols`` is fragments x columns, 256 where a fragment has no byte. Between rounds everything is
+    in the segment's file below ``folder``: documents in order, the symbols before their suffixes,
+    common prefixes. Only one round's file is needed to go on; the one before goes.
     """
 
-    def __init__(self, symbols: np.ndarray):
-        self.symbols = symbols
-        self.order = np.arange(len(symbols))
-        self.common = np.zeros(len(symbols), np.int64)  # of each suffix and the one before it in order
-
-    def insert(self, column: int) -> None:
-        """Insert the column's symbol before each document's suffix."""
-        s = self.symbols[self.order, column]
+    def __init__(self, symbols: np.ndarray, folder: str):
+        from pyarrow import fs
+
+        self.symbols, self.round = symbols, 0
+        self.fs, at = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+        self.folder = f"{at}/collection-{uuid.uuid4().hex}"
+        self.fs.create_dir(self.folder)
+        none = np.zeros(len(symbols), np.int32)  # no suffixes yet: all equal, nothing in common
+        self._write(np.arange(len(symbols), dtype=np.int32), symbols[:, -1], none)
+
+    def _write(self, order: np.ndarray, before: np.ndarray, common: np.ndarray) -> None:
+        # A new name each round: writing over a file makes some file systems wait for the disk.
+        with self.fs.open_output_stream(f"{self.folder}/segment-{self.round}") as f:
+            f.write(order.astype(np.int32).tobytes() + before.astype(np.uint16).tobytes() + common.astype(np.int32).tobytes())
+        if self.round:
+            self.fs.delete_file(f"{self.folder}/segment-{self.round - 1}")
+
+    def read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The last segment: documents in the order of their suffixes, symbols before those, common prefix of each suffix and the one before it in order."""
+        n = len(self.symbols)
+        with self.fs.open_input_stream(f"{self.folder}/segment-{self.round}") as f:
+            raw = f.read()
+        return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.uint16, n, 4 * n), np.frombuffer(raw, np.int32, n, 6 * n)
+
+    def insert(self, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """Insert the column's symbol before each document's suffix; the order and common prefixes of the segment before, as read."""
+        before, s, common = self.read()
         by = np.argsort(s, kind="stable")
         ordered = s[by]
-        same = ordered[1:] == ordered[:-1]
-        common = np.zeros(len(s), np.int64)
-        at = np.flatnonzero(same) + 1
+        longer = np.zeros(len(s), np.int32)
+        at = np.flatnonzero(ordered[1:] == ordered[:-1]) + 1
         if len(at):
-            common[at] = 1 + range_minima(self.common, by[at - 1] + 1, by[at] + 1)
-        self.order, self.common = self.order[by], common
+            longer[at] = 1 + range_minima(common, by[at - 1] + 1, by[at] + 1)
+        order = before[by]
+        self.round += 1
+        self._write(order, self.symbols[order, column - 1] if column else np.zeros(len(s), np.uint16), longer)
+        return before, common
+
+    def close(self) -> None:
+        self.fs.delete_dir(self.folder)
 
 
 def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -148,20 +186,26 @@ def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         level += 1
 
 
-def repeated_windows(texts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
-    """Boolean matrix fragments x columns: the window that starts there equals one of another fragment. Column 0 is ``length - GRAM`` before the anchors."""
+def repeated_windows(texts: list[bytes], anchor: np.ndarray, length: int, folder: str) -> np.ndarray:
+    """Boolean matrix fragments x columns: the window that starts there equals one of another fragment. Column 0 is ``length - GRAM`` before the anchors. Segments are kept below ``folder`` while it works."""
     lead, width = length - GRAM, 2 * length - GRAM
     symbols = np.full((len(texts), width), 256, np.uint16)
     for r, (t, a) in enumerate(zip(texts, anchor)):
         symbols[r, lead - a : lead - a + len(t)] = np.frombuffer(t, np.uint8)
-    segments = Segments(symbols)
+    segments = Segments(symbols, folder)
     found = np.zeros((len(texts), lead + 1), bool)
-    for column in range(width - 1, -1, -1):
-        segments.insert(column)
-        if column <= lead:
-            far = segments.common >= length
-            both = far | np.concatenate([far[1:], [False]])
-            found[segments.order[both], column] = True
+    try:
+        for column in range(width - 1, -2, -1):
+            if column >= 0:
+                order, common = segments.insert(column)
+            else:
+                order, _, common = segments.read()
+            if column < lead:  # what was read is the segment of the column to the right
+                far = common >= length
+                both = far | np.concatenate([far[1:], [False]])
+                found[order[both], column + 1] = True
+    finally:
+        segments.close()
     # Symbols of absent bytes are common too, but a window has none of them.
     for r, (t, a) in enumerate(zip(texts, anchor)):
         found[r, : lead - a] = False
@@ -174,7 +218,7 @@ def _ranges(row: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = COLLECTION) -> Iterator[pa.Table]:
     """Tables of at least ``rows`` rows (but for the last) that split no run of equal keys; rows come sorted by key."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -200,7 +244,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096)
 _PAIRS = "array<struct<a:int,b:int>>"
 
 
-def _transform_batches(length: int):
+def _transform_batches(length: int, folder: str):
     """Repeated windows of fragments that occur once (the others are repeated as they are). Several anchors share a collection: equal windows have equal anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +252,11 @@ def _transform_batches(length: int):
         for t in _whole_groups(batches, "k"):
             t = t.combine_chunks()
             anchor, shift = np.asarray(t.column("a")).astype(np.int64), np.asarray(t.column("o")).tolist()
-            found = repeated_windows([x.as_py() for x in t.column("bytes")], anchor, length)
+            found = repeated_windows([x.as_py() for x in t.column("bytes")], anchor, length, folder)
             keep = np.flatnonzero(found.any(axis=1) & (np.asarray(t.column("m")) == 1))
             ranges = [[{"a": x - lead + int(anchor[i]) + shift[i], "b": y - lead + int(anchor[i]) + shift[i]} for x, y in _ranges(found[i])] for i in keep]
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(pa.array(keep)) for k in ("h", "c")), pa.array(ranges, kind)], ["h", "c", "ranges"])
+            yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(pa.array(keep)) for k in ("h", "c", "d")), pa.array(ranges, kind)], ["h", "c", "d", "ranges"])
 
     return run
 
@@ -223,7 +267,7 @@ def _cut_batches(length: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for h, c, m, a, o, t in zip(*(b.column(k).to_pylist() for k in ("h", "c", "m", "a", "o", "bytes"))):
+            for h, c, d, m, a, o, t in zip(*(b.column(k).to_pylist() for k in ("h", "c", "d", "m", "a", "o", "bytes"))):
                 data = np.frombuffer(t, np.uint8)
                 prefix, n = K.prefix_hash(data), len(t) - length + 1
                 # Windows start from -a to n - 1 - a relative to the anchor; groups of ``step`` starts.
@@ -232,7 +276,7 @@ def _cut_batches(length: int, step: int):
                 # The core [lo + step - 1, lo + length) lies in every window of its group.
                 core = lo + step - 1 + a
                 keys = K.slice_hash(prefix, core, lo + length + a) ^ K.mix(lo.view(U) + U(h & (2**64 - 1)))
-                rows += [(k, h, c, m, -x, o + x + a, t[x + a : y + a + length]) for x, y, k in zip(first.tolist(), last.tolist(), keys.view(np.int64).tolist())]
+                rows += [(k, h, c, d, m, -x, o + x + a, t[x + a : y + a + length]) for x, y, k in zip(first.tolist(), last.tolist(), keys.view(np.int64).tolist())]
                 if len(rows) > 20000:
                     yield _piece_batch(rows)
                     rows = []
@@ -242,12 +286,12 @@ def _cut_batches(length: int, step: int):
     return run
 
 
-_PIECES = "k long, h long, c long, m long, a int, o int, bytes binary"
+_PIECES = "k long, h long, c long, d long, m long, a int, o int, bytes binary"
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["k", "h", "c", "m", "a", "o", "bytes"])
+    kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["k", "h", "c", "d", "m", "a", "o", "bytes"])
 
 
 def _fetch_batches(length: int):
@@ -257,7 +301,7 @@ def _fetch_batches(length: int):
             for d, wanted in enumerate(block.column("wanted").to_pylist()):
                 text = data[offsets[d] : offsets[d + 1]]
                 for w in wanted:
-                    rows.append((w["h"], w["h"], w["c"], w["m"], w["a"], 0, text[w["s"] : w["s"] + w["n"] - 1 + length].tobytes()))
+                    rows.append((w["h"], w["h"], w["c"], w["d"], w["m"], w["a"], 0, text[w["s"] : w["s"] + w["n"] - 1 + length].tobytes()))
                 if len(rows) > 20000:
                     yield _piece_batch(rows)
                     rows = []
@@ -267,36 +311,49 @@ def _fetch_batches(length: int):
     return run
 
 
-def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _covered(size: int, ranges: list[dict]) -> np.ndarray:
+    edge = np.zeros(size + 1, np.int32)
+    np.add.at(edge, [r["a"] for r in ranges], 1)
+    np.add.at(edge, [r["b"] for r in ranges], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _remove_batches(cut_words: bool):
+    """Ranges in bytes are cut out; those in words (``w``) are counted, and with ``cut_words`` cut out too."""
     import hashlib
 
-    for block, data, offsets in K.blocks(batches, "t"):
-        removed, spans, digest, kept, at = [], [], [], [], []
-        for d, ranges in enumerate(block.column("ranges").to_pylist()):
-            text = data[offsets[d] : offsets[d + 1]]
-            if ranges:
-                if any(r["w"] for r in ranges):
-                    start, end, _ = K.spans(K.SPACE[text], np.array([0, len(text)]))
-                    ranges = [{"a": start[r["a"]], "b": end[r["b"] - 1]} if r["w"] else r for r in ranges]
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, [r["a"] for r in ranges], 1)
-                np.add.at(edge, [r["b"] for r in ranges], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                own = _ranges(gone)
-                text = text[~gone]
-            else:
-                own = []
-            raw = text.tobytes()
-            removed.append(sum(b - a for a, b in own))
-            spans.append(len(own))
-            at.append([{"a": a, "b": b} for a, b in own])
-            digest.append(hashlib.sha256(raw).hexdigest())
-            kept.append(raw.decode("utf-8", "ignore"))
-        long, own_columns = pa.int64(), [c for c in block.schema.names if c not in ("t", "ranges")]
-        yield pa.RecordBatch.from_arrays(
-            [*map(block.column, own_columns), pa.array(np.diff(offsets)), pa.array(removed, long), pa.array(spans, long), pa.array(digest), pa.array(at, pa.list_(pa.struct([("a", long), ("b", long)]))), pa.array(kept)],
-            [*own_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in K.blocks(batches, "t"):
+            yield _removed_block(block, data, offsets, cut_words, hashlib.sha256)
+
+    return run
+
+
+def _removed_block(block: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, cut_words: bool, sha256) -> pa.RecordBatch:
+    removed, spans, digest, kept, at, passage = [], [], [], [], [], []
+    for d, ranges in enumerate(block.column("ranges").to_pylist()):
+        text, own, words = data[offsets[d] : offsets[d + 1]], [], []
+        if ranges:
+            words, ranges = [r for r in ranges if r["w"]], [r for r in ranges if not r["w"]]
+            if words and cut_words:
+                start, end, _ = K.spans(K.SPACE[text], np.array([0, len(text)]))
+                ranges += [{"a": start[r["a"]], "b": end[r["b"] - 1]} for r in words]
+        if ranges:
+            gone = _covered(len(text), ranges)
+            own = _ranges(gone)
+            text = text[~gone]
+        passage.append(int(_covered(max(r["b"] for r in words), words).sum()) if words else 0)
+        raw = text.tobytes()
+        removed.append(sum(b - a for a, b in own))
+        spans.append(len(own))
+        at.append([{"a": a, "b": b} for a, b in own])
+        digest.append(sha256(raw).hexdigest())
+        kept.append(raw.decode("utf-8", "ignore"))
+    long, own_columns = pa.int64(), [c for c in block.schema.names if c not in ("t", "ranges")]
+    return pa.RecordBatch.from_arrays(
+        [*map(block.column, own_columns), pa.array(np.diff(offsets)), pa.array(removed, long), pa.array(spans, long), pa.array(passage, long), pa.array(digest), pa.array(at, pa.list_(pa.struct([("a", long), ("b", long)]))), pa.array(kept)],
+        [*own_columns, "n_bytes", "n_removed", "n_spans", "n_passage_words", "kept_sha256", "spans", "kept"],
+    )
 
 
 def _code_batches(words: int):
@@ -331,20 +388,28 @@ def _sides(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20_000) -> DataFrame:
     """(i, x, a, b): byte ranges to remove from the documents (i, x, t); they may overlap."""
-    index = stored(rows.where(F.octet_length("t") >= length).mapInArrow(_index_batches(length), "i long, x long, h long, c long, n int, a int, starts array<long>"), "fragments")
-    anchor = index.groupBy("h").agg(F.sum(F.size("starts")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 1").select(F.col("h").alias("g"), (F.col("lo") != F.col("hi")).alias("several"))
-    found = stored(index.join(anchor, index["h"] == anchor["g"]).drop("g"), "repeated-anchors")
+    folder = f"{shared_dir(rows.sparkSession)}/quarryline/segments"
+    key = ["h", "c", "d"]
+    index = stored(rows.where(F.octet_length("t") >= length).mapInArrow(_index_batches(length), "i long, x long, h long, c long, d long, n int, a int, starts array<long>"), "fragments")
+    anchor = index.groupBy("h").agg(F.sum(F.size("starts")).alias("m"), F.count("*").alias("z"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("c", "d") for f in (F.min, F.max))).where("m > 1")
+    anchor = stored(anchor.select(F.col("h").alias("g"), "z", ((F.col("min_c") != F.col("max_c")) | (F.col("min_d") != F.col("max_d"))).alias("several")), "anchors")
+    # Anchors with a share of all fragments are a bounded number; their fragments are dealt to several tasks.
+    hot_rows = F.broadcast(anchor.join(index.agg((F.count("*") * _HOT_SHARE).alias("least")), F.col("z") > F.greatest("least", F.lit(100))).select(F.col("g").alias("hot")))
+    salted = index.join(hot_rows, index["h"] == hot_rows["hot"], "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("i", "x", "c"), F.lit(_SALTS)).cast("int"))).drop("hot")
+    salts = F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    of = anchor.join(hot_rows, anchor["g"] == hot_rows["hot"], "left").select("g", "several", F.explode(salts).alias("part"))
+    found = stored(salted.join(of, (salted["h"] == of["g"]) & (salted["salt"] == of["part"])).drop("g", "salt", "part"), "repeated-anchors")
     drop(index)
     # One row a distinct fragment, with one of its places and how many it has.
-    each = found.groupBy("h", "c", "several").agg(F.sum(F.size("starts")).alias("m"), F.min(F.struct("i", "x", F.element_at("starts", 1).alias("s"), "n", "a")).alias("p"))
-    each = stored(each.select("h", "c", "several", "m", "p.*"), "distinct-fragments")
-    wanted = each.where("several").groupBy(F.col("i").alias("wi"), F.col("x").alias("wx")).agg(F.collect_list(F.struct("h", "c", "m", "s", "n", "a")).alias("wanted"))
+    each = found.groupBy(*key, "several").agg(F.sum(F.size("starts")).alias("m"), F.min(F.struct("i", "x", F.element_at("starts", 1).alias("s"), "n", "a")).alias("p"))
+    each = stored(each.select(*key, "several", "m", "p.*"), "distinct-fragments")
+    wanted = each.where("several").groupBy(F.col("i").alias("wi"), F.col("x").alias("wx")).agg(F.collect_list(F.struct(*key, "m", "s", "n", "a")).alias("wanted"))
     one = rows.join(wanted, rows["i"].eqNullSafe(wanted["wi"]) & (rows["x"] == wanted["wx"])).select("t", "wanted")
     pieces = one.mapInArrow(_fetch_batches(length), _PIECES)
     sizes = each.where("several").groupBy(F.col("h").alias("g")).agg(F.count("*").alias("z"))
     hot = stored(sizes.where(F.col("z") > most_fragments).select("g"), "hot-anchors")
-    kept, parts, ranges = [hot], [], each.where("m > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
-    # Cores grow until a piece is a single window, which its key alone tells.
+    kept, parts, ranges = [anchor, hot], [], each.where("m > 1").select(*key, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
+    # Cores grow until a piece is a single window, which is told by its bytes.
     for step in (50, 8, 1):
         if hot.isEmpty():
             parts.append(pieces)
@@ -354,36 +419,45 @@ def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20
         parts.append(pieces.join(hot, pieces["k"] == hot["g"], "left_anti"))
         cut = stored(pieces.join(hot, pieces["k"] == hot["g"], "left_semi").mapInArrow(_cut_batches(length, step), _PIECES), "pieces")
         kept.append(cut)
-        keys = cut.groupBy(F.col("k").alias("g")).agg(F.count("*").alias("z")).where("z > 1")
         if step > 1:
+            keys = cut.groupBy(F.col("k").alias("g")).agg(F.count("*").alias("z")).where("z > 1")
             pieces = cut.join(keys, cut["k"] == keys["g"], "left_semi")
             hot = stored(keys.where(F.col("z") > most_fragments).select("g"), "hot-anchors")
             kept.append(hot)
         else:
+            same = cut.groupBy(F.col("k").alias("g"), F.col("bytes").alias("window")).agg(F.count("*").alias("z")).where("z > 1")
             once = F.array(F.struct(F.col("o").alias("a"), (F.col("o") + 1).cast("int").alias("b")))
-            ranges = ranges.unionAll(cut.where("m = 1").join(keys, cut["k"] == keys["g"], "left_semi").select("h", "c", once.alias("ranges")))
+            ranges = ranges.unionAll(cut.where("m = 1").join(same, (cut["k"] == same["g"]) & (cut["bytes"] == same["window"]), "left_semi").select(*key, once.alias("ranges")))
     for part in parts:
-        ranges = ranges.unionAll(part.repartition("k").sortWithinPartitions("k").mapInArrow(_transform_batches(length), f"h long, c long, ranges {_PAIRS}"))
-    ranges = stored(ranges.select(F.col("h").alias("rh"), F.col("c").alias("rc"), "ranges"), "ranges")
+        ranges = ranges.unionAll(part.repartition("k").sortWithinPartitions("k").mapInArrow(_transform_batches(length, folder), f"h long, c long, d long, ranges {_PAIRS}"))
+    ranges = stored(ranges.select(*(F.col(k).alias(f"r{k}") for k in key), "ranges"), "ranges")
     drop(each, *kept)
-    hit = found.join(ranges, (found["h"] == ranges["rh"]) & (found["c"] == ranges["rc"])).select("i", "x", F.explode("starts").alias("s"), "ranges")
+    hit = found.join(ranges, (found["h"] == ranges["rh"]) & (found["c"] == ranges["rc"]) & (found["d"] == ranges["rd"])).select("i", "x", F.explode("starts").alias("s"), "ranges")
     hit = hit.select("i", "x", "s", F.explode("ranges").alias("r"))
     return hit.select("i", "x", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b") - 1 + length).alias("b"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_fragments: int = 20_000) -> DataFrame:
-    """One row per input row: doc_id, x (hash of its text), n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges) and kept (the rest as text; a character cut in two is left out of it, not out of the digest).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_fragments: int = 20_000, words: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, x (hash of its text), n_bytes, n_removed, n_spans, n_passage_words, kept_sha256, spans (removed byte ranges) and kept (the rest as text; a character cut in two is left out of it, not out of the digest).
 
     Texts are UTF-8 bytes, null counts as empty. Strings are judged on the input. A repeated row is
-    a repeat of all its strings. Texts under ``length`` bytes stay as they are. Other columns are ignored.
+    a repeat of all its strings. Texts under ``length`` bytes stay as they are. ``n_passage_words``:
+    words that lie in a string of ``words`` words (16 at least) that starts anywhere else too, however
+    few bytes it has; nothing is removed for it (0 without ``words``). Other columns are ignored.
     """
+    _check(length, words)
+    rows = _sides(docs, id_col, text_col)
+    return _removed(rows.drop("row"), length, most_fragments, words, False).withColumnRenamed("i", "doc_id")
+
+
+def _check(length: int, words: int | None) -> None:
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    rows = _sides(docs, id_col, text_col)
-    return _removed(rows.drop("row"), length, most_fragments).withColumnRenamed("i", "doc_id")
+    if words and words * _CODE < 2 * GRAM:
+        raise ValueError(f"words must be {2 * GRAM // _CODE} at least")
 
 
-def _removed(rows: DataFrame, length: int, most_fragments: int, words: int | None = None) -> DataFrame:
+def _removed(rows: DataFrame, length: int, most_fragments: int, words: int | None, cut_words: bool) -> DataFrame:
     ranges = repeated_ranges(rows.select("i", "x", "t"), length, most_fragments).withColumn("w", F.lit(False))
     if words:
         ranges = ranges.unionByName(repeated_words(rows.select("i", "x", "t"), words, most_fragments).withColumn("w", F.lit(True)))
@@ -391,18 +465,17 @@ def _removed(rows: DataFrame, length: int, most_fragments: int, words: int | Non
     joined = rows.join(own, rows["i"].eqNullSafe(own["ri"]) & (rows["x"] == own["rx"]), "left").drop("ri", "rx")
     pairs = "array<struct<a:long,b:long>>"
     carried = ", ".join(f"{c} {t}" for c, t in joined.dtypes if c not in ("t", "ranges"))
-    return joined.mapInArrow(_remove_batches, f"{carried}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {pairs}, kept string")
+    return joined.mapInArrow(_remove_batches(cut_words), f"{carried}, n_bytes long, n_removed long, n_spans long, n_passage_words long, kept_sha256 string, spans {pairs}, kept string")
 
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_fragments: int = 20_000, words: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns as they are but for the text, which is what :func:`remove_repeats` keeps; with ``words`` (16 at least), repeated strings of so many words go too, however few bytes they have."""
-    if words and words * _CODE < 2 * GRAM:
-        raise ValueError(f"words must be {2 * GRAM // _CODE} at least")
-    out = _removed(_sides(docs, id_col, text_col), length, most_fragments, words)
+    _check(length, words)
+    out = _removed(_sides(docs, id_col, text_col), length, most_fragments, words, True)
     return out.select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    """Query: strings of 400 bytes, all documents."""
+    """Query: strings of 400 bytes, all documents; ``n_passage_words`` also tells repeated passages of over 50 words that are shorter than that."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, words=51).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")

@@ -107,17 +107,27 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     assert {r["doc_id"]: r["text"].strip() for r in stage(spark, docs, "").collect()} == dict(enumerate(heads))
 
 
-def test_transform_keeps_no_file(monkeypatch):
-    import tempfile
-
+def test_transform_goes_through_its_files(tmp_path, monkeypatch):
     import numpy as np
 
-    from quarryline.llm.suffixes import repeated_windows
-
-    def none(*args, **kwargs):
-        raise AssertionError("a file was opened")
+    from quarryline.llm import suffixes
 
-    monkeypatch.setattr(tempfile, "SpooledTemporaryFile", none)
     t = bytes(range(74))
-    found = repeated_windows([t, t[:70], t[::-1]], np.array([10, 10, 10]), 64)
-    assert found.sum(axis=1).tolist() == [7, 7, 0]
+    windows = lambda: suffixes.repeated_windows([t, t[:70], t[::-1]], np.array([10, 10, 10]), 64, f"file://{tmp_path}")
+    assert windows().sum(axis=1).tolist() == [7, 7, 0]
+    assert not list(tmp_path.iterdir())
+    # What a round knows of the one before is in the file: other common prefixes there are other results.
+    write = suffixes.Segments._write
+    monkeypatch.setattr(suffixes.Segments, "_write", lambda self, order, before, common: write(self, order, before, np.zeros_like(common)))
+    assert windows().sum() == 0
+
+
+def test_counted_passages(spark):
+    rng = random.Random(11)
+    some = lambda n: " ".join(f"{rng.randrange(10**4):x}" for _ in range(n))
+    passage = some(55)
+    assert len(passage) < 400
+    texts = [None, "", f"{some(9)} {passage}", f"{passage} {some(70)}", some(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_passage_words"]) for r in remove_repeats(docs, words=51).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (0, 55), 3: (0, 55), 4: (0, 0)}
