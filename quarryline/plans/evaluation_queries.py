@@ -106,16 +106,16 @@ PADDED = f"WITH {RANKED}, {ranked(10)} SELECT query_id, p.rank, doc_id, score FR
 
 
 def probes(spark, sf):
-    """Vectors as probes: the expected text is the query's label, every fourth expects nothing."""
+    """Vectors as probes: the expected text is the query's label, every fourth of them expects nothing."""
     e = frames.table(spark, sf, "embeddings")
-    r = frames.nearest(spark, sf, 3).where("doc_id <> query_id or query_id % 2 = 0").join(e.select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("topic "), F.col("label").cast("string")).alias("label")), "doc_id")
-    r = r.select(F.when(F.col("query_id") < 10, "first").otherwise("second").alias("combo"), F.col("query_id").alias("probe_id"), "rank", "label", (F.col("score") < 0.5).alias("weak_match"))
-    p = e.where("vec_id < 20").select(F.col("vec_id").alias("probe_id"), F.when(F.col("vec_id") % 4 == 3, "weak").otherwise(F.concat(F.lit("Topic "), F.col("label").cast("string"))).alias("expected"))
+    r = frames.nearest(spark, sf, 3).where("doc_id <> query_id or query_id % 100 = 0").join(e.select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("topic "), F.col("label").cast("string")).alias("label")), "doc_id")
+    r = r.select(F.when(F.col("query_id") % 150 == 0, "first").otherwise("second").alias("combo"), F.col("query_id").alias("probe_id"), "rank", "label", (F.col("score") < 0.5).alias("weak_match"))
+    p = e.where(frames.PROBED).select(F.col("vec_id").alias("probe_id"), F.when(F.col("vec_id") % 200 == 150, "weak").otherwise(F.concat(F.lit("Topic "), F.col("label").cast("string"))).alias("expected"))
     return evaluate.probes(r, p)
 
 
-PROBES = f"""WITH {NEAREST}, {ranked(3, 'n')}, y AS (SELECT CASE WHEN query_id < 10 THEN 'first' ELSE 'second' END AS combo, query_id, rank, score < 0.5 AS weak, 'topic ' || e.label AS label, CASE WHEN query_id % 4 = 3 THEN 'weak' ELSE 'topic ' || o.label END AS expected
-  FROM r JOIN embeddings e ON e.vec_id = doc_id JOIN embeddings o ON o.vec_id = query_id WHERE doc_id <> query_id OR query_id % 2 = 0),
+PROBES = f"""WITH {NEAREST}, {ranked(3, 'n')}, y AS (SELECT CASE WHEN query_id % 150 = 0 THEN 'first' ELSE 'second' END AS combo, query_id, rank, score < 0.5 AS weak, 'topic ' || e.label AS label, CASE WHEN query_id % 200 = 150 THEN 'weak' ELSE 'topic ' || o.label END AS expected
+  FROM r JOIN embeddings e ON e.vec_id = doc_id JOIN embeddings o ON o.vec_id = query_id WHERE doc_id <> query_id OR query_id % 100 = 0),
 z AS (SELECT combo, query_id, expected, max(CASE WHEN rank = 1 THEN (rank <= 3 AND contains(label, expected))::INT END) AS p1, max(CASE WHEN rank <= 3 THEN contains(label, expected)::INT END) AS p3, max(CASE WHEN rank = 1 THEN weak::INT END) AS w FROM y GROUP BY ALL)
 SELECT combo, count(*) FILTER (WHERE expected <> 'weak') AS in_corpus, round_even(coalesce(avg(p1) FILTER (WHERE expected <> 'weak'), 0), 3) AS p_at_1, round_even(coalesce(avg(p3) FILTER (WHERE expected <> 'weak'), 0), 3) AS p_at_3,
 round_even(coalesce(avg(w) FILTER (WHERE expected = 'weak'), 0), 3) AS weak_recall FROM z GROUP BY combo"""

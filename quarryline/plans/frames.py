@@ -33,9 +33,9 @@ def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight tokens of each benchmark item, counted."""
+    """The tokens of each benchmark item, counted."""
     b = table(spark, sf_dir, "benchmark")
-    rows = b.select(F.col("item_id").alias("query_id"), F.explode(F.slice(T.tokens(F.col("text")), 1, 8)).alias("token"))
+    rows = b.select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("token"))
     return rows.groupBy("query_id", "token").agg(F.count("*").alias("qf"))
 
 
@@ -49,10 +49,14 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select(F.col("phrase_id").alias("query_id"), "doc_id")
 
 
+#: The query set of vector searches.
+PROBED = "vec_id % 50 = 0"
+
+
 def nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The first twenty vectors as queries against all."""
+    """The vectors whose ids are divisible by 50 as queries against all."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return dense.knn(e.where("vec_id < 20"), e, k, query_id="vec_id", doc_id="vec_id")
+    return dense.knn(e.where(PROBED), e, k, query_id="vec_id", doc_id="vec_id")
 
 
 def raw_flags(description) -> object:

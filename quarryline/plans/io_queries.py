@@ -39,7 +39,7 @@ JSON_LINES = "SELECT doc_id, lang, md5(text) AS text_md5, lang || ',' || source
 
 def listing(spark, sf) -> DataFrame:
     """Listing files of three shapes -> records."""
-    d = frames.table(spark, sf, "part").where("p_partkey <= 30").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("ownerUser"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("datasetSlug"), F.col("p_name").alias("title"), F.array(F.struct(F.lit("CC0").alias("name"))).alias("licenses"), F.array(F.lit(" a "), F.lit("")).alias("keywords"))).alias("j"))
+    d = frames.table(spark, sf, "part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("ownerUser"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("datasetSlug"), F.col("p_name").alias("title"), F.array(F.struct(F.lit("CC0").alias("name"))).alias("licenses"), F.array(F.lit(" a "), F.lit("")).alias("keywords"))).alias("j"))
     wrapped = F.concat(F.lit('{"info":'), F.col("j"), F.lit("}"))
     quoted = F.concat(F.lit('"'), F.replace(F.replace(wrapped, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     shaped = d.select(F.when(F.col("p_partkey") % 3 == 0, F.col("j")).when(F.col("p_partkey") % 3 == 1, wrapped).otherwise(quoted).alias("value"), F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("folder"))
@@ -49,7 +49,7 @@ def listing(spark, sf) -> DataFrame:
     return r.select("ref", "title", "license", F.array_join("keywords", ",").alias("keywords"), "url")
 
 
-LISTING = "SELECT p_brand || '/s' || p_partkey AS ref, p_name AS title, 'CC0' AS license, 'a' AS keywords, 'https://www.kaggle.com/datasets/' || p_brand || '/s' || p_partkey AS url FROM part WHERE p_partkey <= 30"
+LISTING = "SELECT p_brand || '/s' || p_partkey AS ref, p_name AS title, 'CC0' AS license, 'a' AS keywords, 'https://www.kaggle.com/datasets/' || p_brand || '/s' || p_partkey AS url FROM part"
 
 
 def csv(spark, sf) -> DataFrame:
@@ -79,14 +79,14 @@ VECTORS = "SELECT vec_id, len(embedding) AS dimensions, label FROM embeddings"
 
 def streamed(spark, sf) -> DataFrame:
     """Extension: documents arrive as JSON files, are cleaned and deduplicated on the way."""
-    d = frames.table(spark, sf, "documents").where("doc_id < 200").select("source", F.col("doc_id").cast("string").alias("ref"), F.substring("text", 1, 500).alias("raw_description"), F.lit("2026-01-01T00:00:00").cast("timestamp").alias("collected_at"))
+    d = frames.table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("ref"), F.col("text").alias("raw_description"), F.lit("2026-01-01T00:00:00").cast("timestamp").alias("collected_at"))
     src, out = folder(spark, "stream-in"), folder(spark, "stream-out")
     d.unionAll(d).repartition(4).write.json(src)
     ingest.ingest_cards(spark, src, out, once=True)
     return spark.read.parquet(out).select("source", "ref", F.md5("clean_description_basic").alias("text_md5"))
 
 
-STREAMED = r"SELECT source, CAST(doc_id AS VARCHAR) AS ref, md5(trim(regexp_replace(substr(text, 1, 500), '\s+', ' ', 'g'))) AS text_md5 FROM documents WHERE doc_id < 200"
+STREAMED = r"SELECT source, CAST(doc_id AS VARCHAR) AS ref, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_md5 FROM documents"
 
 QUERIES = {
     "s1_s3_k1_k2_json_lines": (json_lines, JSON_LINES),

@@ -14,13 +14,13 @@ from .sql import lit, norm, toks
 
 def _conversations(spark, sf):
     """First user turns as queries, with phrases around them so that every pattern occurs."""
-    c = frames.table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("query_id"), "turn", F.substring("text", 1, 60).alias("t"))
+    c = frames.table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("query_id"), "turn", F.col("text").alias("t"))
     k = F.col("query_id") % 6
     lead = F.when(k == 0, "I am looking for ").when(k == 1, "find me ").when(k == 2, "Bana ").when(k == 3, "I want ").otherwise("")
     return c.select("query_id", "turn", F.concat(lead, F.col("t"), F.when(k == 5, " yağmur").otherwise("")).alias("query"))
 
 
-_C = "c AS (SELECT conv_id AS query_id, turn, CASE conv_id % 6 WHEN 0 THEN 'I am looking for ' WHEN 1 THEN 'find me ' WHEN 2 THEN 'Bana ' WHEN 3 THEN 'I want ' ELSE '' END || substr(text, 1, 60) || CASE WHEN conv_id % 6 = 5 THEN ' yağmur' ELSE '' END AS query FROM conversations WHERE role = 'user')"
+_C = "c AS (SELECT conv_id AS query_id, turn, CASE conv_id % 6 WHEN 0 THEN 'I am looking for ' WHEN 1 THEN 'find me ' WHEN 2 THEN 'Bana ' WHEN 3 THEN 'I want ' ELSE '' END || text || CASE WHEN conv_id % 6 = 5 THEN ' yağmur' ELSE '' END AS query FROM conversations WHERE role = 'user')"
 
 
 def language(spark, sf):

@@ -100,12 +100,12 @@ FIRST = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER
 
 def arrays(spark, sf):
     c = frames.corpus(spark, sf)
-    a, b = T.tokens(F.substring("title", 1, 30)), T.tokens(F.substring("description", 20, 60))
+    a, b = T.tokens(F.col("title")), T.tokens(F.col("description"))
     return c.select("doc_id", F.array_join(F.array_distinct(a), " ").alias("distinct_"), F.size(F.array_intersect(a, b)).cast("long").alias("common"), F.round(T.overlap(a, b), 6).alias("ratio"), F.size(F.array_except(a, b)).cast("long").alias("left_only"), F.size(F.array_union(a, b)).cast("long").alias("all_"))
 
 
 ARRAYS = f"""
-WITH x AS (SELECT doc_id, {toks("substr(array_to_string((" + words('text') + ")[1:6], ' '), 1, 30)")} AS a, {toks('substr(text, 20, 60)')} AS b FROM documents),
+WITH x AS (SELECT doc_id, {toks("array_to_string((" + words('text') + ")[1:6], ' ')")} AS a, {toks('text')} AS b FROM documents),
 y AS (SELECT doc_id, a, b, list_distinct(a) AS da, list_distinct(b) AS db FROM x)
 SELECT doc_id, array_to_string(list_filter(a, lambda t, i: list_position(a, t) = i), ' ') AS distinct_, CAST(len(list_intersect(da, db)) AS BIGINT) AS common, CASE WHEN len(da) > 0 THEN round(len(list_intersect(da, db)) / len(da), 6) ELSE 0.0 END AS ratio,
 CAST(len(da) - len(list_intersect(da, db)) AS BIGINT) AS left_only, CAST(len(da) + len(db) - len(list_intersect(da, db)) AS BIGINT) AS all_ FROM y"""

@@ -42,10 +42,10 @@ def bm25_index_search(spark, sf):
 
 
 def field_bm25(spark, sf):
-    """Parts as documents with weighted fields, benchmark words replaced by part words: each of the first 20 names is a query."""
+    """Parts as documents with weighted fields, benchmark words replaced by part words: names of ids divisible by 50 are queries."""
     p = frames.table(spark, sf, "part")
     d = p.select(F.col("p_partkey").alias("doc_id"), lexical.document_tokens(F.col("p_name"), F.array("p_brand"), F.col("p_type")).alias("tokens"))
-    q = p.where("p_partkey <= 20").select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("token"), F.lit(1).cast("long").alias("qf"))
+    q = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("token"), F.lit(1).cast("long").alias("qf"))
     return lexical.search(q, d, 5)
 
 
@@ -53,7 +53,7 @@ FIELD = f"""
 WITH t AS (SELECT p_partkey AS doc_id, flatten([{toks('p_name')}, {toks('p_name')}, {toks('p_name')}, {toks('p_brand')}, {toks('p_brand')}, {toks('p_type')}]) AS tk FROM part),
 st AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM t WHERE len(tk) > 0),
 tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, len(tk) AS dl, unnest(tk) AS token FROM t) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-q AS (SELECT p_partkey AS query_id, unnest(list_distinct({toks("concat_ws(' ', p_name, p_type)")})) AS token FROM part WHERE p_partkey <= 20),
+q AS (SELECT p_partkey AS query_id, unnest(list_distinct({toks("concat_ws(' ', p_name, p_type)")})) AS token FROM part WHERE p_partkey % 50 = 0),
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st GROUP BY query_id, doc_id),
 {ranked(5)} SELECT query_id, doc_id, score, rank FROM r"""
 
@@ -67,17 +67,17 @@ KNN = f"WITH {NEAREST}, {ranked(5, 'n')} SELECT query_id, doc_id, score, rank FR
 
 def knn_expression(spark, sf):
     e = frames.table(spark, sf, "embeddings")
-    return dense.knn_sql(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), 5)
+    return dense.knn_sql(e.where(frames.PROBED).select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), 5)
 
 
 def _variants(spark, sf):
-    """Vector 3q is a query's first variant, 3q+1 its second (weight 0.8), 3q and 3q+2 its aspects; q < 6."""
+    """Of the vectors with ids divisible by 50, number 3q is a query's first variant, 3q+1 its second (weight 0.8), 3q and 3q+2 its aspects."""
     e = frames.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    near = dense.knn(e.where("vec_id < 18"), e, 40, query_id="vec_id", doc_id="vec_id")
-    q, r = (F.floor(F.col("query_id") / 3)).cast("long"), F.col("query_id") % 3
+    near = dense.knn(e.where(frames.PROBED), e, 40, query_id="vec_id", doc_id="vec_id")
+    q, r = F.floor(F.col("query_id") / 150).cast("long"), F.floor(F.col("query_id") / 50) % 3
     v = near.where(r < 2).select(q.alias("query_id"), "doc_id", "score", F.when(r == 0, 1.0).otherwise(0.8).alias("weight"))
     a = near.where(r != 1).select(q.alias("query_id"), "doc_id", F.when(r == 0, "x").otherwise("y").alias("aspect"), "score")
-    n = spark.range(6).select(F.col("id").alias("query_id"), F.lit(2).cast("long").alias("n_aspects"))
+    n = e.where(frames.PROBED).select(F.floor(F.col("vec_id") / 150).cast("long").alias("query_id"), F.lit(2).cast("long").alias("n_aspects")).distinct()
     return dense.fuse(v, a, n)
 
 
@@ -88,8 +88,8 @@ def variant_fusion(spark, sf):
 
 
 FUSED = f"""
-n AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 18),
-{ranked(40, 'n', 'h')},
+n AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+{ranked(40, 'n', 'g0')}, h AS (SELECT query_id // 50 AS query_id, doc_id, score, rank FROM g0),
 v AS (SELECT query_id // 3 AS query_id, doc_id, max(score * CASE WHEN query_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) AS mx, count(*) AS hits, sum(CASE WHEN query_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) AS w FROM h WHERE query_id % 3 < 2 GROUP BY ALL),
 a AS (SELECT query_id // 3 AS query_id, doc_id, max(CASE WHEN query_id % 3 = 0 THEN greatest(score, 0.0::DOUBLE) END) AS x, max(CASE WHEN query_id % 3 = 2 THEN greatest(score, 0.0::DOUBLE) END) AS y FROM h WHERE query_id % 3 <> 1 GROUP BY ALL),
 f AS (SELECT query_id, doc_id, coalesce(mx, 0.0::DOUBLE) AS mx, coalesce(hits, 0) AS hits, coalesce(w, 0.0::DOUBLE) AS w, coalesce(x, 0.0::DOUBLE) AS x, coalesce(y, 0.0::DOUBLE) AS y FROM v FULL OUTER JOIN a USING (query_id, doc_id)),
@@ -103,8 +103,8 @@ SELECT query_id, doc_id, score, rank, round(mx, 6) AS max_score, round(w, 6) AS
 def cross_profile(spark, sf):
     """Two encoders: the vectors, and their first 32 dimensions."""
     e = frames.table(spark, sf, "embeddings").select("vec_id", "embedding", F.slice("embedding", 1, 32).alias("half"))
-    p = dense.knn(e.where("vec_id < 20"), e, 20, query_id="vec_id", doc_id="vec_id")
-    a = dense.knn(e.where("vec_id < 20"), e, 20, "vec_id", "half", "vec_id", "half")
+    p = dense.knn(e.where(frames.PROBED), e, 20, query_id="vec_id", doc_id="vec_id")
+    a = dense.knn(e.where(frames.PROBED), e, 20, "vec_id", "half", "vec_id", "half")
     return lexical.top_k(fusion.cross_profile(p, a), 10)
 
 
@@ -113,7 +113,7 @@ def _mm(name: str, source: str, out: str) -> str:
 
 
 CROSS = f"""
-WITH {NEAREST}, h AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(a.embedding[1:32]::DOUBLE[], b.embedding[1:32]::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20),
+WITH {NEAREST}, h AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(a.embedding[1:32]::DOUBLE[], b.embedding[1:32]::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
 {ranked(20, 'n', 'p')}, {ranked(20, 'h', 'a')}, {_mm('p', 'p', 'pn')}, {_mm('a', 'a', 'an')},
 s AS (SELECT query_id, doc_id, round(coalesce(0.72::DOUBLE * p_norm, 0) + coalesce(CASE WHEN p_norm IS NOT NULL THEN 0.58::DOUBLE ELSE 0.58::DOUBLE * 0.62::DOUBLE END * a_norm, 0) + CASE WHEN p_norm IS NOT NULL AND a_norm IS NOT NULL THEN 0.03::DOUBLE ELSE 0 END, 6) AS score,
   CAST((p_norm IS NOT NULL)::INT + (a_norm IS NOT NULL)::INT AS BIGINT) AS support FROM pn FULL OUTER JOIN an USING (query_id, doc_id))

@@ -190,7 +190,7 @@ def _label_text(spark, sf):
     sentence = F.lit("")
     for k, (_, (phrases, toks_)) in enumerate(names):
         sentence = F.when(F.col("doc_id") % 11 == k, F.lit(f"{phrases.split('|')[0]} {toks_.split()[k % 5]} forecast table")).otherwise(sentence)
-    return frames.corpus(spark, sf).withColumn("description", F.concat_ws(" ", sentence, F.substring("description", 1, 300)))
+    return frames.corpus(spark, sf).withColumn("description", F.concat_ws(" ", sentence, F.col("description")))
 
 
 def label_rules(spark, sf):
@@ -209,7 +209,7 @@ def _labels_sql() -> str:
     rows = [rule("d", k, label, " + ".join([*(inn(p) for p in ps.split("|")), *(has(w) for w in ws.split())])) for k, (label, (ps, ws)) in enumerate(V.DOMAIN_RULES.items())]
     rows += [rule("u", k, label, " + ".join(inn(p, " + ".join(has(w) for w in p.split())) if " " in p else has(p) for p in ps.split("|"))) for k, (label, ps) in enumerate(V.USE_CASE_RULES.items())]
     rows += [rule("m", k, label, " + ".join(inn(p) if " " in p else has(p) for p in ps.split("|"))) for k, (label, ps) in enumerate(V.MODALITY_RULES.items())]
-    text = f"concat_ws(' ', CASE {cases} ELSE '' END, substr(description, 1, 300))"
+    text = f"concat_ws(' ', CASE {cases} ELSE '' END, description)"
     pick = lambda kind, most: f"coalesce(string_agg(CASE WHEN kind = '{kind}' AND n <= {most} THEN label END, ',' ORDER BY n), '')"
     return f"""
 WITH {CORPUS}, a AS (SELECT doc_id, {norm(f"concat_ws(' ', title, {text})")} AS t FROM c), b AS (SELECT doc_id, t, string_split(t, ' ') AS k FROM a),
@@ -234,11 +234,11 @@ KEYWORD_TOKENS = f"SELECT p_partkey AS doc_id, array_to_string(flatten([{', '.jo
 
 def encoding(spark, sf):
     d = frames.spread(frames.table(spark, sf, "documents").select("doc_id", "text"))
-    spoiled = F.concat(F.lit("Ã‚it "), F.substring("text", 1, 40), F.lit("Ã¢â‚¬Â¦ Ã¢â‚¬â€œ end"))
+    spoiled = F.concat(F.lit("Ã‚it "), F.col("text"), F.lit("Ã¢â‚¬Â¦ Ã¢â‚¬â€œ end"))
     return d.select("doc_id", T.fix_encoding(spoiled).alias("fixed"))
 
 
-ENCODING = "SELECT doc_id, 'it ' || substr(text, 1, 40) || '... - end' AS fixed FROM documents"
+ENCODING = "SELECT doc_id, 'it ' || text || '... - end' AS fixed FROM documents"
 
 
 def fold_text(spark, sf):
@@ -250,11 +250,11 @@ FOLD = rf"SELECT doc_id, md5({fold('text')}) AS folded_md5, md5(trim(regexp_repl
 
 def web_terms(spark, sf):
     d = frames.spread(frames.table(spark, sf, "documents").select("doc_id", "text"))
-    return d.select("doc_id", T.web_terms(F.col("text")).alias("terms"), T.web_language(F.substring("text", 1, 40)).alias("language"))
+    return d.select("doc_id", T.web_terms(F.col("text")).alias("terms"), T.web_language(F.col("text")).alias("language"))
 
 
 WEB_TERMS = rf"""SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9a-zA-ZçğıöşüÇĞİÖŞÜ]{{3,}}'), lambda t: lower(t)), lambda t: NOT list_contains({lit(V.WEB_STOPWORDS)}, t)))) AS terms,
-CASE WHEN regexp_matches(lower(substr(text, 1, 40)), '[{V.WEB_TURKISH_LETTERS}]') OR list_has_any(regexp_extract_all(translate(lower(substr(text, 1, 40)), ',.', '  '), '\S+'), {lit(V.WEB_TURKISH_MARKERS)}) THEN 'tr' ELSE 'en' END AS language FROM documents"""
+CASE WHEN regexp_matches(lower(text), '[{V.WEB_TURKISH_LETTERS}]') OR list_has_any(regexp_extract_all(translate(lower(text), ',.', '  '), '\S+'), {lit(V.WEB_TURKISH_MARKERS)}) THEN 'tr' ELSE 'en' END AS language FROM documents"""
 
 QUERIES = {
     "x22_q1b_web_terms": (web_terms, WEB_TERMS),

@@ -68,14 +68,14 @@ SELECT query_id, positive_id, negative_id, negative_hardness, negative_strategy,
 
 
 def _specs(spark):
-    rows = [(0, ["that"], ["that", "with", "tion"], ["worthless"], ["en"], ["src1"], ["text"]), (1, ["que"], ["que", "une"], ["idiot"], ["fr"], [], ["image"]), (2, ["der", "und"], ["der", "und", "mit"], ["trash"], ["de"], ["src2", "src3"], [])]
+    rows = [(0, ["that"], ["that", "with", "tion"], ["worthless"], ["en"], ["src1"], ["text"]), (50, ["que"], ["que", "une"], ["idiot"], ["fr"], [], ["image"]), (100, ["der", "und"], ["der", "und", "mit"], ["trash"], ["de"], ["src2", "src3"], [])]
     return spark.createDataFrame(rows, "query_id long, core array<string>, positive array<string>, negative array<string>, expected_domains array<string>, expected_uses array<string>, expected_modes array<string>")
 
 
 def _analyzed(spark, sf):
     from ..functions import text as T
 
-    d = frames.table(spark, sf, "documents").select("doc_id", T.keep_words(F.substring("text", 1, 200)).alias("match_text"), F.array_compact(F.array(F.when(F.length("text") < 80, "short_description"))).alias("flags"))
+    d = frames.table(spark, sf, "documents").select("doc_id", T.keep_words(F.col("text")).alias("match_text"), F.array_compact(F.array(F.when(F.length("text") < 80, "short_description"))).alias("flags"))
     return training.analyze(d.join(_label_docs(spark, sf), "doc_id"), _specs(spark))
 
 
@@ -83,8 +83,8 @@ def analyzed(spark, sf):
     return _analyzed(spark, sf).select("query_id", "doc_id", *(F.col(c).cast("long").alias(c) for c in ("core_hits", "positive_hits", "negative_hits", "domain_hits", "use_hits", "mode_hits")), "positive_score", training.selection_quality().alias("selection"))
 
 
-_M = r"trim(regexp_replace(regexp_replace(strip_accents(lower(substr(text, 1, 200))), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
-_SPEC = """sp AS (SELECT * FROM (VALUES (0, ['that'], ['that', 'with', 'tion'], ['worthless'], ['en'], ['src1'], ['text']), (1, ['que'], ['que', 'une'], ['idiot'], ['fr'], []::VARCHAR[], ['image']), (2, ['der', 'und'], ['der', 'und', 'mit'], ['trash'], ['de'], ['src2', 'src3'], []::VARCHAR[])) v(query_id, core, positive, negative, ed, eu, em))"""
+_M = r"trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_SPEC = """sp AS (SELECT * FROM (VALUES (0, ['that'], ['that', 'with', 'tion'], ['worthless'], ['en'], ['src1'], ['text']), (50, ['que'], ['que', 'une'], ['idiot'], ['fr'], []::VARCHAR[], ['image']), (100, ['der', 'und'], ['der', 'und', 'mit'], ['trash'], ['de'], ['src2', 'src3'], []::VARCHAR[])) v(query_id, core, positive, negative, ed, eu, em))"""
 _ANALYZED = f"""{_SPEC}, dm AS (SELECT doc_id, lang, source, {_M} AS t, length(text) < 80 AS short, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'image' END AS mode FROM documents),
 an AS (SELECT query_id, doc_id, ed, eu, em, short, len(list_filter(core, lambda x: contains(t, x))) AS core_hits, len(list_filter(positive, lambda x: contains(t, x))) AS positive_hits, len(list_filter(negative, lambda x: contains(t, x))) AS negative_hits,
   list_contains(ed, lang)::BIGINT AS domain_hits, list_contains(eu, source)::BIGINT AS use_hits, list_contains(em, mode)::BIGINT AS mode_hits FROM dm CROSS JOIN sp),
