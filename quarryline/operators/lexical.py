@@ -91,7 +91,8 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, tokens: str = "token
     rounded to six places before ranking, so that the order does not hang on addition order.
     """
     vocabulary = queries.select("token").distinct()
-    small = vocabulary.count() <= BROADCAST_TOKENS
+    # Rows of the queries, which are at least as many as their tokens.
+    small = queries.count() <= BROADCAST_TOKENS
     hint = F.broadcast if small else (lambda d: d)
     blank = docs.sparkSession.range(1).select(F.lit("").alias("token"))
     rows = _exploded(docs, id_col, F.concat(F.array(F.lit("")), F.col(tokens)), F.size(tokens))

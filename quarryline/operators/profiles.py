@@ -25,21 +25,26 @@ PROFILES = {
     "multilingual": Profile("multilingual", "intfloat/multilingual-e5-small", "query: ", "passage: "),
 }
 ALIASES = {
-    "minilm": "default en english english_e5 e5_en e5_small_v2 mini minilm_en",
-    "e5_base": "e5_base_v2 e5_base_en e5base",
-    "minilm_ft": "minilm_domain_ft finetuned ft",
-    "multilingual": "tr turkish multilingual_e5 e5",
+    "minilm": ("default", "en", "english", "english_e5", "e5_en", "e5_small_v2", "mini", "minilm_en"),
+    "e5_base": ("e5_base_v2", "e5_base_en", "e5base"),
+    "minilm_ft": ("minilm_domain_ft", "finetuned", "ft"),
+    "multilingual": ("tr", "turkish", "multilingual_e5", "e5"),
 }
 # --- End of fixed values ----------------------------------------------------------------------------
 
 
+def names(profile: Profile) -> frozenset[str]:
+    """All names a profile goes by."""
+    return frozenset((profile.key, *ALIASES.get(profile.key, ())))
+
+
 def get(key: str | None = None, profiles: dict[str, Profile] = PROFILES) -> Profile:
-    """M3: a profile by its key or an alias; an unknown one raises ValueError."""
-    name = (key or DEFAULT).strip().lower()
-    name = next((k for k, names in ALIASES.items() if name in names.split()), name)
-    if name not in profiles:
-        raise ValueError(f"unknown profile {key!r}, known are {', '.join(sorted(profiles))}")
-    return profiles[name]
+    """M3: the profile that goes by a name (any case; none: the default one). ValueError where there is none."""
+    wanted = key.strip().casefold() if key and key.strip() else DEFAULT
+    fitting = [p for p in profiles.values() if wanted in names(p)]
+    if len(fitting) != 1:
+        raise ValueError(f"{len(fitting)} profiles go by {wanted!r}")
+    return fitting[0]
 
 
 def auxiliary(profile: str) -> str:

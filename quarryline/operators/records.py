@@ -9,7 +9,8 @@ from ..functions import labels as L
 from ..functions import quality as Q
 from ..functions import text as T
 
-TEXT_FIELDS = ("description", "text", "raw_description", "body")
+#: A record's text fields, cleaned ones first.
+TEXT_FIELDS = ("clean_description_basic", "clean_description", "description", "text", "raw_description", "body")
 MIN_CHARS = 20
 
 
@@ -66,7 +67,7 @@ def pick_language(language: Column, keywords: Column) -> Column:
 def pick_license(license_: Column, keywords: Column) -> Column:
     """The field, else the first ``license:`` tag."""
     tag = F.get(F.filter(keywords, lambda k: F.startswith(k, F.lit("license:"))), F.lit(0))
-    return F.coalesce(some(license_), F.trim(F.substring(tag, 9, 1000)), F.lit(""))
+    return F.coalesce(some(license_), F.trim(F.substr(tag, F.lit(9))), F.lit(""))
 
 
 def first_license(licenses: Column) -> Column:

@@ -98,6 +98,17 @@ def first_seen(spark, sf):
 FIRST = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1"
 
 
+def text_fields(spark, sf):
+    """Cards whose text lies in one field or another; blank ones and raw markup do not count before cleaned text."""
+    d = frames.table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 6).alias("k"))
+    given = lambda n: F.when(F.col("k") <= n, F.concat(F.lit(f"{n} "), F.col("text"))).otherwise(F.lit("  "))
+    d = d.select("doc_id", *(given(n).alias(f) for n, f in enumerate(records.TEXT_FIELDS)))
+    return d.select("doc_id", F.md5(records.pick_text(d)).alias("text_md5"))
+
+
+TEXT_FIELD = "SELECT doc_id, md5(trim((doc_id % 6) || ' ' || text)) AS text_md5 FROM documents"
+
+
 def arrays(spark, sf):
     c = frames.corpus(spark, sf)
     a, b = T.tokens(F.col("title")), T.tokens(F.col("description"))
@@ -160,6 +171,7 @@ def rerank_texts(spark, sf):
 RERANK_TEXT = r"SELECT doc_id, md5(substr(CASE WHEN doc_id % 2 = 0 THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE lang || ' x' END, 1, 3200)) AS md5 FROM documents"
 
 QUERIES = {
+    "p1_text_fields": (text_fields, TEXT_FIELD),
     "p1_p7_record_fields": (fields, FIELDS),
     "u2_w6_merge_distinct": (merge, MERGE),
     "u2_merge_report": (merge_report, REPORT),
