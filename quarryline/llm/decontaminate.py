@@ -40,7 +40,7 @@ class Items:
 
 
 def items_of(ids: list[int], texts: list[str], n: int) -> Items:
-    """Words and seeds of the items; an item of fewer than ``n`` words has its whole sequence as one seed, one without words has none."""
+    """Words and seeds of the items; an item of fewer than ``n`` words has none and matches nothing: so few words are no passage."""
     data, offsets = K.text_bytes(pa.array([t or "" for t in texts], pa.string()))
     h, _, _, counts = K.words(data, offsets)
     at = np.concatenate([[0], np.cumsum(counts)])
