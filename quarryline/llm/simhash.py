@@ -250,7 +250,7 @@ POSTINGS, SKETCH = 12, 64
 #: A shingle in more sketches than this is common. A sketch with at most this share of others beyond what two alike texts may differ in is mostly common: a pair of similarity 0.8 has no other shingle of its sketches in common with probability 1e-7 at most.
 COMMON, MARGIN = 256, 0.32
 #: Texts, and shingles, of one side of a task that compares all with all.
-BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_000_000
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -388,8 +388,6 @@ def exact_forest(values: np.ndarray, counts: np.ndarray, left: np.ndarray, right
             for x, y in combinations(range(n), 2):
                 np.add.at(shared, (rows[:, x], rows[:, y]), 1)
                 np.add.at(shared, (rows[:, y], rows[:, x]), 1)
-    alike = shared >= similarity * (counts[:, None] + counts[None, :] - shared) - 1e-4
-    alike &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
     out, waiting = [], np.ones(m, bool)
     for root in range(m):
         if not waiting[root]:
@@ -398,7 +396,8 @@ def exact_forest(values: np.ndarray, counts: np.ndarray, left: np.ndarray, right
         front = [root]
         while front:
             x = front.pop()
-            found = np.flatnonzero(alike[x] & waiting)
+            sides = (left[x] & right) | (right[x] & left)
+            found = np.flatnonzero(waiting & sides & (shared[x] >= similarity * (counts[x] + counts - shared[x]) - 1e-4))
             waiting[found] = False
             out += [(x, y) for y in found.tolist()]
             front += found.tolist()

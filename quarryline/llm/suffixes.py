@@ -53,7 +53,7 @@ U = np.uint64
 #: Bytes of hash for a word.
 _CODE = 4
 #: Rows of a collection whose transform is built at once.
-COLLECTION = 16_384
+COLLECTION = 8_192
 #: An anchor with more than this share of all fragments is joined in as many parts as ``_SALTS``.
 _HOT_SHARE, _SALTS = 0.001, 16
 
