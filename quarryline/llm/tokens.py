@@ -147,12 +147,11 @@ class PieceCounter:
     three give the library's counts.
     """
 
-    #: Slots of the table of piece counts that is looked up for whole blocks; what shares a slot is looked up in ``known``.
+    #: Slots of the table of piece counts that is looked up for whole blocks: two places a pre-token; what finds no place is counted again when it comes again.
     SLOTS = 1 << 20
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.known: dict[str, int] = {}
-        self.hashed: dict[int, int] = {}
         self.most = most
         self.special = None
         if path.endswith(".model"):
@@ -176,7 +175,7 @@ class PieceCounter:
             self.cut = LatinCutter()
             self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
             self.merges = Merges(spec["model"]) if Merges.suits(spec["model"]) else None
-            self.slot_key, self.slot_pieces = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
+            self.slots = [(np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.uint64(shift)) for shift in (0, 40)]
 
     def pieces(self, fresh: list[str]) -> list[int]:
         """Number of pieces of each distinct pre-token."""
@@ -214,26 +213,25 @@ class PieceCounter:
         first = np.flatnonzero(self.cut.starts(data, offsets))
         last = np.append(first[1:], len(data))
         h = K.slice_hash(K.prefix_hash(data), first, last)
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        n = self.slot_pieces[slot]
-        miss = np.flatnonzero((self.slot_key[slot] != h) | (n == 0))
+        n = np.zeros(len(h), np.int64)
+        miss = np.arange(len(h))
+        for keys, pieces, shift in self.slots:
+            own = ((h[miss] >> shift) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+            hit = (keys[own] == h[miss]) & (pieces[own] > 0)
+            n[miss[hit]] = pieces[own[hit]]
+            miss = miss[~hit]
         if len(miss):
-            keys, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            pieces = [self.hashed.get(k, 0) for k in keys.tolist()]
-            fresh = [j for j, p in enumerate(pieces) if not p]
-            if fresh:
-                words = [data[first[i] : last[i]].tobytes().decode("latin-1") for i in miss[at[fresh]].tolist()]
-                if len(self.hashed) + len(fresh) > self.most:
-                    self.hashed.clear()
-                for j, p in zip(fresh, self.pieces(words)):
-                    pieces[j] = p
-                    self.hashed[int(keys[j])] = p
-            pieces = np.array(pieces, np.int64)
-            own = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
-            self.slot_key[own], self.slot_pieces[own] = keys, pieces
-            # Keys of one slot: the last one written stays, with its own number.
-            self.slot_pieces[own] = np.where(self.slot_key[own] == keys, pieces, self.slot_pieces[own])
-            n[miss] = pieces[back]
+            fresh, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            counted = np.array(self.pieces([data[first[i] : last[i]].tobytes().decode("latin-1") for i in miss[at].tolist()]), np.int64)
+            n[miss] = counted[back]
+            left = np.arange(len(fresh))
+            for way, (keys, pieces, shift) in enumerate(self.slots):
+                own = ((fresh[left] >> shift) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+                free = pieces[own] == 0 if way == 0 else np.ones(len(own), bool)
+                keys[own[free]], pieces[own[free]] = fresh[left[free]], 0
+                placed = free & (keys[own] == fresh[left])  # of several with one slot the last is there
+                pieces[own[placed]] = counted[left[placed]]
+                left = left[~placed]
         sums = np.concatenate([[0], np.cumsum(n)])
         return np.diff(sums[np.searchsorted(first, offsets)])
 
@@ -259,7 +257,7 @@ def _count_batches(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = PieceCounter(path)
-        for block, _, offsets in K.blocks(batches, "t", 1 << 20):
+        for block, _, offsets in K.blocks(batches, "t"):
             n = counter.count([x or "" for x in block.column("t").to_pylist()])
             yield pa.RecordBatch.from_arrays([block.column("i"), pa.array(np.diff(offsets)), pa.array(n, pa.int64())], ["i", "b", "n"])
 
