@@ -30,6 +30,7 @@ def header(record_id: str, kind: str, url: str, digest: str, length: int, refers
         f"WARC-Target-URI: {''.join(c for c in url if c not in chr(13) + chr(10))}", f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {length}", "Content-Type: text/html", f"Content-Length: {length if kind == 'response' else 0}",
     ]
+    lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] * (kind == "revisit")
     lines += [f"X-Page-ID: {page_id}"] * (page_id is not None) + [f"X-Refers-To-Page-ID: {refers_to}"] * (refers_to is not None)
     return "\r\n".join(lines).encode() + END
 
