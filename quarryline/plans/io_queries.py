@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..functions import labels, text
+from ..operators import records, training
 from ..sources import io
 from ..streaming import ingest
 from . import frames
@@ -88,7 +89,88 @@ def streamed(spark, sf) -> DataFrame:
 
 STREAMED = r"SELECT source, CAST(doc_id AS VARCHAR) AS ref, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_md5 FROM documents"
 
+def strict_lines(spark, sf) -> DataFrame:
+    """JSON Lines without a bad line, read by the two ways that raise."""
+    d = frames.table(spark, sf, "customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment"))
+    at = folder(spark, "strict")
+    io.write_json_lines(d, at)
+    read = lambda mode: io.json_lines(spark, at, d.schema, mode).select(F.lit(mode).alias("mode"), "*")
+    return read("strict").unionAll(read("plain"))
+
+
+STRICT = "SELECT mode, c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment FROM customer CROSS JOIN (VALUES ('strict'), ('plain')) m(mode)"
+
+
+def _by_language(spark, sf) -> DataFrame:
+    d = frames.table(spark, sf, "documents")
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def document(spark, sf) -> DataFrame:
+    """A summary as one JSON document, read back."""
+    at = folder(spark, "document")
+    io.write_json_document(_by_language(spark, sf), at)
+    return io.json_document(spark, at, "lang string, n long, chars long")
+
+
+DOCUMENT = "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang"
+
+
+def markdown(spark, sf) -> DataFrame:
+    """K8, K9: the rows of a Markdown report, in order."""
+    text = io.report(_by_language(spark, sf).orderBy("lang"), "Languages", ["lang", "n", "chars"])
+    return io.literal(spark, [(k, x) for k, x in enumerate(text.split("\n"))], "line_no long, line string")
+
+
+MARKDOWN = """WITH s AS (SELECT coalesce(lang, '') AS lang, count(*) AS n, sum(length(text)) AS chars, row_number() OVER (ORDER BY lang NULLS FIRST) AS k FROM documents GROUP BY lang)
+SELECT k + 3 AS line_no, '| ' || lang || ' | ' || n || ' | ' || CAST(chars AS BIGINT) || ' |' AS line FROM s UNION ALL SELECT (SELECT count(*) FROM s) + 4, ''
+UNION ALL SELECT * FROM (VALUES (0::BIGINT, '# Languages'), (1, ''), (2, '| lang | n | chars |'), (3, '| --- | --- | --- |')) v"""
+
+
+def literals(spark, sf) -> DataFrame:
+    """A table of constants, joined to a table."""
+    few = io.literal(spark, [("AFRICA", 1), ("ASIA", 2), ("NOWHERE", 3)], "r_name string, code long")
+    return frames.table(spark, sf, "region").join(few, "r_name").select("r_regionkey", "r_name", "code")
+
+
+LITERALS = "SELECT r_regionkey, r_name, code FROM region JOIN (VALUES ('AFRICA', 1::BIGINT), ('ASIA', 2), ('NOWHERE', 3)) v(r_name, code) USING (r_name)"
+
+
+def english_judgments(spark, sf) -> DataFrame:
+    """judgments in English, whatever the case and blanks of the language's name."""
+    d = frames.table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("query_id"), "doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("lang"))).otherwise(F.col("lang")).alias("language"))
+    return training.english(d).select("query_id", "doc_id")
+
+
+ENGLISH = "SELECT doc_id % 7 AS query_id, doc_id FROM documents WHERE lang = 'en'"
+
+
+def index_columns(spark, sf) -> DataFrame:
+    """P10: the columns an index keeps; other columns go, and so do rows without text."""
+    d = frames.table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("ref"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).otherwise(" ").alias("semantic_text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("license"), F.when(F.col("doc_id") % 3 == 0, F.array("lang")).alias("keywords"), F.lit(1).alias("other"))
+    return records.indexed(d).select("source", "ref", F.md5("semantic_text").alias("text_md5"), "license", F.size("keywords").cast("long").alias("n_keywords"))
+
+
+INDEXED = "SELECT source, CAST(doc_id AS VARCHAR) AS ref, md5(text) AS text_md5, CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END AS license, (doc_id % 3 = 0)::BIGINT AS n_keywords FROM documents WHERE doc_id % 5 > 0 AND length(trim(coalesce(text, ''))) > 0"
+
+
+def label_lists(spark, sf) -> DataFrame:
+    """Lists without blanks, labels as words."""
+    p = frames.table(spark, sf, "part")
+    raw = F.array(F.concat(F.lit(" "), "p_brand"), F.lit("  "), F.replace(F.col("p_type"), F.lit(" "), F.lit("_")), F.lit(None).cast("string"))
+    return p.select("p_partkey", F.array_join(labels.label_text(text.strip_list(raw)), ",").alias("labels"))
+
+
+LABEL_LISTS = "SELECT p_partkey, trim(p_brand) || ',' || trim(replace(replace(p_type, ' ', '_'), '_', ' ')) AS labels FROM part"
+
 QUERIES = {
+    "s2_s3_strict_json_lines": (strict_lines, STRICT),
+    "s4_k5_json_document": (document, DOCUMENT),
+    "k8_k9_markdown_report": (markdown, MARKDOWN),
+    "s12_literals": (literals, LITERALS),
+    "f4_english_judgments": (english_judgments, ENGLISH),
+    "p10_index_columns": (index_columns, INDEXED),
+    "x13_x14_label_lists": (label_lists, LABEL_LISTS),
     "s1_s3_k1_k2_json_lines": (json_lines, JSON_LINES),
     "s4_s6_p8_listing_files": (listing, LISTING),
     "k3_k4_x23_x24_csv": (csv, CSV),

@@ -68,9 +68,13 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_json_document(df: DataFrame, path: str) -> None:
-    """K5: a small table as one JSON file (one object a line, one file)."""
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_json_document(df: DataFrame, path: str, most: int = 10_000) -> None:
+    """K5: a small table as one JSON document, a list of objects in order of their columns; more than ``most`` rows raise."""
+    held = df.limit(most + 1)
+    row = F.struct(*map(F.col, df.columns))
+    document = held.agg(F.count("*").alias("n"), F.to_json(F.sort_array(F.collect_list(row)), {"ignoreNullFields": "false"}).alias("value"))
+    document = document.select(F.when(F.col("n") > most, F.raise_error(F.lit(f"a document of more than {most} rows"))).otherwise(F.col("value")).alias("value"))
+    document.coalesce(1).write.mode("overwrite").text(path)
 
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
