@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .scratch import stored
+from .scratch import drop, stored
 
 #: Eight positions in three groups; a triple is kept if it lies in one group, or has two in a group and one in the next.
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
@@ -251,6 +251,8 @@ POSTINGS, SKETCH = 12, 64
 COMMON, MARGIN = 256, 0.32
 #: Texts, and shingles, of one side of a task that compares all with all.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Candidate components of more blocks are compared list by list.
+WHOLE_BLOCKS = 4
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -425,9 +427,14 @@ def _exact_batches(similarity: float):
     return run
 
 
+def _blocks_of() -> Column:
+    """Aggregate of (g, n): blocks of a bounded size that a group needs."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
     """(k, g, e) for members (c, g, n): each group c cut into blocks of a bounded size, and every pair of blocks a group k of its own."""
-    sizes = members.groupBy(F.col("c").alias("sc")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = members.groupBy(F.col("c").alias("sc")).agg(_blocks_of())
     placed = members.join(sizes, members["c"] == sizes["sc"]).select("c", "g", "blocks", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int").alias("own"))
     dealt = placed.select("c", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
@@ -446,15 +453,38 @@ def _exact_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return groups.join(of, groups["g"] == of["node"]).select("k", "g", "e", "s").repartition("k").sortWithinPartitions("k").mapInArrow(_exact_batches(similarity), "a long, b long")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = COMMON) -> DataFrame:
+def _doubtful(found: DataFrame, failed: DataFrame, comp: DataFrame, nodes: DataFrame, whole_blocks: int) -> DataFrame:
+    """(c, g, n): texts that have to be compared whole because a candidate link failed while its ends are in several components.
+
+    Two texts of one list that can be alike are joined by candidate links, so a link that is still
+    missing lies within a component of those. Such components are groups; a text is in one of them,
+    not in every list it shares. Those of more than ``whole_blocks`` blocks fall apart into their lists.
+    """
+    near = components(found.select("a", "b")).withColumnRenamed("component", "c")
+    near = near.join(nodes.select("g", "n"), near["node"] == nodes["g"]).select("c", "g", "n")
+    near = stored(near.join(comp, near["g"] == comp["node"], "left").select("c", "g", "n", F.coalesce("component", "g").alias("now")), "candidate-components")
+    sizes = near.groupBy(F.col("c").alias("key")).agg(_blocks_of(), F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo < hi")
+    of = near.join(sizes, near["c"] == sizes["key"]).select("c", "g", "n", "now", (F.col("blocks") <= whole_blocks).alias("whole"))
+    apart = stored(of.where("not whole").select(F.col("g").alias("node"), "n", "now"), "candidate-lists")
+    whole = of.where("whole").select("c", "g", "n")
+    if apart.isEmpty():
+        return whole
+    lists = found.join(found.join(failed, ["a", "b"], "left_semi").select("k").distinct(), "k", "left_semi")
+    ends = lists.select("k", F.col("a").alias("e")).union(lists.select("k", F.col("b").alias("e"))).distinct()
+    members = ends.join(apart, ends["e"] == apart["node"]).select("k", "e", "n", "now")
+    several = members.groupBy(F.col("k").alias("key")).agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo < hi")
+    return whole.unionAll(members.join(several, members["k"] == several["key"], "left_semi").select(F.xxhash64(F.lit(1), "k").alias("c"), F.col("e").alias("g"), "n"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = COMMON, whole_blocks: int = WHOLE_BLOCKS) -> DataFrame:
     """(i, x, component), one row for each distinct shingle set: the first row that has it (smallest id, null last) and its component.
 
     Two texts link if their sets of ``width``-word shingles (fewer words: the whole sequence; case and
     white space do not count) have a Jaccard similarity of ``similarity`` or more.
 
     1. Rare shingles: posting lists of the smallest hashes that few sketches (``common``) have; a
-       spanning forest of each list by sketches, its links verified on whole sets. Where one fails and
-       the list's texts are still in several components, all of the list are compared exactly.
+       spanning forest of each list by sketches, its links verified on whole sets. Where some fail and
+       texts joined by candidate links are still in several components, those are compared exactly.
     2. Common shingles: texts made mostly of shingles that many have (copies of one passage, large
        groups of near copies) need share no rare one. Those that are connected by common shingles are
        compared exactly, in blocks, so that no task has more than a bounded part of a group.
@@ -480,11 +510,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     shared = postings.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("z")).where("z > 1")
     lists = postings.join(shared, postings["k"] == shared["key"], "left_semi").withColumnRenamed("g", "node")
     lists = stored(lists.join(nodes, lists["node"] == nodes["g"]).select("k", "g", "n", "s"), "shingle-lists")
+    drop(often)
     found = stored(lists.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_candidate_batches(similarity), "a long, b long, k long"), "candidates")
+    drop(lists)
     pairs = found.select("a", "b").distinct()
 
     # 2. Common shingles: keys that a text has together are one group.
     mostly = stored(told.where(F.size("keys") > 0).select("g", "n", "keys"), "shingle-mostly-common")
+    drop(told)
     joint = components(mostly.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct())
     grouped = mostly.join(joint, F.col("keys")[0] == joint["node"], "left").select(F.coalesce("component", F.col("keys")[0]).alias("c"), "g", "n")
 
@@ -499,16 +532,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     failed = judged.where("not ok").select("a", "b")
     if not failed.isEmpty():
-        doubtful = found.join(failed, ["a", "b"], "left_semi").select(F.col("k").alias("key")).distinct()
-        members = lists.join(doubtful, lists["k"] == doubtful["key"], "left_semi").select("k", "g", "n")
-        members = stored(members.join(comp, members["g"] == comp["node"], "left").select(F.col("k").alias("c"), "g", "n", F.coalesce("component", "g").alias("now")), "doubtful-lists")
-        several = members.groupBy(F.col("c").alias("key")).agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo < hi")
-        members = stored(members.join(several, members["c"] == several["key"], "left_semi").select("c", "g", "n"), "doubtful-lists")
+        members = stored(_doubtful(found, failed, comp, nodes, whole_blocks), "doubtful")
         if not members.isEmpty():
-            own = members.select(F.col("g").alias("node")).distinct()
-            sets = _sets_of(rows, nodes.join(own, nodes["g"] == own["node"], "left_semi"), width)
-            links = links.unionAll(stored(_exact_links(_in_blocks(members), sets, similarity), "doubtful-links"))
-            comp = components(links)
+            comp = components(links.unionAll(stored(_exact_links(_in_blocks(members), sets, similarity), "doubtful-links")))
+    drop(sets, found)
     return nodes.join(comp, nodes["g"] == comp["node"], "left").select("p.i", "p.x", F.coalesce("component", "g").alias("component"))
 
 
