@@ -12,10 +12,14 @@ from pyspark.sql import SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+#: Rows go to Python in batches of about so many bytes unless the session says otherwise: ten thousand long texts at once, held by the JVM and by the worker, would be most of an executor's memory.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once an application. They fetch it from the driver as long as that lives; no data lies in its folder."""
+    """Send the package to the executors, once an application. They fetch it from the driver as long as that lives; no data lies in its folder. Batches of the session are bounded in bytes."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
