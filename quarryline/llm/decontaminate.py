@@ -98,6 +98,7 @@ def align(item: np.ndarray, lengths: np.ndarray, window: np.ndarray, match: floa
 
 
 def _count_batches(shared, n: int):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = SeedFilter(shared.value)
         total = np.zeros(len(seeds.seeds), np.int64)
@@ -127,6 +128,7 @@ def rare(items: Items, frequency: np.ndarray, documents: int, share: float, stre
 
 
 def _align_batches(shared, n: int, threshold: float):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         seeds = SeedFilter(items.distinct())

@@ -130,6 +130,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", where:
 
 
 def _predict_batches(model, keep: bool = False):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for block, _, _ in K.blocks(batches, "t", 1 << 19, 256):

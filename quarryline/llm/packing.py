@@ -45,6 +45,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndar
     return np.array(out[::-1], np.int64)
 
 
+@K.released
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, data, offsets in K.blocks(batches, "t"):
         _, _, counts = K.spans(K.SPACE[data], offsets)

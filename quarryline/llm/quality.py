@@ -74,6 +74,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+@K.released
 def _statistic_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, data, offsets in K.blocks(batches, "t"):
         x = statistics(data, offsets).astype(np.float32)
@@ -84,6 +85,7 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(float)
 
 
+@K.released
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((3, len(STATISTICS)))
     for b in batches:

@@ -113,6 +113,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarra
 
 
 def _fingerprint_batches(width: int):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
             fp = fingerprints(data, offsets, width).view(np.int64)
@@ -161,6 +162,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _link_batches(most: int):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _lists(batches):
             k, nodes = (np.asarray(t.column(c)) for c in ("k", "fp"))
@@ -273,6 +275,7 @@ def _list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def _sketch_batches(width: int):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
             h, n = shingle_sets(data, offsets, width)
@@ -286,6 +289,7 @@ def _sketch_batches(width: int):
 
 
 def _set_batches(width: int):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
             yield pa.RecordBatch.from_arrays([block.column("g"), _list_array(*shingle_sets(data, offsets, width))], ["g", "s"])
@@ -344,6 +348,7 @@ class Sketches:
 def _candidate_batches(similarity: float):
     """(a, b, k): a spanning forest of each posting list by sketches."""
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _lists(batches):
             t = t.combine_chunks()
@@ -409,6 +414,7 @@ def exact_forest(values: np.ndarray, counts: np.ndarray, left: np.ndarray, right
 def _exact_batches(similarity: float):
     """(a, b) of the groups (k, g, e, s): e is 0 for sets compared with all, 1 and 2 for sets compared with those of the other side."""
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _lists(batches):
             t = t.combine_chunks()

@@ -102,9 +102,12 @@ def _parts(batches, length: int):
                 yield block, part, np.array([0, len(part)]), a
 
 
-def _index_batches(length: int):
+def _index_batches(length: int, prepare=None):
+    """``prepare``: what is done to the batches first, in the same worker."""
+
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, data, offsets, shift in _parts(batches, length):
+        for block, data, offsets, shift in _parts(prepare(batches) if prepare else batches, length):
             doc, at, n, anchor, h, c = fragments(data, offsets, length)
             if not len(doc):
                 continue
@@ -247,6 +250,7 @@ _PAIRS = "array<struct<a:int,b:int>>"
 def _transform_batches(length: int, folder: str):
     """Repeated windows of fragments that occur once (the others are repeated as they are). Several anchors share a collection: equal windows have equal anchors."""
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = length - GRAM
         for t in _whole_groups(batches, "k"):
@@ -264,6 +268,7 @@ def _transform_batches(length: int, folder: str):
 def _cut_batches(length: int, step: int):
     """Pieces of fragments whose windows all cover a core of length - step + 1 bytes, keyed by it."""
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -295,6 +300,7 @@ def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _fetch_batches(length: int):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
             rows = []
@@ -322,6 +328,7 @@ def _remove_batches(cut_words: bool):
     """Ranges in bytes are cut out; those in words (``w``) are counted, and with ``cut_words`` cut out too."""
     import hashlib
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
             yield _removed_block(block, data, offsets, cut_words, hashlib.sha256)
@@ -359,6 +366,7 @@ def _removed_block(block: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray,
 def _code_batches(words: int):
     """Texts of at least ``words`` white-space separated words as the hashes of their words."""
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
             starts, ends, counts = K.spans(K.SPACE[data], offsets)
@@ -374,7 +382,8 @@ def _code_batches(words: int):
 def repeated_words(rows: DataFrame, words: int, most_fragments: int = 20_000) -> DataFrame:
     """(i, x, a, b): ranges of words to remove from the documents (i, x, t), such that each string of ``words`` words in them starts anywhere else too. White space between words does not count."""
     length = words * _CODE
-    found = repeated_ranges(rows.mapInArrow(_code_batches(words), "i long, x long, t binary"), length, most_fragments)
+    code = _code_batches(words)
+    found = repeated_ranges(rows.mapInArrow(code, "i long, x long, t binary"), length, most_fragments, (rows, code))
     # Windows that start at a word; those between are halves of words.
     first, last = F.ceil(F.col("a") / _CODE), F.floor((F.col("b") - length) / _CODE)
     return found.select("i", "x", first.alias("a"), (last + words).alias("b")).where(F.col("b") - F.col("a") >= words)
@@ -386,11 +395,12 @@ def _sides(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t"), others.alias("row"))
 
 
-def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20_000) -> DataFrame:
-    """(i, x, a, b): byte ranges to remove from the documents (i, x, t); they may overlap."""
+def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20_000, made_of: tuple | None = None) -> DataFrame:
+    """(i, x, a, b): byte ranges to remove from the documents (i, x, t); they may overlap. ``made_of``: the table and the function over batches that ``rows`` come from, so that one worker does both."""
     folder = f"{shared_dir(rows.sparkSession)}/quarryline/segments"
     key = ["h", "c", "d"]
-    index = stored(rows.where(F.octet_length("t") >= length).mapInArrow(_index_batches(length), "i long, x long, h long, c long, d long, n int, a int, starts array<long>"), "fragments")
+    source, prepare = made_of or (rows.where(F.octet_length("t") >= length), None)
+    index = stored(source.mapInArrow(_index_batches(length, prepare), "i long, x long, h long, c long, d long, n int, a int, starts array<long>"), "fragments")
     anchor = index.groupBy("h").agg(F.sum(F.size("starts")).alias("m"), F.count("*").alias("z"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("c", "d") for f in (F.min, F.max))).where("m > 1")
     anchor = stored(anchor.select(F.col("h").alias("g"), "z", ((F.col("min_c") != F.col("max_c")) | (F.col("min_d") != F.col("max_d"))).alias("several")), "anchors")
     # Anchors with a share of all fragments are a bounded number; their fragments are dealt to several tasks.

@@ -252,6 +252,7 @@ class PieceCounter:
 
 
 def _count_batches(path: str):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 

@@ -39,6 +39,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(ids).astype(np.int64), np.concatenate(docs)
 
 
+@K.released
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, data, offsets in K.blocks(batches, "t"):
         ids, doc = grams(data, offsets)
@@ -97,6 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _score_batches(model):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
             yield pa.RecordBatch.from_arrays([block.column("i"), pa.array(model.value.scores(data, offsets))], ["i", "score"])
