@@ -264,3 +264,22 @@ def test_a_passage_in_most_documents_is_still_found(spark):
     bench = spark.createDataFrame([(0, item)], "item_id long, text string")
     got = {r["doc_id"] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {i for i, _ in rows if i % 3}
+
+
+def test_released_tasks_yield_the_same_batches():
+    import pyarrow as pa
+
+    from quarryline.llm import kernels as K
+
+    @K.released
+    def twice(batches):
+        for b in batches:
+            yield b
+            yield b
+
+    one = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["a"])
+    assert [b.num_rows for b in twice(iter([one, one]))] == [2] * 4
+    assert list(twice(iter([]))) == []
+    half_read = twice(iter([one]))
+    next(half_read)
+    half_read.close()  # a limit above ends a task early
