@@ -19,7 +19,7 @@ def tables(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["e1_e9_w2_metrics", "a9_summary", "a10_summary_by_field", "a11_j11_pairwise"])
+@pytest.mark.parametrize("name", ["e1_e9_w2_metrics", "a9_summary", "a10_summary_by_field", "a11_j11_pairwise", "j10_a13_exposure"])
 def test_same_rows_as_sql(spark, tables, name):
     db = duckdb.connect()
     for t in ("documents", "benchmark"):
