@@ -11,9 +11,9 @@ near copies costs n - 1 rows a list. Equal fingerprints are one node from the st
 
 Four bits are an estimated cosine of 0.98. Fingerprints of texts that share 0.8 of their shingles differ
 in about ten bits, often in sixteen, and sixteen of 64 bits leave no byte that must be shared. So
-:func:`representatives`, which is about similarity, has an index of its own: postings by the smallest
-shingle hashes of a text that are not common, candidates by sketches, every link verified on whole
-shingle sets; see :func:`similar`.
+:func:`representatives`, which is about similarity, takes the links of that index, verifies them on whole
+shingle sets, and checks exactly for those that the radius does not hold: postings by the smallest
+shingle hashes of a text that are not common, candidates by sketches; see :func:`similar`.
 """
 
 from __future__ import annotations
@@ -94,7 +94,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """Fingerprints of a block's documents: bit i is set if it is in over half of the hashes of the ``width``-word shingles."""
-    h, n = shingles(data, offsets, width)
+    return votes(*shingles(data, offsets, width))
+
+
+def votes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of ``n`` hashes; 0 for none."""
     out = np.zeros(len(n), np.uint64)
     if not len(h):
         return out
@@ -282,8 +286,9 @@ def _sketch_batches(width: int):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(h), dtype=np.uint64)])
             last = np.cumsum(n)
             name = K.mix(sums[last] - sums[last - n] + n.astype(np.uint64))
+            fp = votes(h, n).view(np.int64)
             low = np.arange(len(h)) - np.repeat(last - n, n) < SKETCH
-            yield pa.RecordBatch.from_arrays([block.column("i"), block.column("x"), pa.array(name.view(np.int64)), pa.array(n), _list_array(h[low], np.minimum(n, SKETCH))], ["i", "x", "g", "n", "s"])
+            yield pa.RecordBatch.from_arrays([block.column("i"), block.column("x"), pa.array(name.view(np.int64)), pa.array(n), _list_array(h[low], np.minimum(n, SKETCH)), pa.array(fp)], ["i", "x", "g", "n", "s", "fp"])
 
     return run
 
@@ -482,16 +487,28 @@ def _doubtful(found: DataFrame, failed: DataFrame, comp: DataFrame, nodes: DataF
     return whole.unionAll(members.join(several, members["k"] == several["key"], "left_semi").select(F.xxhash64(F.lit(1), "k").alias("c"), F.col("e").alias("g"), "n"))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = COMMON, whole_blocks: int = WHOLE_BLOCKS) -> DataFrame:
+def _near_nodes(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b), a < b: spanning links of the nodes (g, fp) whose fingerprints are equal or within ``max_bits`` bits. Of nodes with one fingerprint the smallest stands for it."""
+    owners = stored(nodes.groupBy(F.col("fp").alias("f")).agg(F.min("g").alias("o")), "simhash-reps")
+    left, right = owners.select(F.col("f").alias("a"), F.col("o").alias("x")), owners.select(F.col("f").alias("b"), F.col("o").alias("y"))
+    links = fingerprint_links(owners.select(F.col("f").alias("fp")), max_bits).join(left, "a").join(right, "b").select("x", "y")
+    equal = nodes.join(owners, nodes["fp"] == owners["f"]).where("g <> o").select(F.col("o").alias("x"), F.col("g").alias("y"))
+    return stored(links.unionAll(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-pairs")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = COMMON, whole_blocks: int = WHOLE_BLOCKS, max_bits: int = 4) -> DataFrame:
     """(i, x, component), one row for each distinct shingle set: the first row that has it (smallest id, null last) and its component.
 
     Two texts link if their sets of ``width``-word shingles (fewer words: the whole sequence; case and
     white space do not count) have a Jaccard similarity of ``similarity`` or more.
 
-    1. Rare shingles: posting lists of the smallest hashes that few sketches (``common``) have; a
+    1. SimHash: fingerprints of the sets, the byte-position index with its count filter and spanning
+       links within ``max_bits`` bits, as in :func:`near_duplicates`; links are verified on whole sets.
+       The radius holds only part of the pairs of that similarity, so two exact checks follow.
+    2. Rare shingles: posting lists of the smallest hashes that few sketches (``common``) have; a
        spanning forest of each list by sketches, its links verified on whole sets. Where some fail and
        texts joined by candidate links are still in several components, those are compared exactly.
-    2. Common shingles: texts made mostly of shingles that many have (copies of one passage, large
+    3. Common shingles: texts made mostly of shingles that many have (copies of one passage, large
        groups of near copies) need share no rare one. Those that are connected by common shingles are
        compared exactly, in blocks, so that no task has more than a bounded part of a group.
 
@@ -501,8 +518,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         raise ValueError("similarity must be from 0.8 to 1")
     t = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t"))
-    sketched = rows.mapInArrow(_sketch_batches(width), "i long, x long, g long, n long, s array<long>")
-    nodes = stored(sketched.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "x")).alias("p"), F.first("n").alias("n"), F.first("s").alias("s")), "shingle-nodes")
+    sketched = rows.mapInArrow(_sketch_batches(width), "i long, x long, g long, n long, s array<long>, fp long")
+    nodes = stored(sketched.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "x")).alias("p"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("fp").alias("fp")), "shingle-nodes")
     often = stored(nodes.select(F.explode("s").alias("key")).groupBy("key").agg(F.count("*").alias("z")).where(F.col("z") > common).select("key"), "shingle-common")
     entries = nodes.select(F.col("g").alias("cg"), F.explode("s").alias("k"))
     have = entries.join(often, entries["k"] == often["key"], "left_semi").groupBy("cg").agg(F.collect_set("k").alias("common"))  # SKETCH at most
@@ -511,7 +528,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     few = F.when(F.col("n") <= SKETCH, (1 - similarity) * F.col("n") + 1e-9).otherwise((1 - similarity + MARGIN) * SKETCH)
     told = stored(told.select("g", "n", "s", rare.alias("rare"), F.when(F.col("common").isNotNull() & (F.size("rare") <= few), F.array_intersect(F.slice("s", 1, POSTINGS), "common")).alias("keys")), "shingle-keys")
 
-    # 1. Rare shingles.
+    # 1. SimHash.
+    near = _near_nodes(nodes, max_bits)
+
+    # 2. Rare shingles.
     postings = told.select("g", F.explode("rare").alias("k"))
     shared = postings.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("z")).where("z > 1")
     lists = postings.join(shared, postings["k"] == shared["key"], "left_semi").withColumnRenamed("g", "node")
@@ -519,15 +539,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     drop(often)
     found = stored(lists.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_candidate_batches(similarity), "a long, b long, k long"), "candidates")
     drop(lists)
-    pairs = found.select("a", "b").distinct()
+    pairs = stored(near.unionAll(found.select("a", "b")).distinct(), "candidate-pairs")
+    drop(near)
 
-    # 2. Common shingles: keys that a text has together are one group.
+    # 3. Common shingles: keys that a text has together are one group.
     mostly = stored(told.where(F.size("keys") > 0).select("g", "n", "keys"), "shingle-mostly-common")
     drop(told)
     joint = components(mostly.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct())
     grouped = mostly.join(joint, F.col("keys")[0] == joint["node"], "left").select(F.coalesce("component", F.col("keys")[0]).alias("c"), "g", "n")
 
-    ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).union(mostly.select(F.col("g").alias("node"))).distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(mostly.select(F.col("g").alias("node"))).distinct()
     sets = _sets_of(rows, nodes.join(ends, nodes["g"] == ends["node"], "left_semi"), width)
     judged = pairs.join(sets.select(F.col("g").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("g").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -541,7 +562,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         members = stored(_doubtful(found, failed, comp, nodes, whole_blocks), "doubtful")
         if not members.isEmpty():
             comp = components(links.unionAll(stored(_exact_links(_in_blocks(members), sets, similarity), "doubtful-links")))
-    drop(sets, found)
+    drop(sets, found, pairs)
     return nodes.join(comp, nodes["g"] == comp["node"], "left").select("p.i", "p.x", F.coalesce("component", "g").alias("component"))
 
 

@@ -173,3 +173,34 @@ def test_null_ids_link_and_names_do_not_clash(spark):
     assert got == {fp(t): 1, fp(near): 1, fp("alone here"): None}
     left = simhash.representatives(docs)
     assert left.columns == docs.columns and sorted(r["gi"] for r in left.collect()) == ["a", "c"]
+
+
+def test_similar_takes_the_links_of_the_fingerprint_index(spark, monkeypatch):
+    def nothing(similarity):
+        def run(batches):
+            for _ in batches:
+                pass
+            yield from ()
+
+        return run
+
+    # Without what follows the index, near copies within its radius are linked, and they alone; those below the similarity are not.
+    monkeypatch.setattr(simhash, "_candidate_batches", nothing)
+    monkeypatch.setattr(simhash, "_exact_batches", nothing)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(250))
+        texts += [base, base.upper() + " " + base.split()[0], edited(rng, base, 1), edited(rng, base, 30)]
+    fps, sets = [brute_fingerprint(t, 5) for t in texts], [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    alike = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4 and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)]
+    assert len(pairs) > 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {}
+    for r in simhash.similar(docs).collect():
+        got.setdefault(r["component"], []).append(r["i"])
+    want = {}
+    for i, c in brute_components(pairs, range(len(texts))).items():
+        want.setdefault(c, []).append(i)
+    assert sorted(sorted(x) for x in got.values()) == sorted(want.values())
