@@ -20,6 +20,7 @@ QUERIES = {
     "op9_toxicity": "toxicity",
     "op10_warc": "warc",
     "op12_exact_dedup": "exact",
+    "op13_importance_resampling": "resampling",
 }
 
 
