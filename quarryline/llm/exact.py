@@ -37,10 +37,9 @@ def normalised(text: Column) -> Column:
 def frequent(digests: DataFrame, column: str, tracked: int = 10_000) -> DataFrame:
     """(item), ``tracked`` rows at most: values of a long column among which all frequent ones are, by a Misra-Gries summary. Null is no item."""
     of_task = digests.select(column, F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("task"))
-    summary = F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("summary")
-    # With the summary of no rows, which stands alone where there are none.
-    some = of_task.groupBy("task").agg(summary).select("summary").unionAll(of_task.limit(0).agg(summary))
-    all_ = some.agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
+    some = of_task.groupBy("task").agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("summary"))
+    # By a key, as a partition without a summary cannot be merged, and no rows give no item.
+    all_ = some.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
     return all_.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {tracked})")).alias("found")).select("found.item")
 
 
