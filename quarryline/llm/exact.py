@@ -39,7 +39,7 @@ def frequent(digests: DataFrame, column: str, tracked: int = 10_000) -> DataFram
     of_task = digests.select(column, F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("task"))
     some = of_task.groupBy("task").agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("summary"))
     # By a key, as a partition without a summary cannot be merged, and no rows give no item.
-    all_ = some.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
+    all_ = some.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
     return all_.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {tracked})")).alias("found")).select("found.item")
 
 
