@@ -19,6 +19,7 @@ QUERIES = {
     "op8_packing": "packing",
     "op9_toxicity": "toxicity",
     "op10_warc": "warc",
+    "op11_phrase_collocations": "phrases",
     "op12_exact_dedup": "exact",
     "op13_importance_resampling": "resampling",
 }
