@@ -6,12 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import vocabulary as V
-from . import dense, evaluate, fusion, lexical, planner, profiles, records, rerank
+from . import dense, evaluate, fusion, index_store, lexical, planner, profiles, records, rerank
 
 METHODS = ("semantic", "bm25", "hybrid")
 SOURCES = ("all", "kaggle", "huggingface")
@@ -48,52 +48,71 @@ class Engine:
     """``docs`` (doc_id and the columns of a normalised document) and vectors by profile (doc_id, embedding).
 
     Token sets, qualities, postings and document frequencies are computed once and kept; call
-    :meth:`save` to keep them beyond the session, or :meth:`warm` (E13) before timing.
+    :meth:`save` to keep them beyond the session and :meth:`load` to open what was saved, or
+    :meth:`warm` (E13) before timing. With a ``stored`` index no posting is computed.
     """
 
     docs: DataFrame
     vectors: dict[str, DataFrame] = field(default_factory=dict)
     encoders: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = field(default_factory=dict)
     rules: V.Rules = field(default_factory=lambda: V.DEFAULT_RULES)
+    stored: index_store.StoredIndex | None = None
 
     def __post_init__(self):
         d = Q.adjustment(Q.flags(self.docs, "description", "keywords", "quality_flags"))
         self.known = d.persist()
         self.features = rerank.document_features(d).persist()
-        tokens = self.docs.select("doc_id", lexical.document_tokens(F.col("title"), F.col("keywords"), F.col("description")).alias("tokens"))
-        self.index = lexical.build_index(tokens)
-        self.index.postings = self.index.postings.persist()
-        self.index.stats = self.index.stats.persist()
-        self.index.frequencies = self.index.frequencies.persist()
+        self.index = None
+        if self.stored is None:
+            self.index = lexical.build_index(self._tokens())
+            self.index.postings = self.index.postings.persist()
+            self.index.stats = self.index.stats.persist()
+            self.index.frequencies = self.index.frequencies.persist()
         self.frequencies, self.total = lexical.document_frequencies(self.features.withColumnRenamed("d_all", "token_set"))
         self.frequencies, self.total = self.frequencies.persist(), self.total.persist()
 
+    def _tokens(self) -> DataFrame:
+        return self.docs.select("doc_id", lexical.document_tokens(F.col("title"), F.col("keywords"), F.col("description")).alias("tokens"))
+
+    def _kept(self) -> list[DataFrame]:
+        own = [self.index.postings, self.index.frequencies, self.index.stats] if self.index else []
+        return [self.known, self.features, *own, self.frequencies, self.total]
+
     def warm(self) -> None:
-        for t in (self.known, self.features, self.index.postings, self.index.frequencies, self.index.stats, self.frequencies, self.total):
+        for t in self._kept():
             t.count()
 
     def close(self) -> None:
-        for t in (self.known, self.features, self.index.postings, self.index.frequencies, self.index.stats, self.frequencies, self.total):
+        for t in self._kept():
             t.unpersist()
 
     def save(self, root: str, profile: str | None = None) -> dict[str, str]:
-        """K6, K7: every table of a profile as Parquet; postings sorted by token, so that a query's tokens prune row groups."""
-        at = profiles.paths(root, profile)
+        """K6, K7: the documents, the vectors and the lexical index of a profile below ``root``; an index that is there gets the new documents only."""
+        at, spark = profiles.paths(root, profile), self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(at["documents"])
-        self.index.postings.repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(at["postings"])
-        self.index.frequencies.write.mode("overwrite").parquet(at["frequencies"])
-        self.index.stats.write.mode("overwrite").parquet(at["stats"])
+        if index_store.exists(spark, at["index"]):
+            index_store.append(self._tokens(), at["index"])
+        else:
+            index_store.build(self._tokens(), at["index"])
         key = profiles.get(profile).key
         if key in self.vectors:
             self.vectors[key].write.mode("overwrite").parquet(at["vectors"])
         return at
 
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, profile: str | None = None, encoders: dict | None = None, rules: V.Rules = V.DEFAULT_RULES) -> Engine:
+        """An engine over what :meth:`save` wrote; its postings are read as queries ask for them."""
+        at, key = profiles.paths(root, profile), profiles.get(profile).key
+        vectors = {key: spark.read.parquet(at["vectors"])} if index_store.path_exists(spark, at["vectors"]) else {}
+        return cls(spark.read.parquet(at["documents"]), vectors, encoders or {}, rules, index_store.StoredIndex.open(spark, at["index"]))
+
     def plan(self, queries: DataFrame) -> DataFrame:
         """Q9, kept: pass it to several searches of the same queries."""
         return planner.plan(queries, self.rules).persist()
 
     def bm25(self, plans: DataFrame, k: int) -> DataFrame:
-        return lexical.search_index(lexical.weighted_query_tokens(plans), self.index, k)
+        words = lexical.weighted_query_tokens(plans)
+        return self.stored.search(words, k) if self.stored else lexical.search_index(words, self.index, k)
 
     def stage_one(self, plans: DataFrame, k: int, profile: str) -> DataFrame:
         """Every variant, and every aspect where there are two and more, is a search of its own; fused."""

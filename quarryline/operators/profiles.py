@@ -65,4 +65,4 @@ def document_text(text: Column, profile: str | None = None) -> Column:
 def paths(root: str, profile: str | None = None) -> dict[str, str]:
     """M3: where a profile's tables lie under ``root``: one folder a profile, so a scan prunes to it."""
     base = f"{root.rstrip('/')}/profile={get(profile).key}"
-    return {"vectors": f"{base}/vectors", "documents": f"{base}/documents", "postings": f"{base}/postings", "frequencies": f"{base}/frequencies", "stats": f"{base}/stats"}
+    return {"vectors": f"{base}/vectors", "documents": f"{base}/documents", "index": f"{base}/index"}

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import quality as Q
 from ..functions import text as T
-from ..operators import containment, dense, lexical
+from ..operators import containment, dense, index_store, lexical
+
+
+def folder(spark: SparkSession, what: str) -> str:
+    """A new folder under the one that the cluster shares; a temporary one only where the master is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file://{tempfile.gettempdir()}/quarryline-io"
+    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +56,19 @@ def bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return lexical.search(bm25_queries(spark, sf_dir), tokenised(spark, sf_dir), k)
 
 
+_stored: dict[tuple[str, str], index_store.StoredIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> index_store.StoredIndex:
+    """The lexical index of the documents, written by the first query of an application that asks for it, read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        at = folder(spark, "lexical-index")
+        index_store.build(tokenised(spark, sf_dir), at)
+        _stored[key] = index_store.StoredIndex.open(spark, at)
+    return _stored[key]
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id): the documents that hold a benchmark item."""
     hit = containment.contains_join(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +10,7 @@ from ..operators import records, training
 from ..sources import io
 from ..streaming import ingest
 from . import frames
-
-
-def folder(spark: SparkSession, what: str) -> str:
-    """A new folder under the one that the cluster shares; a temporary one only where the master is local."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.gettempdir()}/quarryline-io"
-    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from .frames import folder
 
 
 def json_lines(spark, sf) -> DataFrame:

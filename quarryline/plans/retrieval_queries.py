@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import dense, fusion, lexical, records, rerank
+from ..operators import dense, fusion, index_store, lexical, records, rerank
 from ..operators import planner as P
 from . import frames
 from .sql import CORPUS, NEAREST, RANKED, lit, ranked, toks
@@ -37,8 +37,25 @@ BM25 = f"WITH {RANKED}, {ranked(5)} SELECT query_id, doc_id, score, rank FROM r"
 
 
 def bm25_index_search(spark, sf):
-    i = lexical.build_index(frames.tokenised(spark, sf))
-    return lexical.search_index(frames.bm25_queries(spark, sf), i, 5)
+    """The same search over the stored index, with blocks skipped."""
+    return frames.stored_index(spark, sf).search(frames.bm25_queries(spark, sf), 5)
+
+
+def index_blocks(spark, sf):
+    """Blocks of each query's tokens, and how many of them the search opens."""
+    return frames.stored_index(spark, sf).blocks_read(frames.bm25_queries(spark, sf), 5)
+
+
+def index_append(spark, sf):
+    """An index of a third of the documents, the rest added in two steps (the second offers known ones again), made one segment, and searched."""
+    at, t = frames.folder(spark, "grown-index"), frames.tokenised(spark, sf)
+    index_store.build(t.where("doc_id % 3 = 0"), at)
+    index_store.append(t.where("doc_id % 3 = 1"), at)
+    index_store.append(t.where("doc_id % 3 > 0"), at)
+    grown = index_store.StoredIndex.open(spark, at)
+    assert len(grown.segments) == 3
+    index_store.compact(spark, at)
+    return index_store.StoredIndex.open(spark, at).search(frames.bm25_queries(spark, sf), 5)
 
 
 def field_bm25(spark, sf):
@@ -271,6 +288,8 @@ QUERIES = {
     "a1_a3_postings": (postings, POSTINGS),
     "r3_bm25_search": (bm25_search, BM25),
     "r3_bm25_stored_index": (bm25_index_search, BM25),
+    "r2_k7_index_blocks": (index_blocks, None),
+    "c1_s11_index_append": (index_append, BM25),
     "r1_r3_field_weighted_bm25": (field_bm25, FIELD),
     "j1_x20_t2_knn": (knn, KNN),
     "j1_x20_knn_expression": (knn_expression, KNN),
