@@ -155,11 +155,12 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
 
 def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language is known (not ``und``) with a score of ``least`` or more."""
-    others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text_col).alias("t"))
+    # The other columns by place, so that no name of theirs can clash.
+    others = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col))
+    rows = docs.select(others.alias("row"), F.col(f"`{text_col}`").alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.mapInArrow(_predict_batches(shared, True), f"row {dict(rows.dtypes)['row']}, t string, lang_pred string, score double")
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*(F.col("t").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*(F.col("t").alias(c) if c == text_col else F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,25 @@ _PART = (1 << _POS_BITS) - (1 << 16)
 U = np.uint64
 #: Bytes of hash for a word.
 _CODE = 4
+#: Keeps the anchors of word codes apart from those of bytes.
+_WORD_ANCHORS = 0x5851F42D4C957F2D
 #: Rows of a collection whose transform is built at once.
 COLLECTION = 8_192
 #: An anchor with more than this share of all fragments is joined in as many parts as ``_SALTS``.
 _HOT_SHARE, _SALTS = 0.001, 16
 
 
+class Kind(NamedTuple):
+    """Strings of ``length`` bytes of the text, or of the codes of ``words`` words."""
+
+    length: int
+    words: int = 0
+
+
+def _by_words(words: int) -> Kind:
+    return Kind(words * _CODE, words)
+
+
 def anchors(data: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
     """For each window start in ``data`` (0 to len - length): the position of its anchor."""
     g = K.slice_hash(prefix, np.arange(len(data) - GRAM + 1), np.arange(GRAM, len(data) + 1))
@@ -102,28 +116,33 @@ def _parts(batches, length: int):
                 yield block, part, np.array([0, len(part)]), a
 
 
-def _index_batches(length: int, prepare=None):
-    """``prepare``: what is done to the batches first, in the same worker."""
+def _index_batches(kinds: list[Kind]):
+    """Fragments of all kinds from one reading of the texts."""
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, data, offsets, shift in _parts(prepare(batches) if prepare else batches, length):
-            doc, at, n, anchor, h, c = fragments(data, offsets, length)
-            if not len(doc):
-                continue
-            # A fragment that recurs in its document is one row with all its places.
-            order = np.lexsort((at, c[:, 1], c[:, 0], h, doc))
-            d, h, c, n, anchor, start = doc[order], h[order], c[order], n[order], (anchor - at)[order], (at - offsets[doc] + shift)[order]
-            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1]).any(axis=1)]))
-            starts = pa.ListArray.from_arrays(pa.array(np.append(cut, len(start)), pa.int32()), pa.array(start))
-            yield pa.RecordBatch.from_arrays(
-                [*(block.column(k).take(pa.array(d[cut])) for k in ("i", "x")), pa.array(h[cut].view(np.int64)), pa.array(c[cut, 0]), pa.array(c[cut, 1]), pa.array(n[cut].astype(np.int32)), pa.array(anchor[cut].astype(np.int32)), starts],
-                ["i", "x", "h", "c", "d", "n", "a", "starts"],
-            )
+        for batch in batches:
+            for kind in kinds:
+                for block, data, offsets, shift in _parts(_coded([batch], kind.words) if kind.words else [batch], kind.length):
+                    doc, at, n, anchor, h, c = fragments(data, offsets, kind.length)
+                    if len(doc):
+                        yield _fragment_batch(block, kind, doc, at, n, anchor, h ^ U(_WORD_ANCHORS if kind.words else 0), c, offsets, shift)
 
     return run
 
 
+def _fragment_batch(block: pa.RecordBatch, kind: Kind, doc, at, n, anchor, h, c, offsets, shift) -> pa.RecordBatch:
+    # A fragment that recurs in its document is one row with all its places.
+    order = np.lexsort((at, c[:, 1], c[:, 0], h, doc))
+    d, h, c, n, anchor, start = doc[order], h[order], c[order], n[order], (anchor - at)[order], (at - offsets[doc] + shift)[order]
+    cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1]).any(axis=1)]))
+    starts = pa.ListArray.from_arrays(pa.array(np.append(cut, len(start)), pa.int32()), pa.array(start))
+    return pa.RecordBatch.from_arrays(
+        [*(block.column(k).take(pa.array(d[cut])) for k in ("i", "x")), pa.array(np.full(len(cut), bool(kind.words))), pa.array(h[cut].view(np.int64)), pa.array(c[cut, 0]), pa.array(c[cut, 1]), pa.array(n[cut].astype(np.int32)), pa.array(anchor[cut].astype(np.int32)), starts],
+        ["i", "x", "w", "h", "c", "d", "n", "a", "starts"],
+    )
+
+
 class Segments:
     """The transform of a collection of anchored fragments, one column a round.
 
@@ -247,32 +266,36 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = COLLE
 _PAIRS = "array<struct<a:int,b:int>>"
 
 
-def _transform_batches(length: int, folder: str):
+def _transform_batches(lengths: dict[bool, int], folder: str):
     """Repeated windows of fragments that occur once (the others are repeated as they are). Several anchors share a collection: equal windows have equal anchors."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = length - GRAM
-        for t in _whole_groups(batches, "k"):
-            t = t.combine_chunks()
-            anchor, shift = np.asarray(t.column("a")).astype(np.int64), np.asarray(t.column("o")).tolist()
-            found = repeated_windows([x.as_py() for x in t.column("bytes")], anchor, length, folder)
-            keep = np.flatnonzero(found.any(axis=1) & (np.asarray(t.column("m")) == 1))
-            ranges = [[{"a": x - lead + int(anchor[i]) + shift[i], "b": y - lead + int(anchor[i]) + shift[i]} for x, y in _ranges(found[i])] for i in keep]
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(pa.array(keep)) for k in ("h", "c", "d")), pa.array(ranges, kind)], ["h", "c", "d", "ranges"])
+        for whole in _whole_groups(batches, "k"):
+            of_words = np.asarray(whole.combine_chunks().column("w"))
+            for w, length in lengths.items():
+                t = whole.take(pa.array(np.flatnonzero(of_words == w))).combine_chunks()
+                if not t.num_rows:
+                    continue
+                lead, anchor, shift = length - GRAM, np.asarray(t.column("a")).astype(np.int64), np.asarray(t.column("o")).tolist()
+                found = repeated_windows([x.as_py() for x in t.column("bytes")], anchor, length, folder)
+                keep = np.flatnonzero(found.any(axis=1) & (np.asarray(t.column("m")) == 1))
+                ranges = [[{"a": x - lead + int(anchor[i]) + shift[i], "b": y - lead + int(anchor[i]) + shift[i]} for x, y in _ranges(found[i])] for i in keep]
+                yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(pa.array(keep)) for k in _KEY), pa.array(ranges, kind)], [*_KEY, "ranges"])
 
     return run
 
 
-def _cut_batches(length: int, step: int):
+def _cut_batches(lengths: dict[bool, int], step: int):
     """Pieces of fragments whose windows all cover a core of length - step + 1 bytes, keyed by it."""
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for h, c, d, m, a, o, t in zip(*(b.column(k).to_pylist() for k in ("h", "c", "d", "m", "a", "o", "bytes"))):
+            for w, h, c, d, m, a, o, t in zip(*(b.column(k).to_pylist() for k in (*_KEY, "m", "a", "o", "bytes"))):
+                length = lengths[w]
                 data = np.frombuffer(t, np.uint8)
                 prefix, n = K.prefix_hash(data), len(t) - length + 1
                 # Windows start from -a to n - 1 - a relative to the anchor; groups of ``step`` starts.
@@ -281,7 +304,7 @@ def _cut_batches(length: int, step: int):
                 # The core [lo + step - 1, lo + length) lies in every window of its group.
                 core = lo + step - 1 + a
                 keys = K.slice_hash(prefix, core, lo + length + a) ^ K.mix(lo.view(U) + U(h & (2**64 - 1)))
-                rows += [(k, h, c, d, m, -x, o + x + a, t[x + a : y + a + length]) for x, y, k in zip(first.tolist(), last.tolist(), keys.view(np.int64).tolist())]
+                rows += [(k, w, h, c, d, m, -x, o + x + a, t[x + a : y + a + length]) for x, y, k in zip(first.tolist(), last.tolist(), keys.view(np.int64).tolist())]
                 if len(rows) > 20000:
                     yield _piece_batch(rows)
                     rows = []
@@ -291,23 +314,27 @@ def _cut_batches(length: int, step: int):
     return run
 
 
-_PIECES = "k long, h long, c long, d long, m long, a int, o int, bytes binary"
+#: What tells a distinct fragment.
+_KEY = ["w", "h", "c", "d"]
+_PIECES = "k long, w boolean, h long, c long, d long, m long, a int, o int, bytes binary"
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["k", "h", "c", "d", "m", "a", "o", "bytes"])
+    kinds = (pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["k", *_KEY, "m", "a", "o", "bytes"])
 
 
-def _fetch_batches(length: int):
+def _fetch_batches(lengths: dict[bool, int]):
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in K.blocks(batches, "t"):
-            rows = []
-            for d, wanted in enumerate(block.column("wanted").to_pylist()):
-                text = data[offsets[d] : offsets[d + 1]]
+            rows, all_wanted = [], block.column("wanted").to_pylist()
+            code, last = _codes(data, offsets) if any(w["w"] for ws in all_wanted for w in ws) else (b"", [])
+            for d, wanted in enumerate(all_wanted):
                 for w in wanted:
-                    rows.append((w["h"], w["h"], w["c"], w["d"], w["m"], w["a"], 0, text[w["s"] : w["s"] + w["n"] - 1 + length].tobytes()))
+                    at, n = w["s"], w["n"] - 1 + lengths[w["w"]]
+                    text = code[last[d] + at : last[d] + at + n] if w["w"] else data[offsets[d] + at : offsets[d] + at + n].tobytes()
+                    rows.append((w["h"], *(w[k] for k in _KEY), w["m"], w["a"], 0, text))
                 if len(rows) > 20000:
                     yield _piece_batch(rows)
                     rows = []
@@ -363,44 +390,46 @@ def _removed_block(block: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray,
     )
 
 
-def _code_batches(words: int):
-    """Texts of at least ``words`` white-space separated words as the hashes of their words."""
+def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The hashes of all white-space separated words of a block, and where those of each document begin."""
+    starts, ends, counts = K.spans(K.SPACE[data], offsets)
+    code = K.slice_hash(K.prefix_hash(data), starts, ends).astype("<u4").tobytes()
+    return code, np.concatenate([[0], np.cumsum(counts)]) * _CODE
 
-    @K.released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, data, offsets in K.blocks(batches, "t"):
-            starts, ends, counts = K.spans(K.SPACE[data], offsets)
-            code = K.slice_hash(K.prefix_hash(data), starts, ends).astype("<u4").tobytes()
-            last = np.cumsum(counts) * _CODE
-            keep = np.flatnonzero(counts >= words)
-            texts = pa.array([code[last[d] - counts[d] * _CODE : last[d]] for d in keep], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(keep)) for c in ("i", "x")), texts], ["i", "x", "t"])
 
-    return run
+def _coded(batches, words: int) -> Iterator[pa.RecordBatch]:
+    """Texts of at least ``words`` words as the hashes of their words."""
+    for block, data, offsets in K.blocks(batches, "t"):
+        code, last = _codes(data, offsets)
+        keep = np.flatnonzero(np.diff(last) >= words * _CODE)
+        texts = pa.array([code[last[d] : last[d + 1]] for d in keep], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(keep)) for c in ("i", "x")), texts], ["i", "x", "t"])
 
 
 def repeated_words(rows: DataFrame, words: int, most_fragments: int = 20_000) -> DataFrame:
     """(i, x, a, b): ranges of words to remove from the documents (i, x, t), such that each string of ``words`` words in them starts anywhere else too. White space between words does not count."""
-    length = words * _CODE
-    code = _code_batches(words)
-    found = repeated_ranges(rows.mapInArrow(code, "i long, x long, t binary"), length, most_fragments, (rows, code))
-    # Windows that start at a word; those between are halves of words.
-    first, last = F.ceil(F.col("a") / _CODE), F.floor((F.col("b") - length) / _CODE)
-    return found.select("i", "x", first.alias("a"), (last + words).alias("b")).where(F.col("b") - F.col("a") >= words)
+    return _repeats(rows, [_by_words(words)], most_fragments).drop("w")
 
 
 def _sides(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    others = F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c != text_col))
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t"), others.alias("row"))
+    """(i, x, t, row): ``row`` holds the other columns by place, so that no name of theirs can clash."""
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    others = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(t).alias("x"), t.alias("t"), others.alias("row"))
+
+
+def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20_000) -> DataFrame:
+    """(i, x, a, b): byte ranges to remove from the documents (i, x, t); they may overlap."""
+    return _repeats(rows, [Kind(length)], most_fragments).drop("w")
 
 
-def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20_000, made_of: tuple | None = None) -> DataFrame:
-    """(i, x, a, b): byte ranges to remove from the documents (i, x, t); they may overlap. ``made_of``: the table and the function over batches that ``rows`` come from, so that one worker does both."""
+def _repeats(rows: DataFrame, kinds: list[Kind], most_fragments: int) -> DataFrame:
+    """(i, x, w, a, b): ranges of repeated strings of each kind, in bytes, or in words where ``w``; one construction for all kinds."""
     folder = f"{shared_dir(rows.sparkSession)}/quarryline/segments"
-    key = ["h", "c", "d"]
-    source, prepare = made_of or (rows.where(F.octet_length("t") >= length), None)
-    index = stored(source.mapInArrow(_index_batches(length, prepare), "i long, x long, h long, c long, d long, n int, a int, starts array<long>"), "fragments")
+    lengths, key = {bool(k.words): k.length for k in kinds}, _KEY
+    rows = rows.select("i", "x", "t")
+    source = rows if lengths.get(True) else rows.where(F.octet_length("t") >= lengths[False])
+    index = stored(source.mapInArrow(_index_batches(kinds), "i long, x long, w boolean, h long, c long, d long, n int, a int, starts array<long>"), "fragments")
     anchor = index.groupBy("h").agg(F.sum(F.size("starts")).alias("m"), F.count("*").alias("z"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("c", "d") for f in (F.min, F.max))).where("m > 1")
     anchor = stored(anchor.select(F.col("h").alias("g"), "z", ((F.col("min_c") != F.col("max_c")) | (F.col("min_d") != F.col("max_d"))).alias("several")), "anchors")
     # Anchors with a share of all fragments are a bounded number; their fragments are dealt to several tasks.
@@ -415,7 +444,7 @@ def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20
     each = stored(each.select(*key, "several", "m", "p.*"), "distinct-fragments")
     wanted = each.where("several").groupBy(F.col("i").alias("wi"), F.col("x").alias("wx")).agg(F.collect_list(F.struct(*key, "m", "s", "n", "a")).alias("wanted"))
     one = rows.join(wanted, rows["i"].eqNullSafe(wanted["wi"]) & (rows["x"] == wanted["wx"])).select("t", "wanted")
-    pieces = one.mapInArrow(_fetch_batches(length), _PIECES)
+    pieces = one.mapInArrow(_fetch_batches(lengths), _PIECES)
     sizes = each.where("several").groupBy(F.col("h").alias("g")).agg(F.count("*").alias("z"))
     hot = stored(sizes.where(F.col("z") > most_fragments).select("g"), "hot-anchors")
     kept, parts, ranges = [anchor, hot], [], each.where("m > 1").select(*key, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
@@ -427,7 +456,7 @@ def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20
         pieces = stored(pieces, "pieces")
         kept.append(pieces)
         parts.append(pieces.join(hot, pieces["k"] == hot["g"], "left_anti"))
-        cut = stored(pieces.join(hot, pieces["k"] == hot["g"], "left_semi").mapInArrow(_cut_batches(length, step), _PIECES), "pieces")
+        cut = stored(pieces.join(hot, pieces["k"] == hot["g"], "left_semi").mapInArrow(_cut_batches(lengths, step), _PIECES), "pieces")
         kept.append(cut)
         if step > 1:
             keys = cut.groupBy(F.col("k").alias("g")).agg(F.count("*").alias("z")).where("z > 1")
@@ -439,12 +468,17 @@ def repeated_ranges(rows: DataFrame, length: int = 400, most_fragments: int = 20
             once = F.array(F.struct(F.col("o").alias("a"), (F.col("o") + 1).cast("int").alias("b")))
             ranges = ranges.unionAll(cut.where("m = 1").join(same, (cut["k"] == same["g"]) & (cut["bytes"] == same["window"]), "left_semi").select(*key, once.alias("ranges")))
     for part in parts:
-        ranges = ranges.unionAll(part.repartition("k").sortWithinPartitions("k").mapInArrow(_transform_batches(length, folder), f"h long, c long, d long, ranges {_PAIRS}"))
+        ranges = ranges.unionAll(part.repartition("k").sortWithinPartitions("k").mapInArrow(_transform_batches(lengths, folder), f"w boolean, h long, c long, d long, ranges {_PAIRS}"))
     ranges = stored(ranges.select(*(F.col(k).alias(f"r{k}") for k in key), "ranges"), "ranges")
     drop(each, *kept)
-    hit = found.join(ranges, (found["h"] == ranges["rh"]) & (found["c"] == ranges["rc"]) & (found["d"] == ranges["rd"])).select("i", "x", F.explode("starts").alias("s"), "ranges")
-    hit = hit.select("i", "x", "s", F.explode("ranges").alias("r"))
-    return hit.select("i", "x", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b") - 1 + length).alias("b"))
+    hit = found.join(ranges, (found["h"] == ranges["rh"]) & (found["c"] == ranges["rc"]) & (found["d"] == ranges["rd"]) & (found["w"] == ranges["rw"])).select("i", "x", "w", F.explode("starts").alias("s"), "ranges")
+    hit = hit.select("i", "x", "w", "s", F.explode("ranges").alias("r"))
+    length = F.when(F.col("w"), lengths.get(True, 0)).otherwise(lengths.get(False, 0))
+    hit = hit.select("i", "x", "w", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b") - 1).alias("last"), length.alias("length"))
+    # Windows of codes that start at a word; those between are halves of words.
+    first, until = F.ceil(F.col("a") / _CODE), F.floor(F.col("last") / _CODE) + F.floor(F.col("length") / _CODE)
+    hit = hit.select("i", "x", "w", F.when(F.col("w"), first).otherwise(F.col("a")).alias("a"), F.when(F.col("w"), until).otherwise(F.col("last") + F.col("length")).alias("b"), "length")
+    return hit.where(~F.col("w") | (F.col("b") - F.col("a") >= F.floor(F.col("length") / _CODE))).drop("length")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_fragments: int = 20_000, words: int | None = None) -> DataFrame:
@@ -468,9 +502,7 @@ def _check(length: int, words: int | None) -> None:
 
 
 def _removed(rows: DataFrame, length: int, most_fragments: int, words: int | None, cut_words: bool) -> DataFrame:
-    ranges = repeated_ranges(rows.select("i", "x", "t"), length, most_fragments).withColumn("w", F.lit(False))
-    if words:
-        ranges = ranges.unionByName(repeated_words(rows.select("i", "x", "t"), words, most_fragments).withColumn("w", F.lit(True)))
+    ranges = _repeats(rows, [Kind(length), *([_by_words(words)] if words else [])], most_fragments)
     own = ranges.groupBy(F.col("i").alias("ri"), F.col("x").alias("rx")).agg(F.collect_set(F.struct("a", "b", "w")).alias("ranges"))
     joined = rows.join(own, rows["i"].eqNullSafe(own["ri"]) & (rows["x"] == own["rx"]), "left").drop("ri", "rx")
     pairs = "array<struct<a:long,b:long>>"
@@ -482,7 +514,7 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns as they are but for the text, which is what :func:`remove_repeats` keeps; with ``words`` (16 at least), repeated strings of so many words go too, however few bytes they have."""
     _check(length, words)
     out = _removed(_sides(docs, id_col, text_col), length, most_fragments, words, True)
-    return out.select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return out.select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarryline.llm.suffixes import kept_texts, remove_repeats
@@ -131,3 +133,40 @@ def test_counted_passages(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], r["n_passage_words"]) for r in remove_repeats(docs, words=51).collect()}
     assert got == {0: (0, 0), 1: (0, 0), 2: (0, 55), 3: (0, 55), 4: (0, 0)}
+
+
+def test_bytes_and_words_in_one_construction(spark):
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in remove_repeats(docs, length=100, most_fragments=4, words=16).collect()}
+    alone = {r["doc_id"]: r["n_passage_words"] for r in remove_repeats(docs, length=400, words=16).collect()}
+    want = brute(texts, 100)
+    for i, t in enumerate(texts):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want[i]
+        assert got[i]["n_passage_words"] == alone[i] == len((t or "").split()) - len(brute_words(texts, 16)[i])
+
+
+def test_documents_in_parts(spark, monkeypatch):
+    from quarryline.llm import suffixes
+
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(9000))
+    texts = [text, text[2000:2400] + "x" + text[5990:6120], "y" * 10]
+    monkeypatch.setattr(suffixes, "_PART", 1000)
+    blocks = [(a, bytes(data)) for _, data, _, a in suffixes._parts([pa.record_batch({"t": [text]})], 100)]
+    assert len(blocks) == 9 and all(text.encode()[a : a + len(d)] == d for a, d in blocks)
+    whole = {(f[1].item(k) + a, f[2].item(k)) for a, d in blocks for f in [suffixes.fragments(np.frombuffer(d, np.uint8), np.array([0, len(d)]), 100)] for k in range(len(f[1]))}
+    covered = sorted(x for s, n in whole for x in range(s, s + n))
+    assert covered == list(range(len(text) - 99))
+
+
+def test_other_columns_keep_their_names(spark):
+    from quarryline.llm import language
+
+    t = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
+    docs = spark.createDataFrame([(1, t, "a", 1, 2, 3), (2, t + "z", "b", 4, 5, 6)], "doc_id long, text string, lang string, `_` int, `a.b` int, t int")
+    out = kept_texts(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["_"], r["a.b"], r["t"], r["text"]) for r in out.collect()) == [(1, 2, 3, ""), (4, 5, 6, "z")]
+    out = language.accepted(docs, language.fit(docs))
+    assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in docs.collect())
