@@ -1,56 +1,56 @@
-"""Containment join: which texts hold which phrases.
+"""Containment join: which texts hold which phrases, as joins on a rare piece of each phrase.
 
-The phrases (a bounded table, in blocks) become one automaton that reads each text once, whatever
-their number: a nested loop would read it once a phrase.
+A phrase that lies in a text has all its words but the first and the last as whole words of the text, one
+after the other (words are what single spaces part). So every run of ``RUN`` inner words is a key that the
+text must have too, and the phrase is joined by the key that the fewest texts have. Phrases of one or two inner
+words are keyed by those, and phrases without any by their runs of characters. Candidates are
+verified on the whole texts. Nothing is held by the driver or by a task but rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of phrases in one automaton.
-BLOCK_CHARS = 8 << 20
+#: Inner words of a key; characters of the keys of phrases without inner words.
+RUN, CHARACTERS = 3, 3
+
+
+def _runs(words: Column, n: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` of the first ``n`` elements."""
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.lit(size), F.slice(words, i, size)))).otherwise(F.array().cast("array<long>"))
 
 
-def _hits(phrases: list[tuple[int, str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+def _pieces(text: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` characters."""
+    n = F.length(text)
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.lit(-size), F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<long>"))
 
-        of: dict[str, list[int]] = {}
-        for i, p in phrases:
-            of.setdefault(p, []).append(i)
-        machine = ahocorasick.Automaton()
-        for p in of:
-            machine.add_word(p, p)
-        machine.make_automaton()
-        for b in batches:
-            docs, items = [], []
-            for d, t in zip(b.column("d").to_pylist(), b.column("t")):
-                found = {p for _, p in machine.iter(t.as_py() or "")}
-                own = sorted(i for p in found for i in of[p])
-                docs += [d] * len(own)
-                items += own
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], ["doc_id", "phrase_id"])
 
-    return run
+def _phrase_keys(phrases: DataFrame) -> DataFrame:
+    """(phrase_id, p, kind, key): every key of a phrase; kind is the size of its runs, negative for characters."""
+    words = F.split("p", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    df = phrases.withColumn("inner", F.when(F.size(words) > 2, inner).otherwise(F.array().cast("array<string>"))).withColumn("m", F.size("inner"))
+    kind = F.when(F.col("m") > 0, F.least("m", F.lit(RUN))).otherwise(-F.least(F.length("p"), F.lit(CHARACTERS)))
+    df = df.withColumn("kind", kind)
+    keys = F.coalesce(*(F.when(F.col("kind") == n, _runs(F.col("inner"), F.col("m"), n)) for n in range(1, RUN + 1)), *(F.when(F.col("kind") == -n, _pieces(F.col("p"), n)) for n in range(1, CHARACTERS + 1)))
+    return df.select("phrase_id", "p", "kind", F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def contains_join(docs: DataFrame, phrases: DataFrame, doc_id: str = "doc_id", text: str = "text", phrase_id: str = "item_id", phrase: str = "text") -> DataFrame:
-    """(doc_id, phrase_id) of every document and phrase it contains. Null and empty phrases are in no document."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    out, block, size = None, [], 0
-
-    def scan():
-        return rows.mapInArrow(_hits(list(block)), "doc_id long, phrase_id long")
-
-    for r in phrases.select(F.col(phrase_id).cast("long").alias("i"), F.col(phrase).alias("p")).where("length(p) > 0").toLocalIterator():
-        if block and size + len(r["p"]) > BLOCK_CHARS:
-            out = scan() if out is None else out.unionAll(scan())
-            block, size = [], 0
-        block.append((r["i"], r["p"]))
-        size += len(r["p"])
-    return scan() if out is None else out.unionAll(scan())
+    """(doc_id, phrase_id) of every document and phrase it contains. Null and empty phrases are in no document; repeated rows count each."""
+    asked = phrases.select(F.col(phrase_id).cast("long").alias("phrase_id"), F.col(phrase).alias("p")).where("length(p) > 0")
+    keys = _phrase_keys(asked)
+    kinds = sorted(r["kind"] for r in keys.select("kind").distinct().collect())  # RUN + CHARACTERS at most
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).where("t is not null")
+    held = rows.select("doc_id", F.xxhash64("t").alias("x"), "t", F.split("t", " ").alias("ws")).withColumn("nw", F.size("ws"))
+    own = F.concat(F.array().cast("array<long>"), *(_runs(F.col("ws"), F.col("nw"), n) if n > 0 else _pieces(F.col("t"), -n) for n in kinds))
+    # Of a text's keys only those that some phrase has go on.
+    spread = held.select("doc_id", "x", F.explode_outer(F.array_distinct(own)).alias("key")).where("key is not null")
+    spread = spread.join(keys.select("key").distinct(), "key", "left_semi").distinct()
+    frequency = spread.groupBy("key").agg(F.count("*").alias("df"))
+    rarest = keys.join(frequency, "key", "left").groupBy("phrase_id", "p").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("best")).where("best.df > 0")
+    candidates = spread.join(rarest.select("phrase_id", "p", F.col("best.key").alias("key")), "key").select(F.col("doc_id").alias("d"), F.col("x").alias("dx"), "phrase_id", "p")
+    found = rows.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("t") == F.col("dx"))).where(F.contains("t", F.col("p")))
+    return found.select("doc_id", "phrase_id")

@@ -78,3 +78,17 @@ def post_filter(ranked: DataFrame, docs: DataFrame, source: str, k: int) -> Data
     """ranked over all sources, then those of one source, first k. Filtering before would change normalised scores."""
     rows = ranked.drop("rank") if source == "all" else ranked.drop("rank").join(docs.where(F.col("source") == source).select("doc_id"), "doc_id", "left_semi")
     return top_k(rows, k)
+
+
+def source_top(scored: DataFrame, docs: DataFrame, source: str, k: int, normalise: bool = False) -> DataFrame:
+    """Of all candidates (query_id, doc_id, score) the k best of one source, with query_confidence from the best of all sources.
+
+    Normalised scores and confidence depend on every candidate: minimum and maximum are aggregates
+    of all of them, taken map-side, so that no list of the whole corpus is ranked; what is ranked is of the source.
+    """
+    ends = scored.groupBy(F.col("query_id").alias("of")).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    own = scored.join(docs.where(F.col("source") == source).select("doc_id"), "doc_id", "left_semi") if source != "all" else scored
+    rows = own.join(ends, F.col("query_id") == F.col("of"))
+    unit = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / F.when(F.col("hi") != F.col("lo"), F.col("hi") - F.col("lo")))
+    out = rows.select("query_id", "doc_id", F.round(unit, 6).alias("score") if normalise else F.col("score"), confidence(F.col("hi")).alias("query_confidence"))
+    return top_k(out, k)

@@ -72,8 +72,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens")
     return Index(postings, frequencies, stats)
 
 
-def score_columns(tf: Column, dl: Column, avgdl: Column, weight: Column, n: Column, df: Column) -> Column:
-    return weight * idf(n, df) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
+def score_columns(tf: Column, dl: Column, avgdl: Column, weight: Column, n: Column, df: Column, k1: float = K1, b: float = B) -> Column:
+    return weight * idf(n, df) * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))
 
 
 def top_k(rows: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -83,7 +83,12 @@ def top_k(rows: DataFrame, k: int, by: str = "query_id", score: str = "score", t
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 5, tokens: str = "tokens", id_col: str = "doc_id") -> DataFrame:
-    """(query_id, doc_id, score, rank) for weighted query tokens (query_id, token, qf).
+    """(query_id, doc_id, score, rank) for weighted query tokens (query_id, token, qf)."""
+    return top_k(scores(queries, docs, tokens, id_col), k)
+
+
+def scores(queries: DataFrame, docs: DataFrame, tokens: str = "tokens", id_col: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+    """A4: (query_id, doc_id, score) of every document that has a token of the query.
 
     Documents are scanned once: each gives its matching tokens and a blank one that stands for itself, so
     that the number of documents and their mean length come from the same shuffled rows. (The sums
@@ -102,8 +107,8 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, tokens: str = "token
     df = matched.groupBy("token").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("dl") >= 0), 1)).alias("df"))
     weighted = queries.withColumn("token", F.expr("nullif(token, '')")).join(df, "token").crossJoin(F.broadcast(stats))
     hits = matched.join(hint(weighted), "token")
-    points = F.round(F.sum(score_columns(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("qf"), F.col("n"), F.col("df"))), 6)
-    return top_k(hits.groupBy("query_id", "doc_id").agg(points.alias("score")), k)
+    points = F.round(F.sum(score_columns(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("qf"), F.col("n"), F.col("df"), k1, b)), 6)
+    return hits.groupBy("query_id", "doc_id").agg(points.alias("score"))
 
 
 def merged_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
-from ..operators import dense, evaluate, lexical
+from ..operators import evaluate, lexical
+from ..operators import quantiles as Z
 from . import frames
 from .sql import JUDGED, NEAREST, RANKED, ranked
 from .text_queries import QUALITY_CTE
 
-METHODS = ("bm25", "head")
+METHODS = ("bm25", "flat")
+#: The second method: term frequency counts for little, length for much.
+FLAT_K1, FLAT_B = 0.2, 1.0
 
 
 def _results(spark, sf, k: int):
-    """Two methods, both with all tokens of a query as in the SQL: BM25 by a scan of the corpus, and over an index that is built first (``head``)."""
-    a = frames.bm25(spark, sf, k)
-    h = lexical.search_index(frames.bm25_queries(spark, sf), lexical.build_index(frames.tokenised(spark, sf)), k)
-    return a.withColumn("method", F.lit("bm25")).unionByName(h.withColumn("method", F.lit("head")))
+    """Two methods over one scan's tokens: BM25 as it is, and with other parameters (``flat``)."""
+    queries, docs = frames.bm25_queries(spark, sf), frames.tokenised(spark, sf)
+    flat = lexical.top_k(lexical.scores(queries, docs, k1=FLAT_K1, b=FLAT_B), k)
+    return lexical.search(queries, docs, k).withColumn("method", F.lit("bm25")).unionByName(flat.withColumn("method", F.lit("flat")))
 
 
-HEAD = RANKED.replace("[1:8]", "[1:2]").replace("q AS (", "q2 AS (").replace("FROM q JOIN", "FROM q2 JOIN").replace("\ns AS (", "\ns2 AS (")
-_Q2 = HEAD[HEAD.index("q2 AS (") :]
-RESULTS = f"""{RANKED}, {_Q2}, {ranked(40)}, {ranked(40, 's2', 'r2')}, {JUDGED},
-x AS (SELECT 'bm25' AS method, query_id, doc_id, rank FROM r UNION ALL SELECT 'head', query_id, doc_id, rank FROM r2),
+_FLAT = f"""s2 AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * {1 + FLAT_K1}::DOUBLE / (tf + {FLAT_K1}::DOUBLE * ({1 - FLAT_B}::DOUBLE + {FLAT_B}::DOUBLE * dl / avgdl)))), 6) AS score
+      FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st GROUP BY query_id, doc_id)"""
+RESULTS = f"""{RANKED}, {_FLAT}, {ranked(40)}, {ranked(40, 's2', 'r2')}, {JUDGED},
+x AS (SELECT 'bm25' AS method, query_id, doc_id, rank FROM r UNION ALL SELECT 'flat', query_id, doc_id, rank FROM r2),
 sz AS (SELECT query_id, count(*) AS n FROM j GROUP BY query_id), fr AS (SELECT query_id, n, method FROM sz CROSS JOIN (SELECT DISTINCT method FROM x)),
 hx AS (SELECT x.*, (j.doc_id IS NOT NULL)::INT AS rel, n FROM x LEFT JOIN j USING (query_id, doc_id) JOIN sz USING (query_id)),
 hy AS (SELECT *, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) OVER (PARTITION BY method, query_id ORDER BY rank) AS run FROM hx),
@@ -128,9 +131,11 @@ SELECT size, method, ndcg FROM (SELECT *, row_number() OVER (PARTITION BY size O
 
 
 def event_summary(spark, sf):
-    """The summary shapes at the scale of events: type is the method, user the query."""
+    """The summary shapes at the scale of events: type is the method, user the query. Medians take no group into one task."""
     e = frames.table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"))
+    sums = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"))
+    middle = Z.medians(e, ["event_type"], "value").withColumn("median", F.round("median", 6))
+    return sums.alias("s").join(middle.alias("m"), F.col("s.event_type").eqNullSafe(F.col("m.event_type"))).select("s.*", "m.median")
 
 
 EVENTS = "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean, round(median(value), 6) AS median, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type"

@@ -100,24 +100,3 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with quality columns and labels."""
     d = described(spark, sf_dir).withColumn("metadata_terms", F.array().cast("array<string>"))
     return L.with_labels(d, "title", "description", "keywords", "metadata_terms")
-
-
-#: Query texts for the planner, English and Turkish.
-PLANNED = [
-    (1, "I am looking for a dataset about air pollution monitoring in cities"),
-    (2, "deprem verisi ariyorum"),
-    (3, "Find datasets for plant disease classification"),
-    (4, "stock market price history prediction"),
-    (5, "show me river flow records"),
-    (6, "su kalitesi icin veri seti"),
-    (7, "I want speech emotion recordings that can be used for classification"),
-    (8, "mushroom dataset for classification"),
-    (9, "customer churn"),
-    (10, "How do hospital admissions change over time when it rains for many days in a row and rivers rise above their banks"),
-    (11, "i want a dataset"),
-    (12, ""),
-]
-
-
-def query_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLANNED, "query_id long, query string")

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import lexical
 from ..operators import planner as P
+from ..operators import rule_tables as R
 from . import frames
 from .sql import lit, norm, toks
 
@@ -84,8 +85,13 @@ def _join(c: str):
     return F.array_join(c, "|").alias(c)
 
 
+def _asked(spark, sf):
+    """All user turns as queries, ids of their own."""
+    return _conversations(spark, sf).select((F.col("query_id") * 1_000_000 + F.col("turn")).alias("query_id"), "query")
+
+
 def plans(spark, sf):
-    p = P.plan(frames.query_table(spark))
+    p = P.plan(_asked(spark, sf))
     aspects = F.array_join(F.transform("semantic_aspects", lambda a: F.concat_ws("=", a["key"], a["text"])), "|").alias("semantic_aspects")
     variants = F.array_join(F.transform("semantic_variants", lambda v: F.concat_ws("=", v["weight"].cast("string"), v["text"])), "|").alias("semantic_variants")
     names = ["raw_focus_terms", "concept_phrases", "concept_terms", "domains", "domain_terms", "task_terms", "focus_terms"]
@@ -94,21 +100,86 @@ def plans(spark, sf):
 
 def ablated(spark, sf):
     """Plans without rules."""
-    p = P.plan(frames.query_table(spark), V.DEFAULT_RULES.without())
+    p = P.plan(_asked(spark, sf), V.DEFAULT_RULES.without())
     return p.select("query_id", _join("raw_focus_terms"), _join("concept_terms"), P.out_of_distribution().alias("is_ood"))
 
 
 def labels(spark, sf):
-    p = P.plan(frames.query_table(spark))
+    p = P.plan(_asked(spark, sf))
     return p.select("query_id", *(F.array_join(P.query_labels(F.col("focus_terms"), F.col("normalized_query"), h), ",").alias(n) for n, h in (("use_cases", V.USE_CASE_HINTS), ("modalities", V.MODALITY_HINTS))))
 
 
 def search(spark, sf):
-    """The planned queries against all documents by words, weights from the plan."""
-    p = P.plan(frames.query_table(spark))
+    """The planned user turns against all documents by words, weights from the plan."""
+    p = P.plan(_asked(spark, sf))
     return lexical.search(lexical.weighted_query_tokens(p), frames.tokenised(spark, sf), 5)
 
 
+def _rule_tables(spark, sf):
+    """Rules from the conversations: the first two words of every third conversation's turns as phrases, the third and fifth of every fourth's as combinations, long words of answers as tokens."""
+    c = frames.table(spark, sf, "conversations").select("conv_id", (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("at"), "role", T.tokens(F.col("text")).alias("k"))
+    user = c.where("role = 'user'")
+    # A rule's place is its first turn's.
+    first = lambda df: df.groupBy(df.columns[1]).agg(F.min("at").alias("rule"))
+    p = first(user.where((F.col("conv_id") % 3 == 0) & (F.size("k") >= 2)).select("at", F.concat_ws(" ", F.col("k")[0], F.col("k")[1]).alias("phrase")))
+    size = F.length("phrase")
+    p = p.select("rule", "phrase", F.concat(F.lit("d"), size % 4).alias("domain"), F.array("phrase", F.lit("known phrase")).alias("terms"), F.array(F.concat(F.lit("task"), size % 3)).alias("tasks"))
+    m = first(user.where((F.col("conv_id") % 4 == 1) & (F.size("k") >= 5)).select("at", F.concat_ws(" ", F.col("k")[2], F.col("k")[4]).alias("pair")))
+    m = m.select("rule", F.split("pair", " ").alias("tokens"), F.concat(F.lit("d"), F.length("pair") % 5).alias("domain"), F.array("pair").alias("terms"), F.array(F.lit("combined")).alias("tasks"))
+    t = c.where("role <> 'user'").select(F.explode("k").alias("token")).where("length(token) >= 6").distinct()
+    t = t.select("token", F.when(F.length("token") % 3 > 0, F.concat(F.lit("d"), F.length("token") % 6)).alias("domain"), F.array(F.concat("token", F.lit(" records"))).alias("terms"))
+    return R.RuleTables(p, m, t)
+
+
+def _ruled(spark, sf):
+    q = _conversations(spark, sf).select((F.col("query_id") * 1_000_000 + F.col("turn")).alias("query_id"), "query")
+    return q.select("query_id", T.normalize(F.col("query")).alias("normalized_query"), F.array_distinct(T.tokens(F.col("query"))).alias("raw_focus_terms"))
+
+
+def rule_concepts(spark, sf):
+    """Concepts of all user turns from rule tables; words of a turn are its focus terms."""
+    out = R.concepts(_ruled(spark, sf), _rule_tables(spark, sf))
+    return out.select("query_id", *map(_join, ["concept_phrases", "concept_terms", "domains", "task_terms"]))
+
+
+RULES = f"""
+WITH {_C}, k AS (SELECT conv_id, conv_id * 1000000 + turn AS first_at, role, {toks('text')} AS k FROM conversations),
+ph AS (SELECT min(first_at) AS rule, k[1] || ' ' || k[2] AS phrase FROM k WHERE role = 'user' AND conv_id % 3 = 0 AND len(k) >= 2 GROUP BY phrase),
+co AS (SELECT min(first_at) AS rule, k[3] || ' ' || k[5] AS pair FROM k WHERE role = 'user' AND conv_id % 4 = 1 AND len(k) >= 5 GROUP BY pair),
+tk AS (SELECT DISTINCT token FROM (SELECT unnest(k) AS token FROM k WHERE role <> 'user') WHERE length(token) >= 6),
+q AS (SELECT query_id * 1000000 + turn AS query_id, {norm('query')} AS nq, {toks('query')} AS ws FROM c),
+f AS (SELECT query_id, token, min(i) AS i FROM (SELECT query_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM q) GROUP BY ALL),
+held AS (
+  SELECT query_id, 0 AS kind, rule AS place, 2 AS points, 'd' || length(phrase) % 4 AS domain, [phrase, 'known phrase'] AS terms, ['task' || length(phrase) % 3] AS tasks FROM q JOIN ph ON contains(nq, phrase)
+  UNION ALL
+  SELECT query_id, 1, rule, 2, 'd' || length(pair) % 5, [pair], ['combined'] FROM co JOIN q ON list_has_all(ws, string_split(pair, ' '))
+  UNION ALL
+  SELECT query_id, 2, i, 1, CASE WHEN length(token) % 3 > 0 THEN 'd' || length(token) % 6 END, [token || ' records'], []::VARCHAR[] FROM f JOIN tk USING (token)),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, place) AS o FROM held),
+te AS (SELECT query_id, kind, o, unnest(terms) AS term, generate_subscripts(terms, 1) AS j FROM h),
+cp AS (SELECT query_id, string_agg(term, '|' ORDER BY o, j) AS concept_phrases FROM (SELECT query_id, term, min((o, j)) AS m, m[1] AS o, m[2] AS j FROM te WHERE kind < 2 GROUP BY query_id, term) GROUP BY query_id),
+tw AS (SELECT query_id, o, j, unnest({toks('term')}) AS w, generate_subscripts({toks('term')}, 1) AS l FROM te),
+ct AS (SELECT query_id, string_agg(w, '|' ORDER BY m) AS concept_terms FROM (SELECT query_id, w, min((o, j, l)) AS m FROM tw WHERE NOT list_contains({lit(V.STOPWORDS)}, w) GROUP BY query_id, w) GROUP BY query_id),
+dp AS (SELECT query_id, domain, sum(points) AS p, min(o) AS o FROM h WHERE domain IS NOT NULL GROUP BY ALL),
+dm AS (SELECT query_id, string_agg(domain, '|' ORDER BY p DESC, o) AS domains FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, o) AS r FROM dp) WHERE r <= 3 GROUP BY query_id),
+tt AS (SELECT query_id, string_agg(task, '|' ORDER BY o) AS task_terms FROM (SELECT query_id, task, min(o) AS o FROM (SELECT query_id, o, unnest(tasks) AS task FROM h WHERE kind < 2) GROUP BY query_id, task) GROUP BY query_id)
+SELECT q.query_id, coalesce(concept_phrases, '') AS concept_phrases, coalesce(concept_terms, '') AS concept_terms, coalesce(domains, '') AS domains, coalesce(task_terms, '') AS task_terms
+FROM q LEFT JOIN cp USING (query_id) LEFT JOIN ct USING (query_id) LEFT JOIN dm USING (query_id) LEFT JOIN tt USING (query_id)"""
+
+
+def rule_ablation(spark, sf):
+    """How many domains, terms and tasks each turn has with and without rules, one row a configuration."""
+    q, tables = _ruled(spark, sf), _rule_tables(spark, sf)
+    rows = [R.concepts(q, t).select(F.lit(n).alias("rules"), "query_id", *(F.size(c).cast("long").alias(c) for c in ("domains", "concept_terms", "task_terms"))) for n, t in (("all", tables), ("none", tables.without()))]
+    both = rows[0].unionByName(rows[1])
+    return both.groupBy("rules").agg(F.count("*").alias("queries"), *(F.sum(c).alias(c) for c in ("domains", "concept_terms", "task_terms")), F.count_if((F.col("domains") == 0) & (F.col("concept_terms") == 0)).alias("out_of_distribution"))
+
+
+_COUNT = lambda c: f"CAST(sum(CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, '|')) END) AS BIGINT) AS {c}"
+RULE_ABLATION = f"""WITH r AS ({RULES})
+SELECT 'all' AS rules, count(*) AS queries, {_COUNT('domains')}, {_COUNT('concept_terms')}, {_COUNT('task_terms')}, count(*) FILTER (WHERE domains = '' AND concept_terms = '') AS out_of_distribution FROM r
+UNION ALL SELECT 'none', count(*), 0, 0, 0, count(*) FROM r"""
+
 QUERIES = {
     "q1_detect_language": (language, LANGUAGE),
     "q2_strip_leading_intent": (leading, LEADING),
@@ -118,4 +189,6 @@ QUERIES = {
     "e16_rule_ablation": (ablated, None),
     "q11_query_labels": (labels, None),
     "q9_r3_planned_search": (search, None),
+    "j16_j18_q5_rule_tables": (rule_concepts, RULES),
+    "e16_c6_rule_ablation": (rule_ablation, RULE_ABLATION),
 }

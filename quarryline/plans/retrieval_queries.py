@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import dense, fusion, index_store, lexical, records, rerank
+from ..operators import dense, fusion, index_store, lexical, records, rerank, vector_index
 from ..operators import planner as P
 from . import frames
 from .sql import CORPUS, NEAREST, RANKED, lit, ranked, toks
@@ -175,11 +175,35 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjus
 
 
 def source_filter(spark, sf):
-    d = frames.table(spark, sf, "documents")
-    return fusion.post_filter(frames.bm25(spark, sf, 200), d, "src3", 5)
+    """All documents with a token of the query are candidates, at any size of the corpus."""
+    scored = lexical.scores(frames.bm25_queries(spark, sf), frames.tokenised(spark, sf))
+    return fusion.source_top(scored, frames.table(spark, sf, "documents"), "src3", 5, normalise=True)
 
 
-SOURCE = f"WITH {RANKED}, {ranked(200)} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r JOIN documents USING (doc_id) WHERE source = 'src3') WHERE rank <= 5"
+SOURCE = f"""WITH {RANKED}, e AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM s GROUP BY query_id),
+u AS (SELECT query_id, doc_id, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) AS score, CASE WHEN hi >= 0.62 THEN 'strong' WHEN hi < 0.5 THEN 'weak' ELSE 'moderate' END AS query_confidence
+  FROM s JOIN e USING (query_id) JOIN documents USING (doc_id) WHERE source = 'src3')
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= 5"""
+
+
+def _vector_index(spark, sf):
+    at = frames.folder(spark, "vector-index")
+    e = frames.table(spark, sf, "embeddings")
+    vector_index.build(e, at, "vec_id")
+    return vector_index.VectorIndex.open(spark, at), e.where(frames.PROBED).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_cells(spark, sf):
+    """Exact search over cells, those skipped that cannot hold a result."""
+    index, probes = _vector_index(spark, sf)
+    return index.search(probes, 5)
+
+
+def vector_recall(spark, sf):
+    """The share of the exact ten nearest that three fifths of the cells hold."""
+    index, probes = _vector_index(spark, sf)
+    cells = spark.read.parquet(f"{index.root}/cells").count()
+    return vector_index.recall(index.search(probes, 10, probes=-(-cells * 3 // 5)), frames.nearest(spark, sf, 10))
 
 
 def min_max(spark, sf):
@@ -298,6 +322,8 @@ QUERIES = {
     "r9_r17_w3_confidence": (confidence, CONFIDENCE),
     "r11_j4_a8_hybrid": (hybrid, HYBRID),
     "r8_w1_quality_adjusted": (quality_adjusted, ADJUSTED),
+    "k6_s13_vector_cells": (vector_cells, KNN),
+    "k6_vector_recall": (vector_recall, None),
     "f3_t3_source_filter": (source_filter, SOURCE),
     "a8_min_max": (min_max, MIN_MAX),
     "q12_r12_r21_anchors": (anchors, ANCHORS),
