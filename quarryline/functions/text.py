@@ -21,33 +21,51 @@ from . import vocabulary as V
 WORD = r"(?U)\S+"
 
 
+def _decomposed(c: str) -> str:
+    """What compatibility decomposition leaves of a character, marks dropped."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _folding() -> list[str]:
+    """Characters beyond ASCII that lower case leaves as they are; no surrogates and no Hangul syllables, whose parts are no ASCII either."""
+    return [c for c in map(chr, [*range(0x80, 0xAC00), *range(0xE000, 0x110000)]) if c.lower() == c]
+
+
 @lru_cache
 def _fold_table() -> tuple[str, str]:
-    """Characters and what is left of each after compatibility decomposition without marks (one character or none)."""
+    """Characters and what is left of each where that is one character or none; beyond the alphabets where it is ASCII."""
     kept, gone = [], []
-    for cp in [*range(0x80, 0x3100), *range(0xFF01, 0xFFE7)]:
-        c = chr(cp)
+    for c in _folding():
         if unicodedata.combining(c):
             gone.append(c)
             continue
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c and c.lower() == c:
+        base = _decomposed(c)
+        if len(base) == 1 and base != c and (ord(c) < 0x3100 or 0xFF00 < ord(c) < 0xFFE7 or base.isascii()):
             kept.append((c, base))
     return "".join(c for c, _ in kept) + "".join(gone), "".join(b for _, b in kept)
 
 
-#: Letters that decompose into several.
-_LIGATURES = [(c, unicodedata.normalize("NFKD", c)) for c in "ﬀﬁﬂﬃﬄﬅﬆĳǆǉǌǳ"]
+@lru_cache
+def _several() -> tuple[str, str]:
+    """Characters that leave several, ligatures, fractions, units and the like: a class of a regular expression, and pairs for ``str_to_map``."""
+    found = [(c, _decomposed(c)) for c in _folding() if not unicodedata.combining(c) and len(_decomposed(c)) > 1]
+    ranges: list[list[int]] = []
+    for c, _ in found:
+        if ranges and ranges[-1][1] == ord(c) - 1:
+            ranges[-1][1] += 1
+        else:
+            ranges.append([ord(c), ord(c)])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]", "\x02".join(f"{c}\x01{b}" for c, b in found)
 
 
 def ascii_fold(text: Column) -> Column:
-    """Trim, Turkish letters to ASCII, lower case, marks dropped; null is empty. Letters beyond the decompositions of one letter and the Latin ligatures stay and count as separators later."""
+    """Trim, Turkish letters to ASCII, lower case, compatibility forms taken apart, marks dropped; null is empty. Hangul and ideographs stay and count as separators later."""
     base = F.trim(F.coalesce(text, F.lit("")))
     low = F.lower(F.translate(base, V.TURKISH_FROM, V.TURKISH_TO))
-    wide = low
-    for a, b in _LIGATURES:
-        wide = F.replace(wide, F.lit(a), F.lit("".join(x for x in b if not unicodedata.combining(x))))
-    low = F.when(low.rlike("[" + "".join(a for a, _ in _LIGATURES) + "]"), wide).otherwise(low)
+    some, pairs = _several()
+    table = F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
+    wide = F.array_join(F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    low = F.when(low.rlike(some), wide).otherwise(low)
     # Most texts are ASCII, which has as many bytes as characters: nothing to look up there.
     return F.when(F.octet_length(base) == F.length(base), F.lower(base)).otherwise(F.translate(low, *_fold_table()))
 

@@ -294,3 +294,23 @@ def test_engine(spark):
     got = {r["combo"]: r for r in evaluate.probes(e.probe(probes, 3, ("bm25",)), probes.select("probe_id", "expected")).collect()}
     assert got["minilm/bm25"]["in_corpus"] == 2 and got["minilm/bm25"]["p_at_3"] == 1
     e.close()
+
+
+def test_folding_of_all_characters(spark):
+    """X1 to X3 against the Unicode database: every character that has an ASCII letter or digit in its decomposition, alone and among others."""
+    import re
+    import unicodedata
+
+    turkish = str.maketrans("ÇçĞğİıÖöŞşÜü", "ccggiioossuu")
+
+    def plain(s):
+        folded = unicodedata.normalize("NFKD", s.strip(" ").translate(turkish).lower())
+        return re.findall("[a-z0-9]+", "".join(c for c in folded if not unicodedata.combining(c)))
+
+    chars = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if re.search("[a-zA-Z0-9]", unicodedata.normalize("NFKD", c.lower()))]
+    assert len(chars) > 1800
+    texts = [f"x{c}y 1{c}" for c in chars] + ["5½ ㎏ ﬁﬂ 𝐚𝑏𝟗 ① ™", "".join(chars)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(4)
+    got = {r["i"]: r["k"] for r in df.select("i", T.tokens(F.col("t")).alias("k")).collect()}
+    wrong = [(t, got[i], plain(t)) for i, t in enumerate(texts) if got[i] != plain(t)]
+    assert not wrong, (len(wrong), wrong[:5])
