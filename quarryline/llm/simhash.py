@@ -443,13 +443,51 @@ def _blocks_of() -> Column:
     return F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """(k, g, e) for members (c, g, n): each group c cut into blocks of a bounded size, and every pair of blocks a group k of its own."""
+def _placed(members: DataFrame) -> DataFrame:
+    """(c, g, own, blocks) for members (c, g, n): each group c cut into blocks of a bounded size, the first of which leads."""
     sizes = members.groupBy(F.col("c").alias("sc")).agg(_blocks_of())
-    placed = members.join(sizes, members["c"] == sizes["sc"]).select("c", "g", "blocks", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int").alias("own"))
-    dealt = placed.select("c", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return dealt.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "g", side.alias("e"))
+    return stored(members.join(sizes, members["c"] == sizes["sc"]).select("c", "g", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int").alias("own"), "blocks"), "group-blocks")
+
+
+def _leaders_and_all(placed: DataFrame) -> DataFrame:
+    """(k, g, e): the leading block of each group against every block: a text is sent once, a leader once a block."""
+    others = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    dealt = placed.select("c", "g", "own", F.explode(others).alias("block"))
+    return dealt.select(F.xxhash64("c", "block").alias("k"), "g", F.when(F.col("block") == 0, 0).when(F.col("own") == 0, 1).otherwise(2).alias("e"))
+
+
+def _rest_and_all(placed: DataFrame, comp: DataFrame) -> DataFrame:
+    """(k, g, e): the texts outside the largest component of their group, but for leaders, against all of the group.
+
+    Texts of one component need no link between them, so what the leaders have joined is not compared with itself.
+    """
+    several = placed.where("blocks > 1")
+    now = several.join(comp, several["g"] == comp["node"], "left").select("c", "g", "own", "blocks", F.coalesce("component", "g").alias("now"))
+    now = stored(now, "group-components")
+    largest = now.groupBy("c", "now").agg(F.count("*").alias("z")).groupBy(F.col("c").alias("lc")).agg(F.max_by("now", F.struct("z", "now")).alias("largest"))
+    marked = now.join(largest, now["c"] == largest["lc"]).withColumn("left", (F.col("now") != F.col("largest")) & (F.col("own") > 0))
+    parts = marked.where("left").groupBy(F.col("c").alias("pc")).agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("parts"))
+    marked = marked.join(parts, marked["c"] == parts["pc"]).select("c", "g", "own", "blocks", "left", "parts")
+    own_part = F.pmod(F.xxhash64(F.lit(1), "g"), F.col("parts")).cast("int")
+    key = lambda part, block: F.xxhash64("c", part, block, F.lit(2)).alias("k")
+    all_ = marked.select("c", "g", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(key("part", "own"), "g", F.lit(2).alias("e"))
+    rest = marked.where("left").select("c", "g", own_part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(key("part", "block"), "g", F.lit(1).alias("e"))
+    return all_.unionAll(rest)
+
+
+def _group_links(members: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links (a, b) of all groups (c, g, n), exact, given the ``links`` there are.
+
+    Leaders first, which in a group of near copies find nearly all of it; then only what is still apart
+    from the group's largest component is compared with all. A dense group so costs a few rows a text; one
+    without a large component is compared all with all, as it has to be.
+    """
+    placed = _placed(members)
+    first = stored(_exact_links(_leaders_and_all(placed), sets, similarity), "leader-links")
+    if placed.where("blocks > 1").isEmpty():
+        return first
+    comp = components(links.unionAll(first))
+    return first.unionAll(stored(_exact_links(_rest_and_all(placed, comp), sets, similarity), "rest-links"))
 
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -510,7 +548,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
        texts joined by candidate links are still in several components, those are compared exactly.
     3. Common shingles: texts made mostly of shingles that many have (copies of one passage, large
        groups of near copies) need share no rare one. Those that are connected by common shingles are
-       compared exactly, in blocks, so that no task has more than a bounded part of a group.
+       compared exactly, in blocks, so that no task has more than a bounded part of a group: leaders with
+       all, then what they have not joined with all; see :func:`_group_links`.
 
     No pairs are made but those of spanning forests.
     """
@@ -554,14 +593,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
     judged = stored(judged.select("a", "b", (both >= F.lit(similarity) * union - 1e-9).alias("ok")), "verified")
-    links = judged.where("ok").select("a", "b").unionAll(stored(_exact_links(_in_blocks(grouped), sets, similarity), "common-links"))
+    links = judged.where("ok").select("a", "b")
+    links = links.unionAll(_group_links(grouped, sets, links, similarity))
     comp = components(links)
 
     failed = judged.where("not ok").select("a", "b")
     if not failed.isEmpty():
         members = stored(_doubtful(found, failed, comp, nodes, whole_blocks), "doubtful")
         if not members.isEmpty():
-            comp = components(links.unionAll(stored(_exact_links(_in_blocks(members), sets, similarity), "doubtful-links")))
+            comp = components(links.unionAll(_group_links(members, sets, links, similarity)))
     drop(sets, found, pairs)
     return nodes.join(comp, nodes["g"] == comp["node"], "left").select("p.i", "p.x", F.coalesce("component", "g").alias("component"))
 

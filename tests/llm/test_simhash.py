@@ -141,15 +141,38 @@ def test_exact_forest_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", 40)
     members = spark.createDataFrame([(7, i, len(s)) for i, s in enumerate(sets)], "c long, g long, n long")
     table = spark.createDataFrame(list(enumerate(sets)), "g long, s array<long>")
-    groups = simhash._in_blocks(members)
-    assert groups.select("k").distinct().count() == 10  # four blocks
-    links = [(r["a"], r["b"]) for r in simhash._exact_links(groups, table, 0.8).collect()]
+    leaders = simhash._leaders_and_all(simhash._placed(members))
+    assert leaders.select("k").distinct().count() == 4  # as many as blocks
+    none = spark.createDataFrame([], "a long, b long")
+    links = [(r["a"], r["b"]) for r in simhash._group_links(members, table, none, 0.8).where("a <> b").collect()]
     assert brute_components(links, range(len(sets))) == want and set(links) | {(b, a) for a, b in links} <= {*pairs, *((j, i) for i, j in pairs)}
     values, counts = np.concatenate([np.array(s) for s in sets]), np.array([len(s) for s in sets])
     all_ = np.ones(len(sets), bool)
     assert len(simhash.exact_forest(values, counts, all_, all_, 0.8)) == len(sets) - len(set(want.values()))
 
 
+def test_groups_of_near_copies_cost_a_few_rows_a_text(spark, monkeypatch):
+    """Two chains of near copies that only found texts join, a dense group, and one without links."""
+    rng = random.Random(6)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 30)
+    chain = [list(range(i, i + 20)) for i in range(0, 120, 2)]  # neighbours share 18 of 22
+    dense = [sorted(rng.sample(range(1000, 1042), 40)) for _ in range(400)]
+    apart = [sorted(rng.sample(range(5000), 20)) for _ in range(100)]
+    sets = [*chain, *dense, *apart]
+    group = [0] * len(chain) + [1] * len(dense) + [2] * len(apart)
+    members = spark.createDataFrame([(c, i, len(s)) for i, (c, s) in enumerate(zip(group, sets))], "c long, g long, n long")
+    table = spark.createDataFrame(list(enumerate(sets)), "g long, s array<long>")
+    none = spark.createDataFrame([], "a long, b long")
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if group[i] == group[j] and 10 * len({*sets[i]} & {*sets[j]}) >= 8 * len({*sets[i]} | {*sets[j]})]
+    links = [(r["a"], r["b"]) for r in simhash._group_links(members, table, none, 0.8).collect()]
+    assert brute_components(links, range(len(sets))) == brute_components(pairs, range(len(sets)))
+    alone = simhash._placed(members.where("c = 1"))
+    first = simhash._leaders_and_all(alone)
+    assert first.count() <= 2 * len(dense) + 14 * 60
+    comp = simhash.components(simhash._exact_links(first, table, 0.8))
+    assert simhash._rest_and_all(alone, comp).count() <= 2 * len(dense)
+
+
 def test_long_lists_are_dealt_out_again(spark):
     rng = random.Random(8)
     fps = {0}
