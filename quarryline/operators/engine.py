@@ -59,6 +59,7 @@ class Engine:
     stored: index_store.StoredIndex | None = None
 
     def __post_init__(self):
+        self.held: list[DataFrame] = []  # of batches; released by close()
         d = Q.adjustment(Q.flags(self.docs, "description", "keywords", "quality_flags"))
         self.known = d.persist()
         self.features = rerank.document_features(d).persist()
@@ -83,8 +84,9 @@ class Engine:
             t.count()
 
     def close(self) -> None:
-        for t in self._kept():
+        for t in [*self._kept(), *self.held]:
             t.unpersist()
+        self.held.clear()
 
     def save(self, root: str, profile: str | None = None) -> dict[str, str]:
         """K6, K7: the documents, the vectors and the lexical index of a profile below ``root``; an index that is there gets the new documents only."""
@@ -108,30 +110,37 @@ class Engine:
 
     def plan(self, queries: DataFrame) -> DataFrame:
         """Q9, kept: pass it to several searches of the same queries."""
-        return planner.plan(queries, self.rules).persist()
+        plans = planner.plan(queries, self.rules).persist()
+        self.held.append(plans)
+        return plans
 
     def bm25(self, plans: DataFrame, k: int) -> DataFrame:
         words = lexical.weighted_query_tokens(plans)
         return self.stored.search(words, k) if self.stored else lexical.search_index(words, self.index, k)
 
-    def stage_one(self, plans: DataFrame, k: int, profile: str) -> DataFrame:
-        """Every variant, and every aspect where there are two and more, is a search of its own; fused."""
+    def nearest(self, plans: DataFrame, k: int, profile: str) -> DataFrame:
+        """(query_id, part, weight, doc_id, score, rank): the k nearest documents of every variant (with its weight), and of every aspect where there are two and more; one scan of the vectors."""
         encode = dense.encoder_udf(self.encoders[profile])
         rows = plans.select("query_id", F.posexplode("semantic_variants").alias("n", "v")).select("query_id", F.concat(F.lit("v"), F.col("n").cast("string")).alias("part"), F.col("v.text").alias("text"), F.col("v.weight").alias("weight"))
         many = plans.where(F.size("semantic_aspects") >= 2)
         rows = rows.unionByName(many.select("query_id", F.posexplode("semantic_aspects").alias("n", "a")).select("query_id", F.concat(F.lit("a"), F.col("n").cast("string")).alias("part"), F.col("a.text").alias("text"), F.lit(None).cast("double").alias("weight")))
         rows = rows.withColumn("probe", F.xxhash64("query_id", "part"))
         rows = rows.withColumn("embedding", encode(profiles.query_text(F.col("text"), profile))).persist()
+        self.held.append(rows)
         near = dense.knn(rows, self.vectors[profile], k, query_id="probe").withColumnRenamed("query_id", "probe")
-        hits = near.join(rows.select("probe", F.col("query_id").alias("q"), "part", "weight"), "probe").withColumnRenamed("q", "query_id")
-        counts = many.select("query_id", F.size("semantic_aspects").cast("long").alias("n_aspects"))
+        return near.join(rows.select("probe", "query_id", "part", "weight"), "probe").select("query_id", "part", "weight", "doc_id", "score", "rank")
+
+    def stage_one(self, plans: DataFrame, k: int, profile: str, near: DataFrame | None = None) -> DataFrame:
+        """Every variant and aspect is a search of its own; fused. ``near``: what :meth:`nearest` found for these plans to this depth or deeper."""
+        hits = self.nearest(plans, k, profile) if near is None else near.where(F.col("rank") <= k)
+        counts = plans.where(F.size("semantic_aspects") >= 2).select("query_id", F.size("semantic_aspects").cast("long").alias("n_aspects"))
         return dense.fuse(hits.where("weight is not null"), hits.where("weight is null").withColumnRenamed("part", "aspect"), counts)
 
-    def semantic(self, plans: DataFrame, k: int, profile: str = profiles.DEFAULT, options: Options = Options()) -> DataFrame:
+    def semantic(self, plans: DataFrame, k: int, profile: str = profiles.DEFAULT, options: Options = Options(), near: DataFrame | None = None) -> DataFrame:
         """Stage one, for Turkish queries fused with a second encoder where there is one, quality, and reranking."""
         n = self.known.count()
         depth = fusion.depth(k, options.rerank_depth, n) if options.rerank else k
-        ranked = self.stage_one(plans, depth, profile).select("query_id", "doc_id", "score")
+        ranked = self.stage_one(plans, depth, profile, near).select("query_id", "doc_id", "score")
         other = profiles.auxiliary(profile)
         if options.cross_profile and other in self.vectors and other in self.encoders:
             tr = plans.where("detected_language = 'tr'")
@@ -143,11 +152,11 @@ class Engine:
             return fusion.annotate(ranked, k)
         return self._rerank(plans, lexical.top_k(ranked, depth), k, 0.52, 0.18 if options.quality else 0.0)
 
-    def hybrid(self, plans: DataFrame, k: int, profile: str = profiles.DEFAULT, options: Options = Options()) -> DataFrame:
+    def hybrid(self, plans: DataFrame, k: int, profile: str = profiles.DEFAULT, options: Options = Options(), near: DataFrame | None = None) -> DataFrame:
         """R11."""
         n = self.known.count()
         depth = fusion.depth(k, options.candidates, n)
-        s = self.semantic(plans, depth, profile, Options(rerank=False, quality=options.quality, cross_profile=options.cross_profile))
+        s = self.semantic(plans, depth, profile, Options(rerank=False, quality=options.quality, cross_profile=options.cross_profile), near)
         quality = self.known.select("doc_id", "score_penalty", "score_bonus") if options.quality else None
         limit = fusion.depth(k, options.rerank_depth, n) if options.rerank else k
         ranked = fusion.hybrid(s, self.bm25(plans, depth), quality, limit, options.semantic_weight)
@@ -157,19 +166,24 @@ class Engine:
         features = rerank.query_features(plans, planner.anchors(plans, self.frequencies, self.total))
         return rerank.rerank(ranked, self.features, features, k, base, quality)
 
-    def search(self, queries: DataFrame, method: str, k: int = 5, source: str = "all", profile: str = profiles.DEFAULT, options: Options = Options(), plans: DataFrame | None = None) -> DataFrame:
-        """Results of one method for (query_id, query), or for their ``plans`` where those are there already. With a source, the whole corpus is ranked first and filtered after, as normalised scores depend on all candidates."""
+    def search(self, queries: DataFrame, method: str, k: int = 5, source: str = "all", profile: str = profiles.DEFAULT, options: Options = Options(), plans: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+        """Results of one method for (query_id, query), or for their ``plans`` where those are there already. With a source, the whole corpus is ranked first and filtered after, as normalised scores depend on all candidates; BM25 scores do not, and are cut within the source."""
         plans = self.plan(queries) if plans is None else plans
+        if method == "bm25" and source != "all" and self.index is not None:
+            return fusion.source_top(lexical.index_scores(lexical.weighted_query_tokens(plans), self.index), self.docs, source, k)
         depth = k if source == "all" else self.known.count()
-        ranked = self.bm25(plans, depth) if method == "bm25" else self.semantic(plans, depth, profile, options) if method == "semantic" else self.hybrid(plans, depth, profile, options)
+        ranked = self.bm25(plans, depth) if method == "bm25" else self.semantic(plans, depth, profile, options, near) if method == "semantic" else self.hybrid(plans, depth, profile, options, near)
         if "rerank_score" in ranked.columns:
             ranked = ranked.withColumn("score", F.col("rerank_score"))
         return fusion.post_filter(ranked, self.docs, source, k) if source != "all" else ranked
 
-    def compare(self, queries: DataFrame, k: int = 5, source: str = "all", profile: str = profiles.DEFAULT) -> DataFrame:
-        """All three methods side by side: method, query_id, doc_id, rank, score."""
-        plans = self.plan(queries)
-        rows = [self.search(queries, m, k, source, profile, plans=plans).select(F.lit(m).alias("method"), "query_id", "doc_id", "rank", "score") for m in METHODS]
+    def compare(self, queries: DataFrame, k: int = 5, source: str = "all", profile: str = profiles.DEFAULT, options: Options = Options()) -> DataFrame:
+        """All three methods side by side: method, query_id, doc_id, rank, score. Semantic and hybrid search take their candidates from one scan of the vectors, to the deeper one's depth."""
+        plans, n = self.plan(queries), self.known.count()
+        depth = n if source != "all" else max(fusion.depth(k, options.candidates, n), fusion.depth(k, options.rerank_depth, n))
+        near = self.nearest(plans, depth, profile).persist()
+        self.held.append(near)
+        rows = [self.search(queries, m, k, source, profile, options, plans, near).select(F.lit(m).alias("method"), "query_id", "doc_id", "rank", "score") for m in METHODS]
         return evaluate.union_all(rows)
 
     def evaluate(self, judgments: DataFrame, k: int = 5, methods: tuple[str, ...] = METHODS, profile: str = profiles.DEFAULT) -> DataFrame:
@@ -181,11 +195,13 @@ class Engine:
         import time
 
         queries = judgments.select("query_id", "query").distinct().persist()
+        self.held.append(queries)
         n, deepest = queries.count(), judgments.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
         parts, plans = [], self.plan(queries)
         for m in methods:
             began = time.perf_counter()
             r = self.search(queries, m, max(k, deepest), profile=profile, plans=plans).select(F.lit(m).alias("method"), F.lit(profile).alias("profile"), "query_id", "doc_id", "rank").persist()
+            self.held.append(r)
             r.count()
             parts.append((r, 1000 * (time.perf_counter() - began) / max(n, 1)))
         out = evaluate.metrics(evaluate.union_all([r for r, _ in parts]), judgments.select("query_id", "doc_id"), k, ("profile", "method", "query_id"))

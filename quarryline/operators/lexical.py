@@ -127,6 +127,12 @@ def grouped_by_token(weighted: DataFrame) -> DataFrame:
 def search_index(queries: DataFrame, index: Index, k: int = 5) -> DataFrame:
     """R3, J3, A4 over the tables of an index: only the postings of the queries' tokens are read on. Equal queries are answered once, and each token meets its postings once for all queries that have it."""
     distinct, members = merged_queries(queries)
+    best = top_k(index_scores(distinct, index), k)
+    return best.withColumnRenamed("query_id", "of").join(members, "of").select("query_id", "doc_id", "score", "rank")
+
+
+def index_scores(distinct: DataFrame, index: Index) -> DataFrame:
+    """(query_id, doc_id, score) of every document that has a token of the query."""
     known = distinct.join(index.frequencies.drop("idf"), "token").crossJoin(F.broadcast(index.stats))
     wanted = grouped_by_token(known.select("token", "query_id", (F.col("qf") * idf(F.col("n"), F.col("df"))).alias("weight"), "avgdl"))
     small = distinct.count() <= BROADCAST_TOKENS
@@ -134,8 +140,7 @@ def search_index(queries: DataFrame, index: Index, k: int = 5) -> DataFrame:
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     each = hits.select("doc_id", part.alias("part"), F.explode("wanted").alias("q"))
     points = F.round(F.sum(F.col("q.weight") * F.col("part")), 6)
-    best = top_k(each.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(points.alias("score")), k)
-    return best.withColumnRenamed("query_id", "of").join(members, "of").select("query_id", "doc_id", "score", "rank")
+    return each.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(points.alias("score"))
 
 
 def meaningful(token: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import dense, fusion, index_store, lexical, records, rerank, vector_index
+from ..operators import dense, engine, fusion, index_store, lexical, records, rerank, vector_index
 from ..operators import planner as P
 from . import frames
 from .sql import CORPUS, NEAREST, RANKED, lit, ranked, toks
@@ -300,6 +300,16 @@ def encoded(spark, sf):
     return dense.knn(b, d, 5)
 
 
+def compared(spark, sf):
+    """Benchmark items by all three methods of an engine, which share one scan of the vectors; texts are encoded by hashing."""
+    load = dense.hashing_encoder(64)
+    docs = frames.corpus(spark, sf).select("doc_id", F.concat(F.lit("ref"), F.col("doc_id").cast("string")).alias("ref"), "source", "title", "description", "keywords", frames.raw_flags(F.col("description")).alias("quality_flags"))
+    vectors = docs.select("doc_id", dense.encoder_udf(load)("description").alias("embedding")).persist()
+    e = engine.Engine(docs, {"minilm": vectors}, {"minilm": load}, stored=frames.stored_index(spark, sf))
+    asked = frames.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return e.compare(asked, 5, profile="minilm")
+
+
 def domain_families(spark, sf):
     d = frames.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("hydrology"), F.lit("Finance_Markets"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("hydrology_water"))).otherwise(F.array().cast("array<string>")).alias("a"))
     return d.select("doc_id", F.array_join(F.array_sort(rerank.families(F.col("a"))), ",").alias("families"), F.round(rerank.domain_alignment(F.col("a"), F.array(F.lit("hydrology_water"))), 6).alias("alignment"))
@@ -331,4 +341,5 @@ QUERIES = {
     "r15_domain_families": (domain_families, FAMILIES),
     "r18_r19_r14d_cross_encoder": (cross_encoder, None),
     "m1_x19_encoded_knn": (encoded, None),
+    "c2_r10_r22_compare": (compared, None),
 }

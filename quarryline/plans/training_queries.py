@@ -40,26 +40,29 @@ def _label_docs(spark, sf):
     return d.select("doc_id", F.array("lang").alias("domains"), F.array("source").alias("uses"), F.array(F.when(F.col("doc_id") % 2 == 0, "text").otherwise("image")).alias("modes"))
 
 
+#: Results of each method that candidates are mined from.
+DEPTH = 40
+
+
 def pool(spark, sf):
-    return training.pool({"bm25": frames.bm25(spark, sf, 40), "semantic": frames.nearest(spark, sf, 40)}).select("query_id", "doc_id", F.array_join("methods", ",").alias("methods"), "rank_score")
+    return training.pool({"bm25": frames.bm25(spark, sf, DEPTH), "semantic": frames.nearest(spark, sf, DEPTH)}).select("query_id", "doc_id", F.array_join("methods", ",").alias("methods"), "rank_score")
 
 
-_POOL = f"""{RANKED}, {ranked(40)}, {NEAREST}, {ranked(40, 'n', 'k')}, pl AS (SELECT query_id, doc_id, string_agg(DISTINCT method, ',' ORDER BY method) AS methods, round(sum(w / rank), 6) AS rank_score
+_POOL = f"""{RANKED}, {ranked(DEPTH)}, {NEAREST}, {ranked(DEPTH, 'n', 'k')}, pl AS (SELECT query_id, doc_id, string_agg(DISTINCT method, ',' ORDER BY method) AS methods, round(sum(w / rank), 6) AS rank_score
 FROM (SELECT query_id, doc_id, rank, 'bm25' AS method, 1.5::DOUBLE AS w FROM r UNION ALL SELECT query_id, doc_id, rank, 'semantic', 4.0::DOUBLE FROM k) GROUP BY query_id, doc_id)"""
 POOL = f"WITH {_POOL} SELECT * FROM pl"
 
 
 def triplets(spark, sf):
     q = frames.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.when(F.col("item_id") % 2 == 0, "fr").otherwise("en")).alias("q_domains"))
-    p = training.pool({"bm25": frames.bm25(spark, sf, 2), "semantic": frames.nearest(spark, sf, 2)})
+    p = training.pool({"bm25": frames.bm25(spark, sf, DEPTH), "semantic": frames.nearest(spark, sf, DEPTH)})
     t = training.triplets(frames.judgments(spark, sf), p, _label_docs(spark, sf), q)
     return t.select("query_id", "positive_id", "negative_id", "negative_hardness", "negative_strategy", "mined_from", "split")
 
 
-_SMALL = _POOL.replace("rank <= 40", "rank <= 2")
 _HARD = "0.8::DOUBLE * (lang = qd)::INT + {a} * (lang = p_lang)::INT + {b} * (source = p_source)::INT + 0.4::DOUBLE * (doc_id % 2 = positive_id % 2)::INT"
 TRIPLETS = f"""
-WITH {_SMALL}, {JUDGED}, po AS (SELECT j.query_id, j.doc_id AS positive_id, lang AS p_lang, source AS p_source, CASE WHEN j.query_id % 2 = 0 THEN 'fr' ELSE 'en' END AS qd FROM j JOIN documents USING (doc_id)),
+WITH {_POOL}, {JUDGED}, po AS (SELECT j.query_id, j.doc_id AS positive_id, lang AS p_lang, source AS p_source, CASE WHEN j.query_id % 2 = 0 THEN 'fr' ELSE 'en' END AS qd FROM j JOIN documents USING (doc_id)),
 mi AS (SELECT po.query_id, positive_id, d.doc_id AS negative_id, round(rank_score + {_HARD.format(a='1.2::DOUBLE', b='0.7::DOUBLE')}, 6) AS negative_hardness, 'retrieval_confusion' AS negative_strategy, methods AS mined_from, 0 AS p FROM po JOIN pl USING (query_id) JOIN documents d USING (doc_id) WHERE (po.query_id, d.doc_id) NOT IN (SELECT query_id, doc_id FROM j)),
 ba AS (SELECT po.query_id, positive_id, d.doc_id AS negative_id, round({_HARD.format(a='1.0::DOUBLE', b='0.6::DOUBLE')}, 6) AS negative_hardness, 'domain_neighbor_backfill' AS negative_strategy, '' AS mined_from, 1 AS p FROM po CROSS JOIN documents d WHERE (po.query_id, d.doc_id) NOT IN (SELECT query_id, doc_id FROM j)),
 al AS (SELECT *, row_number() OVER (PARTITION BY query_id, positive_id, negative_id ORDER BY p) AS one FROM (SELECT * FROM mi UNION ALL SELECT * FROM ba WHERE negative_hardness > 0)),
