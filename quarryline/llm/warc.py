@@ -40,6 +40,10 @@ def chunks(payload: memoryview, size: int) -> Iterator[memoryview]:
         yield payload[a : a + size]
 
 
+#: Bytes of chunks that a writer holds, and what a row counts besides its data: headers, revisits and empty payloads count too.
+_FLUSH, _ROW_BYTES = 8 << 20, 256
+
+
 def _write_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -57,15 +61,20 @@ def _write_batches(size: int):
                 kind = "response" if at["refers_to"][i].as_py() is None else "revisit"
                 record, archive = at["record_id"][i].as_py(), at["archive"][i].as_py()
                 rows.append((archive, record, 0, header(record, kind, at["url"][i].as_py() or "", at["digest"][i].as_py(), len(payload), at["refers_to"][i].as_py(), at["page_id"][i].as_py())))
+                held += len(rows[-1][3]) + _ROW_BYTES
                 n = 1
                 for part in chunks(payload, size) if kind == "response" else ():
                     rows.append((archive, record, n, bytes(part)))
-                    held += len(part)
+                    held += len(part) + _ROW_BYTES
                     n += 1
-                    if held > 8 << 20:
+                    if held > _FLUSH:
                         yield table()
                         rows, held = [], 0
                 rows.append((archive, record, n, END))
+                held += len(END) + _ROW_BYTES
+                if held > _FLUSH:
+                    yield table()
+                    rows, held = [], 0
         if rows:
             yield table()
 

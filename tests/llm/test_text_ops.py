@@ -283,3 +283,51 @@ def test_released_tasks_yield_the_same_batches():
     half_read = twice(iter([one]))
     next(half_read)
     half_read.close()  # a limit above ends a task early
+
+
+def test_rare_seeds_of_many_items():
+    rng = np.random.default_rng(3)
+    for stretch in (1, 3, 4):
+        sizes = rng.integers(0, 9, 60)
+        item = np.repeat(np.arange(60), sizes)
+        place = np.concatenate([rng.permutation(n) for n in sizes]).astype(np.int64)
+        seed = rng.integers(0, 40, len(item)).astype(np.uint64)
+        order = rng.permutation(len(item))
+        item, place, seed = item[order], place[order], seed[order]
+        frequency = rng.integers(1, 90, len(np.unique(seed)))
+        df = frequency[np.searchsorted(np.unique(seed), seed)]
+
+        class Items:
+            ids = list(range(60))
+
+            def distinct(self):
+                return np.unique(seed)
+
+            def kept(self, keep):
+                return keep
+
+        items = Items()
+        items.item, items.place, items.seed = item, place, seed
+        want = df <= 10
+        for i in range(60):
+            own = sorted(np.flatnonzero(item == i), key=lambda k: place[k])
+            for a in range(max(1, len(own) - stretch + 1)):
+                if own[a : a + stretch]:
+                    want[min(own[a : a + stretch], key=lambda k: (df[k], place[k]))] = True
+        assert (decontaminate.rare(items, frequency, 1000, 0.0, stretch) == want).all()
+
+
+def test_rows_without_payload_are_flushed():
+    import pyarrow as pa
+
+    n = 60_000
+    batch = pa.record_batch({"archive": pa.array([0] * n, pa.int32()), "record_id": [f"r{i}" for i in range(n)], "url": ["u"] * n, "t": [""] * n, "digest": ["d"] * n, "refers_to": pa.array([1] * n), "page_id": pa.array(range(n))})
+    sizes = [b.num_rows for b in warc._write_batches(1 << 20)(iter([batch]))]
+    assert sum(sizes) == 2 * n and max(sizes) < 40_000
+
+
+def test_rows_without_ids_are_dealt_to_shards(spark):
+    lengths = spark.createDataFrame([(None, 7)] * 3000, "doc_id long, n long").repartition(6)
+    got = packing.pack(lengths, buckets=2, budget=700, shard_rows=100)
+    assert got.groupBy("bucket", "batch", "slot").count().where("count > 1").count() == 0 and got.count() == 3000
+    assert sorted({(r["batch"], r["slot"]) for r in got.collect()}) == [(b, s) for b in range(30) for s in range(100)]
