@@ -118,12 +118,19 @@ def rare(items: Items, frequency: np.ndarray, documents: int, share: float, stre
     df = frequency[np.searchsorted(items.distinct(), items.seed)] if len(items.seed) else np.zeros(0)
     keep = df <= max(10, share * documents)
     order = np.lexsort((items.place, items.item))
-    for i in range(len(items.ids)):
-        own = order[np.searchsorted(items.item[order], i) : np.searchsorted(items.item[order], i, "right")]
-        for a in range(max(1, len(own) - stretch + 1)):
-            part = own[a : a + stretch]
-            if len(part):
-                keep[part[np.argmin(df[part])]] = True
+    own, d = items.item[order], df[order]
+    if len(own) >= stretch:
+        near = np.lib.stride_tricks.sliding_window_view(d, stretch)
+        at = np.flatnonzero(own[: len(near)] == own[stretch - 1 :])
+        keep[order[at + near[at].argmin(axis=1)]] = True
+    # Items of fewer seeds than a stretch.
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+    size = np.diff(np.append(start, len(own)))
+    start, size = start[size < stretch], size[size < stretch]
+    if len(start):
+        place = np.arange(stretch)
+        few = np.where(place < size[:, None], d[np.minimum(start[:, None] + place, len(d) - 1)], np.inf)
+        keep[order[start + few.argmin(axis=1)]] = True
     return items.kept(keep)
 
 
