@@ -70,13 +70,15 @@ def pack(lengths: DataFrame, max_length: int = 2048, buckets: int = 16, budget:
 
     A document longer than ``max_length`` is cut into pieces of it and a rest; one of length 0 is a
     piece of length 0, a null length counts as 0. ``batch`` is unique within a bucket and holds
-    max(1, budget // padded_length) pieces, the last of a bucket fewer. Repeated ids are packed each.
+    max(1, budget // padded_length) pieces, the last of a bucket fewer. Repeated ids are packed each, equal rows in any order.
     An empty table gives an empty result.
     """
     spark = lengths.sparkSession
     n = F.coalesce(F.greatest("n", F.lit(0)), F.lit(0)).cast("long")
-    pieces = lengths.select("doc_id", n.alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / max_length)))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * max_length).alias("start"), F.least(F.lit(max_length), F.col("n") - F.col("piece") * max_length).cast("long").alias("length"))
+    # Rows have a number of their own, as ids may be null or repeated; written, so that it stays the same.
+    lengths = stored(lengths.select("doc_id", n.alias("n"), F.monotonically_increasing_id().alias("row")), "packing-lengths")
+    pieces = lengths.select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / max_length)))).alias("piece"))
+    pieces = pieces.select("doc_id", "row", "piece", (F.col("piece") * max_length).alias("start"), F.least(F.lit(max_length), F.col("n") - F.col("piece") * max_length).cast("long").alias("length"))
     histogram = sorted((r["length"], r["c"]) for r in pieces.groupBy("length").agg(F.count("*").alias("c")).collect())
     of, total = [], sum(c for _, c in histogram)
     if histogram:
@@ -85,11 +87,11 @@ def pack(lengths: DataFrame, max_length: int = 2048, buckets: int = 16, budget:
         of = [(int(v), int(b), int(bounds[b])) for v, b in zip(values, np.searchsorted(bounds, values))]
     table = spark.createDataFrame(of, "len long, bucket long, padded_length long")  # max_length + 1 rows at most
     placed = pieces.join(F.broadcast(table), pieces["length"] == table["len"]).drop("len")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, -(-total // shard_rows)))))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(max(1, -(-total // shard_rows)))))
     sizes = placed.groupBy("bucket", "shard").agg(F.count("*").alias("c"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("bucket").alias("b"), F.col("shard").alias("s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("shift"))
-    number = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "length"))
+    number = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "row"))
     placed = placed.withColumn("k", number)
     placed = placed.join(sizes, (placed["bucket"] == sizes["b"]) & (placed["shard"] == sizes["s"]))
     k, rows = F.col("shift") + F.col("k") - 1, F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), "padded_length")))
@@ -99,4 +101,4 @@ def pack(lengths: DataFrame, max_length: int = 2048, buckets: int = 16, budget:
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     """Query: all documents, lengths in tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(stored(token_lengths(docs), "packing-lengths"))
+    return pack(token_lengths(docs))
