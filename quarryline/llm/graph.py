@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .scratch import drop, stored
 
 
+#: Links that a file of a round has at least, beyond ``_FILES`` files: rounds are many, and most links are gone after the first.
+_FILE_LINKS, _FILES = 50_000, 8
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One step over links a > b. Only minima are gathered per node, so a hub with millions of links is no problem: its minimum is summed up map-side and the join back may be split by Spark."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
@@ -33,6 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(now) == mark or not now[0]:
             break
         mark = tuple(now)
-        before, edges = edges, stored(_star(_star(edges, True), False), "links")
+        files = max(_FILES, now[0] // _FILE_LINKS)
+        before, edges = edges, stored(_star(_star(edges, True), False).coalesce(files), "links")
         drop(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
