@@ -49,9 +49,9 @@ def _fields(kind: str) -> str:
     return ",".join(f"{n}:{t}" for n, t in (x.strip().split(" ", 1) for x in kind.split(", ")))
 
 
-def json_directory(spark: SparkSession, pattern: str | list[str], kind: str = LISTING) -> DataFrame:
-    """(info, folder, path) of one JSON file a row; the folder's name is data. Files are small; the whole text of one is a row."""
-    rows = spark.read.option("wholetext", True).text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
+def json_directory(spark: SparkSession, pattern: str | list[str], kind: str = LISTING, lines: bool = False) -> DataFrame:
+    """(info, folder, path) of one JSON file a row; the folder's name is data. Files are small; the whole text of one is a row. With ``lines`` files are bundles of any size, every line of which is a row."""
+    rows = spark.read.option("wholetext", not lines).text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
     return rows.select(unwrap(F.col("value"), kind).alias("info"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "path")
 
 
