@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from . import kernels as K
 from . import tries
@@ -34,6 +35,8 @@ FILTER_BITS, _LEAST_BITS, _PER_CODE = 1 << 28, 1 << 16, 16
 _BLOCK = 1 << 22
 #: A language's phrases are ranked in so many parts first.
 _PARTS = 64
+#: Files of the frequent words.
+_FILES = 8
 U = np.uint64
 
 
@@ -141,10 +144,12 @@ def levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", leas
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(UND)).alias("l"), F.col(text_col).alias("t")).where("t is not null")
-    words = stored(rows.mapInArrow(K.released(_count_words), "lang string, phrase string, code long, n long").groupBy("lang", "phrase", "code").agg(F.sum("n").alias("f")), "words")
+    # All words, rare ones too, are read twice and never again: they stay on the executors' disks. What is written are the totals and the frequent ones, in few files.
+    words = rows.mapInArrow(K.released(_count_words), "lang string, phrase string, code long, n long").groupBy("lang", "phrase", "code").agg(F.sum("n").alias("f")).persist(StorageLevel.DISK_ONLY)
     totals = stored(words.groupBy("lang").agg(F.sum("f").alias("total")), "word-totals")
     none = F.array().cast("array<long>")
-    found = [_distinct_codes(stored(words.where(F.col("f") >= least).select("lang", "phrase", F.col("phrase").alias("last"), "code", "f", none.alias("heads"), none.alias("tails")), "phrases-1"))]
+    found = [_distinct_codes(stored(words.where(F.col("f") >= least).select("lang", "phrase", F.col("phrase").alias("last"), "code", "f", none.alias("heads"), none.alias("tails")).coalesce(_FILES), "phrases-1"))]
+    words.unpersist()
     filters: list[np.ndarray] = []
     for k in range(2, most_words + 1):
         filters.append(bit_table(found[-1]))
