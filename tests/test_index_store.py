@@ -97,3 +97,13 @@ def test_a_saved_engine_is_loaded(spark, tmp_path):
         assert collected(opened.search(asked, method, 2, profile="minilm")) == collected(made.search(asked, method, 2, profile="minilm"))
     made.close()
     opened.close()
+
+
+def test_building_and_searching_leave_no_tables_of_pairs(spark, corpus, queries, tmp_path):
+    """A row for each query and window is never written, nor a posting shuffled."""
+    at = f"file://{tmp_path}/index"
+    index_store.build(corpus, at)
+    index_store.append(corpus.selectExpr("doc_id + 100000 AS doc_id", "tokens"), at)
+    index_store.compact(spark, at)
+    assert len(index_store.StoredIndex.open(spark, at).search(queries, 5).collect()) > 0
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["segments", "versions"]
