@@ -6,8 +6,9 @@ The planner takes rules as constants of its expressions, which suits dozens. Her
     combos   rule, tokens, domain, terms, tasks     held where all tokens are among the query's focus terms
     tokens   token, domain, terms                   held for a focus term
 
-``rule`` is the order of rules of a kind. Combinations are a relational division: a query's terms are joined with
-the tokens of the combinations, and a combination holds where it is met as often as it has tokens.
+``rule`` is the order of rules of a kind. Combinations are a relational division by pairs: a combination is joined by its
+first two tokens with the pairs of a query's terms, so a common token alone meets nothing; any others are looked up
+in the query's terms.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import containment
 
 #: Points of a rule of several words and of one word for its domain; domains of a query.
 RULE_POINTS, TOKEN_POINTS, DOMAINS = 2, 1, 3
+#: Combinations that are broadcast; more are joined by shuffle.
+BROADCAST_COMBOS = 1_000_000
 
 
 @dataclass
@@ -49,9 +52,20 @@ class RuleTables:
 
 def held_combos(terms: DataFrame, combos: DataFrame) -> DataFrame:
     """(query_id, rule) for the combinations all of whose tokens a query has; terms: (query_id, token), no repeats. A combination without tokens holds for none."""
-    parts = combos.select("rule", F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("needs"))
-    met = terms.join(parts, "token").groupBy("query_id", "rule", "needs").agg(F.count("*").alias("met"))
-    return met.where(F.col("met") == F.col("needs")).select("query_id", "rule")
+    # A token of null is met by no term.
+    parts = combos.select("rule", F.array_sort(F.array_distinct("tokens")).alias("k")).where((F.size("k") > 0) & ~F.exists("k", lambda t: t.isNull()))
+    parts = parts.select("rule", F.slice("k", 1, 2).alias("key"), F.slice("k", 3, F.greatest(F.size("k") - 2, F.lit(0))).alias("rest"))
+    n, longest = parts.agg(F.count("*"), F.max(F.size("rest"))).first()
+    hint = F.broadcast if n <= BROADCAST_COMBOS else lambda d: d
+    known = terms.join(hint(parts.select(F.explode(F.concat("key", "rest")).alias("token")).distinct()), "token", "left_semi")
+    own = known.groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("ts"))
+    ones = F.transform("ts", lambda x: F.array(x))
+    pairs = F.flatten(F.transform("ts", lambda x, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda y: F.array(x, y))))
+    found = own.select("query_id", F.explode(F.concat(ones, pairs)).alias("key")).join(hint(parts), "key").select("query_id", "rule", "rest")
+    if not longest:
+        return found.select("query_id", "rule")
+    more = found.where(F.size("rest") > 0).join(own.withColumnRenamed("query_id", "q"), F.col("query_id").eqNullSafe(F.col("q"))).where(F.size(F.array_except("rest", "ts")) == 0)
+    return found.where(F.size("rest") == 0).select("query_id", "rule").unionAll(more.select("query_id", "rule"))
 
 
 def matches(queries: DataFrame, tables: RuleTables) -> DataFrame:

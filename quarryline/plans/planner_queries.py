@@ -128,12 +128,13 @@ def _rule_tables(spark, sf):
     m = m.select("rule", F.split("pair", " ").alias("tokens"), F.concat(F.lit("d"), F.length("pair") % 5).alias("domain"), F.array("pair").alias("terms"), F.array(F.lit("combined")).alias("tasks"))
     t = c.where("role <> 'user'").select(F.explode("k").alias("token")).where("length(token) >= 6").distinct()
     t = t.select("token", F.when(F.length("token") % 3 > 0, F.concat(F.lit("d"), F.length("token") % 6)).alias("domain"), F.array(F.concat("token", F.lit(" records"))).alias("terms"))
-    return R.RuleTables(p, m, t)
+    # Read several times each: texts are taken apart once.
+    return R.RuleTables(frames.settled(p, "rule-phrases"), frames.settled(m, "rule-combos"), frames.settled(t, "rule-tokens"))
 
 
 def _ruled(spark, sf):
     q = _conversations(spark, sf).select((F.col("query_id") * 1_000_000 + F.col("turn")).alias("query_id"), "query")
-    return q.select("query_id", T.normalize(F.col("query")).alias("normalized_query"), F.array_distinct(T.tokens(F.col("query"))).alias("raw_focus_terms"))
+    return frames.settled(q.select("query_id", T.normalize(F.col("query")).alias("normalized_query"), F.array_distinct(T.tokens(F.col("query"))).alias("raw_focus_terms")), "ruled")
 
 
 def rule_concepts(spark, sf):

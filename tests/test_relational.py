@@ -120,3 +120,12 @@ def test_held_combos(spark):
     rules = spark.createDataFrame(list(combos.items()), "rule long, tokens array<string>")
     got = sorted(tuple(r) for r in rule_tables.held_combos(terms, rules).collect())
     assert got == sorted((q, c) for q, ts in queries.items() for c, needs in combos.items() if needs and set(needs) <= set(ts))
+
+
+def test_phrases_of_two_words_have_one_key(spark):
+    """Runs of three letters are in nearly every text; the ends around the space are not."""
+    phrases = spark.createDataFrame([(0, "er on"), (1, "thereding tionhan"), (2, "a b")], "phrase_id long, p string")
+    assert sorted(r["phrase_id"] for r in containment._phrase_keys(phrases).collect()) == [0, 1, 2]
+    docs = spark.createDataFrame([(5, "under once"), (6, "under  once"), (7, "xthereding tionhany"), (8, "hereding tionhan"), (9, "a b")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in containment.contains_join(docs, phrases.withColumnsRenamed({"phrase_id": "item_id", "p": "text"})).collect())
+    assert got == [(5, 0), (7, 1), (9, 2)]
