@@ -35,3 +35,15 @@ def test_memory_of_a_task():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6
+
+
+def test_the_expression_scores_what_is_found_only(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(200, 8)).round(1).astype(np.float32)
+    v[30:40] = v[30]
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, embedding array<float>")
+    queries = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    rows = dense.knn_sql(queries, docs, 5)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    assert key(rows) == key(dense.knn(queries, docs, 5)) and rows.count() == 20
+    assert "Join Cross" not in rows._jdf.queryExecution().optimizedPlan().toString()
