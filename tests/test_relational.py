@@ -129,3 +129,29 @@ def test_phrases_of_two_words_have_one_key(spark):
     docs = spark.createDataFrame([(5, "under once"), (6, "under  once"), (7, "xthereding tionhany"), (8, "hereding tionhan"), (9, "a b")], "doc_id long, text string")
     got = sorted(tuple(r) for r in containment.contains_join(docs, phrases.withColumnsRenamed({"phrase_id": "item_id", "p": "text"})).collect())
     assert got == [(5, 0), (7, 1), (9, 2)]
+
+
+def test_triplets_against_plain_python(spark):
+    """Many relevant documents a query, few label sets, some queries with mined candidates and some without."""
+    from quarryline.operators import training
+
+    rng = random.Random(11)
+    docs = {d: (rng.choice("ab"), rng.choice("xy"), rng.choice("mn")) for d in range(120)}
+    judged = sorted({(q, rng.randrange(120)) for q in range(4) for _ in range(5 + 20 * q)})
+    pool = {(q, d): rng.randrange(1, 9) / 4 for q in (0, 1) for d in rng.sample(range(120), 2 + 6 * q)}
+    of = {q: "ab"[q % 2] for q in range(4)}
+    table = spark.createDataFrame([(d, [a], [b], [c]) for d, (a, b, c) in docs.items()], "doc_id long, domains array<string>, uses array<string>, modes array<string>")
+    candidates = spark.createDataFrame([(q, d, ["bm25"], s) for (q, d), s in pool.items()], "query_id long, doc_id long, methods array<string>, rank_score double")
+    rows = training.triplets(spark.createDataFrame(judged, "query_id long, doc_id long"), candidates, table, spark.createDataFrame([(q, [x]) for q, x in of.items()], "query_id long, q_domains array<string>"))
+    got = sorted((r["query_id"], r["positive_id"], r["negative_id"], r["negative_hardness"], r["mined_from"]) for r in rows.collect())
+    want = []
+    for q, p in judged:
+        same = lambda d, i: docs[d][i] == docs[p][i]
+        score = lambda d, a, b: 0.8 * (docs[d][0] == of[q]) + a * same(d, 0) + b * same(d, 1) + 0.4 * same(d, 2)
+        mined = [(0, -round(s + score(d, 1.2, 0.7), 6), d) for (x, d), s in pool.items() if x == q and (q, d) not in judged]
+        back = [(1, -round(score(d, 1.0, 0.6), 6), d) for d in docs if (q, d) not in judged and score(d, 1.0, 0.6) > 0 and d not in [m[2] for m in mined]]
+        want += [(q, p, d, -s, "" if kind else "bm25") for kind, s, d in sorted(mined + back)[:3]]
+    assert got == sorted(want)
+    # Negatives are ranked once for a class of relevant documents, not for each of them.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(kind" in plan
