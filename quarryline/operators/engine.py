@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -49,7 +50,9 @@ class Engine:
 
     Token sets, qualities, postings and document frequencies are computed once and kept; call
     :meth:`save` to keep them beyond the session and :meth:`load` to open what was saved, or
-    :meth:`warm` (E13) before timing. With a ``stored`` index no posting is computed.
+    :meth:`warm` (E13) before timing. With a ``stored`` index no posting is computed, nor with
+    ``tokens`` (doc_id, tokens), which BM25 scans once a batch. ``settle`` writes a table and reads it
+    back: :meth:`compare` so cuts the plans of what its methods share, which are long; without it they are cached.
     """
 
     docs: DataFrame
@@ -57,14 +60,20 @@ class Engine:
     encoders: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = field(default_factory=dict)
     rules: V.Rules = field(default_factory=lambda: V.DEFAULT_RULES)
     stored: index_store.StoredIndex | None = None
+    tokens: DataFrame | None = None
+    settle: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self):
         self.held: list[DataFrame] = []  # of batches; released by close()
+        self.warmed, self.number = False, None
+        #: Results that the methods of one batch share: BM25's, and the second encoder's nearest documents.
+        self.hits: DataFrame | None = None
+        self.other: DataFrame | None = None
         d = Q.adjustment(Q.flags(self.docs, "description", "keywords", "quality_flags"))
         self.known = d.persist()
         self.features = rerank.document_features(d).persist()
         self.index = None
-        if self.stored is None:
+        if self.stored is None and self.tokens is None:
             self.index = lexical.build_index(self._tokens())
             self.index.postings = self.index.postings.persist()
             self.index.stats = self.index.stats.persist()
@@ -82,6 +91,13 @@ class Engine:
     def warm(self) -> None:
         for t in self._kept():
             t.count()
+        self.warmed = True
+
+    def size(self) -> int:
+        """All documents, counted once; no text is read for it."""
+        if self.number is None:
+            self.number = self.docs.count()
+        return self.number
 
     def close(self) -> None:
         for t in [*self._kept(), *self.held]:
@@ -108,6 +124,13 @@ class Engine:
         vectors = {key: spark.read.parquet(at["vectors"])} if index_store.path_exists(spark, at["vectors"]) else {}
         return cls(spark.read.parquet(at["documents"]), vectors, encoders or {}, rules, index_store.StoredIndex.open(spark, at["index"]))
 
+    def _keep(self, made: DataFrame) -> DataFrame:
+        """What several methods of a batch read: written where there is a place for it, or cached."""
+        if self.settle is not None:
+            return self.settle(made)
+        self.held.append(made.persist())
+        return made
+
     def plan(self, queries: DataFrame) -> DataFrame:
         """Q9, kept: pass it to several searches of the same queries."""
         plans = planner.plan(queries, self.rules).persist()
@@ -115,7 +138,11 @@ class Engine:
         return plans
 
     def bm25(self, plans: DataFrame, k: int) -> DataFrame:
+        if self.hits is not None:
+            return self.hits.where(F.col("rank") <= k)
         words = lexical.weighted_query_tokens(plans)
+        if self.tokens is not None:
+            return lexical.search(words, self.tokens, k)
         return self.stored.search(words, k) if self.stored else lexical.search_index(words, self.index, k)
 
     def nearest(self, plans: DataFrame, k: int, profile: str) -> DataFrame:
@@ -138,13 +165,13 @@ class Engine:
 
     def semantic(self, plans: DataFrame, k: int, profile: str = profiles.DEFAULT, options: Options = Options(), near: DataFrame | None = None) -> DataFrame:
         """Stage one, for Turkish queries fused with a second encoder where there is one, quality, and reranking."""
-        n = self.known.count()
+        n = self.size()
         depth = fusion.depth(k, options.rerank_depth, n) if options.rerank else k
         ranked = self.stage_one(plans, depth, profile, near).select("query_id", "doc_id", "score")
         other = profiles.auxiliary(profile)
         if options.cross_profile and other in self.vectors and other in self.encoders:
             tr = plans.where("detected_language = 'tr'")
-            both = fusion.cross_profile(ranked.join(tr.select("query_id"), "query_id", "left_semi"), self.stage_one(tr, depth, other)).select("query_id", "doc_id", "score")
+            both = fusion.cross_profile(ranked.join(tr.select("query_id"), "query_id", "left_semi"), self.stage_one(tr, depth, other, self.other)).select("query_id", "doc_id", "score")
             ranked = ranked.join(tr.select("query_id"), "query_id", "left_anti").unionByName(both)
         if options.quality:
             ranked = ranked.join(self.known.select("doc_id", "score_penalty", "score_bonus"), "doc_id").withColumn("score", F.round(fusion.quality_adjusted(F.col("score"), fusion.SEMANTIC_QUALITY), 6)).select("query_id", "doc_id", "score")
@@ -154,7 +181,7 @@ class Engine:
 
     def hybrid(self, plans: DataFrame, k: int, profile: str = profiles.DEFAULT, options: Options = Options(), near: DataFrame | None = None) -> DataFrame:
         """R11."""
-        n = self.known.count()
+        n = self.size()
         depth = fusion.depth(k, options.candidates, n)
         s = self.semantic(plans, depth, profile, Options(rerank=False, quality=options.quality, cross_profile=options.cross_profile), near)
         quality = self.known.select("doc_id", "score_penalty", "score_bonus") if options.quality else None
@@ -171,19 +198,38 @@ class Engine:
         plans = self.plan(queries) if plans is None else plans
         if method == "bm25" and source != "all" and self.index is not None:
             return fusion.source_top(lexical.index_scores(lexical.weighted_query_tokens(plans), self.index), self.docs, source, k)
-        depth = k if source == "all" else self.known.count()
+        depth = k if source == "all" else self.size()
         ranked = self.bm25(plans, depth) if method == "bm25" else self.semantic(plans, depth, profile, options, near) if method == "semantic" else self.hybrid(plans, depth, profile, options, near)
         if "rerank_score" in ranked.columns:
             ranked = ranked.withColumn("score", F.col("rerank_score"))
         return fusion.post_filter(ranked, self.docs, source, k) if source != "all" else ranked
 
+    def _within(self, found: DataFrame, plans: DataFrame) -> Engine:
+        """This engine for a batch that can find the documents ``found`` (doc_id): quality and features of those alone, document frequencies of the batch's words alone. A warm engine has them of all."""
+        own = copy.copy(self)
+        if self.warmed:
+            return own
+        docs = self.docs.join(found.distinct(), "doc_id", "left_semi")
+        own.features = self._keep(rerank.document_features(Q.adjustment(Q.flags(docs, "description", "keywords", "quality_flags"))))
+        own.known = own.features
+        words = plans.select(F.explode(planner.anchor_candidates(F.col("raw_focus_terms"), F.col("concept_terms"))).alias("token"))
+        own.frequencies, own.total = lexical.document_frequencies(self.docs.select(rerank.all_tokens(self.docs).alias("token_set")), of=words)
+        own.frequencies, own.total = self._keep(own.frequencies), self._keep(own.total)
+        return own
+
     def compare(self, queries: DataFrame, k: int = 5, source: str = "all", profile: str = profiles.DEFAULT, options: Options = Options()) -> DataFrame:
-        """All three methods side by side: method, query_id, doc_id, rank, score. Semantic and hybrid search take their candidates from one scan of the vectors, to the deeper one's depth."""
-        plans, n = self.plan(queries), self.known.count()
+        """All three methods side by side: method, query_id, doc_id, rank, score. Semantic and hybrid search take their candidates from one scan of the vectors, BM25 and hybrid search from one of the texts, to the deeper one's depth."""
+        plans, n = self._keep(planner.plan(queries, self.rules)), self.size()
         depth = n if source != "all" else max(fusion.depth(k, options.candidates, n), fusion.depth(k, options.rerank_depth, n))
-        near = self.nearest(plans, depth, profile).persist()
-        self.held.append(near)
-        rows = [self.search(queries, m, k, source, profile, options, plans, near).select(F.lit(m).alias("method"), "query_id", "doc_id", "rank", "score") for m in METHODS]
+        near, hits = self._keep(self.nearest(plans, depth, profile)), self._keep(self.bm25(plans, depth))
+        found, other = [near, hits], profiles.auxiliary(profile)
+        second = None
+        if options.cross_profile and other in self.vectors and other in self.encoders:
+            second = self._keep(self.nearest(plans.where("detected_language = 'tr'"), depth, other))
+            found.append(second)
+        own = self._within(evaluate.union_all([r.select("doc_id") for r in found]), plans)
+        own.hits, own.other = hits, second
+        rows = [own.search(queries, m, k, source, profile, options, plans, near).select(F.lit(m).alias("method"), "query_id", "doc_id", "rank", "score") for m in METHODS]
         return evaluate.union_all(rows)
 
     def evaluate(self, judgments: DataFrame, k: int = 5, methods: tuple[str, ...] = METHODS, profile: str = profiles.DEFAULT) -> DataFrame:

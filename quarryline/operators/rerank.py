@@ -42,6 +42,18 @@ def phrase_bonus(intent: Column, text: Column) -> Column:
     return F.when((F.size(F.split(intent, " ")) >= 2) & F.contains(text, intent), 1.0).otherwise(0.0)
 
 
+def _texts(docs: DataFrame) -> dict[str, list[Column]]:
+    """The texts whose tokens are the sets of :func:`document_features`, of the columns that there are."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in docs.columns else F.lit("")
+    many = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ") if c in docs.columns else F.lit("")
+    return {"d_title": [text("title")], "d_summary": [text("semantic_summary"), text("semantic_text")], "d_keywords": [many("keywords"), many("metadata_terms")], "d_description": [text("description")]}
+
+
+def all_tokens(docs: DataFrame) -> Column:
+    """``d_all`` of :func:`document_features` alone, which needs no quality columns."""
+    return F.array_distinct(F.flatten(F.array(*(T.tokens(t) for ts in _texts(docs).values() for t in ts))))
+
+
 def document_features(docs: DataFrame) -> DataFrame:
     """What reranking needs of a document, computed once: token sets of its fields and its quality columns.
 
@@ -52,8 +64,7 @@ def document_features(docs: DataFrame) -> DataFrame:
     many = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in docs.columns else F.array().cast("array<string>")
     sets = lambda *parts: F.array_distinct(F.flatten(F.array(*(T.tokens(p) for p in parts))))
     out = docs.select(
-        "doc_id", sets(text("title")).alias("d_title"), sets(text("semantic_summary"), text("semantic_text")).alias("d_summary"), sets(F.array_join(many("keywords"), " "), F.array_join(many("metadata_terms"), " ")).alias("d_keywords"),
-        sets(text("description")).alias("d_description"), T.normalize(F.concat_ws(" ", text("title"), text("semantic_summary"), text("description"))).alias("d_text"),
+        "doc_id", *(sets(*ts).alias(name) for name, ts in _texts(docs).items()), T.normalize(F.concat_ws(" ", text("title"), text("semantic_summary"), text("description"))).alias("d_text"),
         many("inferred_domains").alias("d_domains"), many("inferred_use_cases").alias("d_uses"), many("inferred_modalities").alias("d_modes"), "all_flags", "severity", "deemphasized", "score_penalty", "score_bonus",
     )
     return out.withColumn("d_all", F.array_distinct(F.concat("d_title", "d_summary", "d_keywords", "d_description")))
