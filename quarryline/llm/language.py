@@ -27,6 +27,8 @@ CLASSES = 64
 #: Codes of n-grams: uni-, bi- and trigrams of classes, one range after the other.
 CODES = CLASSES + CLASSES**2 + CLASSES**3
 UND = "und"
+#: A machine says no up to this score: scores are the regression's -1 to 1 brought to 0 to 1.
+REJECTED = 0.5
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +155,14 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     return rows.mapInArrow(_predict_batches(shared), f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is known (not ``und``) with a score of ``least`` or more."""
+def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", least: float = 0.0, above: float = -1.0) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is known (not ``und``) with a score of ``least`` or more, and more than ``above``."""
     # The other columns by place, so that no name of theirs can clash.
     others = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col))
     rows = docs.select(others.alias("row"), F.col(f"`{text_col}`").alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.mapInArrow(_predict_batches(shared, True), f"row {dict(rows.dtypes)['row']}, t string, lang_pred string, score double")
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*(F.col("t").alias(c) if c == text_col else F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
+    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least) & (F.col("score") > above)).select(*(F.col("t").alias(c) if c == text_col else F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
