@@ -111,8 +111,9 @@ def labels(spark, sf):
 
 def search(spark, sf):
     """The planned user turns against all documents by words, weights from the plan."""
-    p = P.plan(_asked(spark, sf))
-    return lexical.search(lexical.weighted_query_tokens(p), frames.tokenised(spark, sf), 5)
+    # Planning is dear and the search reads its queries several times: plans are made once, in many tasks.
+    p = P.plan(frames.spread(_asked(spark, sf)))
+    return lexical.search(frames.settled(lexical.weighted_query_tokens(p), "planned-tokens"), frames.tokenised(spark, sf), 5)
 
 
 def _rule_tables(spark, sf):
